@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import let
 
 #: Placed behind every line end before splitting; texts that hold it are split by a look-behind instead.
-_MARK = ""
+_MARK = "\ue000"
 
 
 def lines_of(text: Column) -> Column:
