@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,43 +84,41 @@ def fingerprint_string(s: Column) -> Column:
     return F.lower(F.array_join(F.transform(s, lambda x: F.lpad(F.hex(x), _BITS // 4 + 2, "0")), ""))
 
 
-def followed(docs: DataFrame, columns: list[str], id_col: str = "doc_id", rows_per_block: int = 2000) -> DataFrame:
-    """docs with next_<column>: the columns of the row with the next smaller id; after the smallest, of the largest.
+def followed(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", rows_per_block: int = 2000) -> DataFrame:
+    """derive(docs) with next_<column> for every column but the id: those of the row with the next smaller id; after the smallest, of the largest.
 
     Ids are cut into ranges of equal width; a window runs inside each range, and the top row of a range is also sent to
-    the range above it. Only three numbers reach the driver, and one row per range passes one task. Ties are ordered by
-    the columns. Null ids come after all others.
+    the range above it. Only three numbers reach the driver, and one id per range passes one task. The top rows are
+    found in the given table, before anything is derived or shuffled. Ties are ordered by the text. Null ids come after
+    all others.
     """
     low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
     width = 1 if low is None else max(1, -(-(high - low + 1) * rows_per_block // max(n, 1)))
     base = 0 if low is None else low
-    block = F.coalesce(F.floor((F.col(id_col) - base) / width), F.lit(-1)).cast("long")
-    rows = docs.withColumn("_block", block)
-    order = [F.col(id_col).desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in columns]]
-    tops = rows.groupBy("_block").agg(F.max(id_col).alias("_top"))
+    rows = docs.withColumn("_block", F.coalesce(F.floor((F.col(id_col) - base) / width), F.lit(-1)).cast("long"))
+    tops = rows.groupBy("_block").agg(F.max(id_col).alias(id_col), F.min_by(text_col, F.struct(-F.col(id_col), F.col(text_col))).alias(text_col))
     around = Window.orderBy(F.col("_block").desc())
     above = F.coalesce(F.lag("_block").over(around), F.min("_block").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    to = tops.select(F.col("_block").alias("_own"), above.alias("_to"))
-    # the first of the top row's ties: the smallest by the other columns
-    first = rows.join(tops.select(F.col("_block").alias("_own"), "_top"), (F.col("_block") == F.col("_own")) & F.col(id_col).eqNullSafe(F.col("_top")))
-    first = first.groupBy("_own").agg(F.min(F.struct(*columns)).alias("_first")).join(to, "_own").select(F.col("_to").alias("_block"), F.lit(True).alias("_guest"), *[F.col(f"_first.{c}").alias(c) for c in columns])
-    all_rows = rows.withColumn("_guest", F.lit(False)).unionByName(first, allowMissingColumns=True)
-    w = Window.partitionBy("_block").orderBy(F.col("_guest"), *order)
-    out = all_rows
-    for c in columns:
-        out = out.withColumn(f"next_{c}", F.lead(c).over(w))
-    return out.where(~F.col("_guest")).drop("_block", "_guest")
+    ranges = rows.groupBy("_block").agg(F.count("*")).select(F.col("_block").alias("_own"), above.alias("_to"))
+    guests = tops.join(ranges, F.col("_block") == F.col("_own")).select(F.col("_to").alias("_block"), id_col, text_col)
+    both = derive(rows).withColumn("_guest", F.lit(False)).unionByName(derive(guests).withColumn("_guest", F.lit(True)))
+    w = Window.partitionBy("_block").orderBy("_guest", F.col(id_col).desc_nulls_last(), F.col(text_col))
+    ahead = [F.lead(c).over(w).alias(f"next_{c}") for c in both.columns if c not in (id_col, "_block", "_guest")]
+    return both.select("*", *ahead).where(~F.col("_guest")).drop("_block", "_guest")
 
 
-def order_minhash(docs: DataFrame, k: int = K, ell: int = L, bins: int = BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents -> doc_id, text, sketch. Null text is empty, and has an empty sketch; equal texts have equal sketches. Rows with repeated ids stay; further columns are dropped."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("sketch", sketch(F.col("text"), k, ell, bins))
+def order_minhash(docs: DataFrame, k: int = K, ell: int = L, bins: int = BINS, text_col: str = "text") -> DataFrame:
+    """Documents with their sketch. Null text has the sketch of an empty one, which is empty; equal texts have equal sketches. A column called sketch is replaced."""
+    return docs.withColumn("sketch", sketch(F.coalesce(F.col(text_col), F.lit("")), k, ell, bins))
 
 
 def edit_sensitivity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """How fingerprints react: each text against its edited form, in which the last half is replaced by the start of the next document's text."""
-    each = followed(order_minhash(docs, id_col=id_col, text_col=text_col), ["text", "sketch"], "doc_id")
+    """How fingerprints react: each text against its edited form, in which the last half is replaced by the start of the next document's text.
+
+    Null texts are empty; two texts without words are alike. Rows with repeated ids are ordered by text, and stay.
+    """
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    each = followed(given, order_minhash)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
