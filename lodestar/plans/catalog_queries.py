@@ -1 +1,479 @@
-"""Registered queries of the catalogue operators."""
+"""Registered queries of the catalogue operators. Each has its SQL twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.functions import content as C
+from lodestar.functions import values as V
+from lodestar.operators import catalog as K
+from lodestar.operators import profile as P
+from lodestar.operators import sampling as S
+from lodestar.plans.registry import query
+from lodestar.sources.tables import analyses, batch_items, files, read, upload_parts
+
+FILES = """WITH files AS (
+  SELECT doc_id AS file_id, source || '/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.dat' ELSE '.txt' END AS original_name, text AS content, source FROM documents
+  UNION ALL SELECT 1000000 + page_id, 'page_' || page_id || '.dat', html, 'pages' FROM pages)
+"""
+KIND = """CASE WHEN strlen(content) = 0 THEN NULL WHEN regexp_matches(trim(content), '^[{\\[]') THEN 'text'
+  WHEN regexp_matches(content, '(?is)^\\s*(<!doctype\\s+html|<html\\b)') THEN 'html' ELSE 'text' END"""
+PARTS = """WITH sized AS (SELECT doc_id AS upload_id, CAST(strlen(text) AS BIGINT) AS size FROM documents
+), parts AS (
+  SELECT * FROM (SELECT upload_id, size, unnest(range(1, greatest((size + 1023) // 1024, 1) + 1)) AS part FROM sized) WHERE (upload_id + part) % 17 <> 0
+), p AS (SELECT *, CASE WHEN (upload_id + part) % 19 <> 0 THEN 'e' || part END AS etag FROM parts)
+"""
+ITEMS = """WITH items AS (SELECT source AS batch_id, doc_id AS sequence, CASE WHEN doc_id % 13 <> 0 THEN doc_id END AS file_id, CASE WHEN doc_id % 13 = 0 THEN '{"code":"quota"}' END AS rejection FROM documents)
+"""
+ANALYSES = "SELECT DISTINCT sha256(text) AS sha256, 'p1' AS policy_key FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents")
+
+
+# ---- content -------------------------------------------------------------------------------------------------------
+
+
+@query(FILES + "SELECT file_id, CASE WHEN content LIKE 'BM%' THEN 'bmp' WHEN content LIKE 'ID3%' THEN 'mp3' WHEN content LIKE 'PK' || chr(3) || chr(4) || '%' THEN 'zip' WHEN content LIKE '%PDF-%' AND content LIKE chr(37) || 'PDF-%' AND left(content, 1) = chr(37) THEN 'pdf' WHEN content LIKE 'GIF8_a%' THEN 'gif' WHEN content LIKE 'BZh%' THEN 'bzip2' WHEN content LIKE 'OggS%' THEN 'ogg' WHEN content LIKE 'fLaC%' THEN 'flac' END AS format FROM files")
+def f1_detect_format(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).select("file_id", C.detect_format(F.encode("content", "UTF-8"))["name"].alias("format"))
+
+
+@query(FILES + "SELECT file_id, left(lower(hex(encode(content))), 64) AS magic FROM files")
+def f3_magic_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).select("file_id", C.magic_bytes(F.encode("content", "UTF-8")).alias("magic"))
+
+
+@query(FILES + "SELECT file_id, round(length(regexp_replace(content, '[^\\t\\n\\r\\x20-\\x7e]', '', 'g')) / strlen(content), 4) AS ratio FROM files")
+def f4_printable_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).select("file_id", C.printable_ratio_bytes(F.encode("content", "UTF-8")).alias("ratio"))
+
+
+@query(FILES + "SELECT file_id, round(1 - (length(content) - length(regexp_replace(content, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'))) / length(content), 4) AS ratio FROM files")
+def f5_printable_chars(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).select("file_id", C.printable_ratio_chars(F.col("content")).alias("ratio"))
+
+
+@query(FILES + "SELECT file_id, length(content) - length(regexp_replace(content, '[\\pC\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', '', 'g')) - (length(content) - length(regexp_replace(content, '[\\n\\r\\t]', '', 'g'))) < length(content) * 0.01 AS readable FROM files")
+def f6_is_readable(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).select("file_id", C.is_readable(F.col("content")).alias("readable"))
+
+
+@query(FILES + f"SELECT file_id, {KIND} AS kind FROM files UNION ALL SELECT 2000000 + event_id, CASE WHEN props IS NULL THEN NULL WHEN json_valid(props) THEN 'json' ELSE 'text' END FROM events")
+def f8_classify_text(spark: SparkSession, d: str) -> DataFrame:
+    events = read(spark, d, "events").select((F.col("event_id") + 2_000_000).alias("file_id"), F.col("props").alias("content"))
+    both = files(spark, d).select("file_id", "content").unionByName(events)
+    return both.select("file_id", F.when(F.col("content").isNotNull(), C.classify_text(F.col("content"))).alias("kind"))
+
+
+@query(FILES + f"""SELECT file_id, original_name, CAST(strlen(content) AS BIGINT) AS file_size, left(lower(hex(encode(content))), 64) AS magic_bytes,
+  round(length(regexp_replace(content, '[^\\t\\n\\r\\x20-\\x7e]', '', 'g')) / strlen(content), 4) AS printable_ratio, {KIND} AS detected_type,
+  CASE WHEN strlen(content) <= 65536 THEN 'whole_file' ELSE 'prefix_only' END AS coverage, sha256(content) AS sha256, 'text' AS category, 'ok' AS status, 'heuristic' AS confidence FROM files""")
+def f10_inspect(spark: SparkSession, d: str) -> DataFrame:
+    return C.inspect(files(spark, d))
+
+
+@query("SELECT page_id, split_part(replace(url, chr(92), '/'), '/', -1) AS raw, coalesce(nullif(left(split_part(replace(url, chr(92), '/'), '/', -1), 255), ''), 'unnamed') AS name, left(lower(regexp_extract(url, '^.+\\.([^./\\\\]*)$', 1)), 32) AS ext FROM pages")
+def f11_f13_names(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.element_at(F.split(F.replace("url", F.lit("\\"), F.lit("/")), "/"), -1)
+    return read(spark, d, "pages").select("page_id", raw.alias("raw"), V.display_name(F.col("url")).alias("name"), V.extension_of(F.col("url")).alias("ext"))
+
+
+@query(FILES + f"SELECT file_id, CASE WHEN original_name LIKE '%.dat' THEN regexp_replace(original_name, '\\.dat$', '') || '.' || {KIND} ELSE original_name END AS name FROM files")
+def f14_detected_name(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).select("file_id", V.detected_name(F.col("original_name"), C.classify_text(F.col("content"))).alias("name"))
+
+
+CELLS = """WITH cells AS (
+  SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 17 = 0 THEN ' n/a ' WHEN o_orderkey % 19 = 0 THEN '00' || o_orderkey ELSE CAST(o_custkey AS VARCHAR) END AS v FROM orders
+  UNION ALL SELECT -o_orderkey, strftime(o_orderdate, '%Y-%m-%d') FROM orders UNION ALL SELECT 1000000000 + o_orderkey, o_orderstatus FROM orders)
+"""
+TYPE = f"""CASE WHEN v IS NULL OR lower(trim(v)) IN ('', 'null', 'none', 'na', 'n/a', 'nan') THEN 'null' WHEN regexp_matches(trim(v), '{V.INTEGER}') THEN 'integer'
+  WHEN regexp_matches(trim(v), '{V.NUMBER}') THEN 'number' WHEN lower(trim(v)) IN ('true', 'false') THEN 'boolean'
+  WHEN regexp_matches(trim(v), '{V.MOMENT}') AND try_cast(left(trim(v), 10) AS DATE) IS NOT NULL THEN CASE WHEN length(trim(v)) = 10 THEN 'date' ELSE 'date-time' END ELSE 'string' END"""
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders")
+    k = F.col("o_orderkey")
+    dirty = F.when(k % 13 == 0, "").when(k % 17 == 0, " n/a ").when(k % 19 == 0, F.concat(F.lit("00"), k.cast("string"))).otherwise(F.col("o_custkey").cast("string"))
+    dates = o.select((-k).alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("v"))
+    return o.select(k.alias("id"), dirty.alias("v")).unionByName(dates).unionByName(o.select((k + 1_000_000_000).alias("id"), F.col("o_orderstatus").alias("v")))
+
+
+@query(CELLS + "SELECT id, lower(trim(v)) IN ('', 'null', 'none', 'na', 'n/a', 'nan') AS is_null FROM cells")
+def f17_null_words(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(spark, d).select("id", V.is_null_word(F.col("v")).alias("is_null"))
+
+
+@query(CELLS + f"SELECT id, {TYPE} AS type FROM cells")
+def f18_analytical_type(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(spark, d).select("id", V.analytical_type(F.col("v")).alias("type"))
+
+
+@query(CELLS + f"SELECT id, regexp_matches(v, '{V.CELL}') AS numeric FROM cells")
+def f30_numeric_cell(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(spark, d).select("id", V.numeric_cell(F.col("v")).alias("numeric"))
+
+
+@query(FILES + "SELECT file_id, sha256(content) AS sha256 FROM files")
+def f22_content_sha256(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).select("file_id", F.sha2("content", 256).alias("sha256"))
+
+
+@query("""WITH m AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '../' || doc_id WHEN doc_id % 23 = 0 THEN 'C:' || chr(92) || doc_id ELSE 'dir/' || doc_id || '.dat' END AS name FROM documents)
+SELECT doc_id, name, (doc_id % 11 = 0 OR doc_id % 23 = 0 OR doc_id % 43 = 0 OR doc_id % 31 = 0) AS unsafe FROM m""")
+def f27_member_safety(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    name = F.when(i % 11 == 0, F.concat(F.lit("../"), i.cast("string"))).when(i % 23 == 0, F.concat(F.lit("C:\\"), i.cast("string"))).otherwise(F.concat(F.lit("dir/"), i.cast("string"), F.lit(".dat")))
+    mode = F.when(i % 43 == 0, 0xA1FF).otherwise(0x81A4)
+    return _docs(spark, d).select("doc_id", name.alias("name"), V.unsafe_member(name, mode, i % 31 == 0).alias("unsafe"))
+
+
+@query(FILES + "SELECT file_id, CASE WHEN strlen(content) <= 2048 THEN 'whole_file' ELSE 'prefix_only' END AS coverage FROM files")
+def f28_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).select("file_id", C.coverage(F.octet_length("content"), 2048).alias("coverage"))
+
+
+@query("SELECT doc_id, part, least(1024, n_chars - (part - 1) * 1024) AS bytes FROM (SELECT doc_id, n_chars, unnest(range(1, (n_chars + 1023) // 1024 + 1)) AS part FROM documents)")
+def f29_expected_part(spark: SparkSession, d: str) -> DataFrame:
+    each = _docs(spark, d).where("n_chars > 0").select("doc_id", "n_chars", F.explode(F.sequence(F.lit(1).cast("long"), V.expected_parts(F.col("n_chars"), 1024))).alias("part"))
+    return each.select("doc_id", "part", V.part_bytes(F.col("n_chars"), F.col("part"), 1024).alias("bytes"))
+
+
+@query(FILES + "SELECT file_id, original_name FROM files WHERE original_name ILIKE '%SRC1/%1.dat'")
+def f31_catalog_filter(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).where(F.col("original_name").ilike("%SRC1/%1.dat")).select("file_id", "original_name")
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages")
+def s9_html_title(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+
+
+@query("""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!doctype[^>]*>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages)
+SELECT page_id, left(trim(regexp_replace(t, '[ \\t\\n\\r\\f]+', ' ', 'g')), 2048) AS text FROM a""")
+def s9_html_text(spark: SparkSession, d: str) -> DataFrame:
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<!doctype[^>]*>", " "), r"(?s)<[^>]+>", " ")
+    return read(spark, d, "pages").select("page_id", F.substring(F.trim(F.regexp_replace(bare, r"[ \t\n\r\f]+", " ")), 1, 2048).alias("text"))
+
+
+@query("SELECT doc_id, i AS window_no, substr(text, 1 + i * 2048, 2048) AS text FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 2047) // 2048)) AS i FROM documents)")
+def s10_text_windows(spark: SparkSession, d: str) -> DataFrame:
+    n = F.ceil(F.length("text") / 2048) - 1
+    each = _docs(spark, d).where(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("window_no"))
+    return each.select("doc_id", "window_no", F.substring(F.col("text"), (F.col("window_no") * 2048 + 1).cast("int"), F.lit(2048)).alias("text"))
+
+
+@query("WITH a AS (SELECT 1 AS source_index, doc_id, text FROM documents UNION ALL SELECT 2, doc_id, text FROM documents WHERE doc_id % 2 = 0) SELECT doc_id, CAST(min(source_index) AS INT) AS source_index FROM a GROUP BY doc_id")
+def s2_multi_source(spark: SparkSession, d: str) -> DataFrame:
+    one = _docs(spark, d).select("doc_id", F.lit(1).alias("source_index"))
+    two = _docs(spark, d).where("doc_id % 2 = 0").select("doc_id", F.lit(2).alias("source_index"))
+    return one.unionByName(two).groupBy("doc_id").agg(F.min("source_index").alias("source_index"))
+
+
+@query(FILES + "SELECT file_id, left(content, 512) AS prefix, CAST(strlen(content) AS BIGINT) AS size FROM files")
+def s3_bounded_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).select("file_id", F.substring("content", 1, 512).alias("prefix"), F.octet_length("content").cast("long").alias("size"))
+
+
+@query("SELECT 'region' AS tbl, CAST(r_regionkey AS BIGINT) AS key, r_name AS name FROM region UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier")
+def s12_multi_table(spark: SparkSession, d: str) -> DataFrame:
+    parts = [read(spark, d, t).select(F.lit(t).alias("tbl"), F.col(k).cast("long").alias("key"), F.col(n).alias("name")) for t, k, n in (("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name"), ("supplier", "s_suppkey", "s_name"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, props IS NOT NULL AND NOT json_valid(props) AS malformed FROM events")
+def s6_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    v = F.try_parse_json("props")
+    return read(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "string").alias("k"), (F.col("props").isNotNull() & v.isNull()).alias("malformed"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders")
+def s7_json_envelope(spark: SparkSession, d: str) -> DataFrame:
+    item = F.struct("o_orderkey", "o_orderstatus")
+    o = read(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(item).alias("items"))  # a customer's own orders
+    wrapped = F.when(F.col("o_custkey") % 11 == 0, F.to_json("items")).when(F.col("o_custkey") % 7 == 0, F.to_json(F.struct(F.col("items").alias("data")))).otherwise(F.to_json(F.struct(F.col("items").alias("records"))))
+    v = F.try_parse_json(wrapped)
+    rows = F.coalesce(*[F.try_variant_get(v, p, "array<struct<o_orderkey:bigint,o_orderstatus:string>>") for p in ("$.records", "$.rows", "$.data", "$.events", "$.items", "$")])
+    return o.select("o_custkey", F.inline(rows))
+
+
+# ---- profiles ------------------------------------------------------------------------------------------------------
+
+ORDER_CELLS = "WITH c AS (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority']) AS col, unnest(['integer', 'integer', 'string', 'string']) AS native, unnest([CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority]) AS v FROM orders)\n"
+
+
+@query(ORDER_CELLS + 'SELECT col AS "column", native, count(*) AS n FROM c GROUP BY ALL')
+def p1_observed_types(spark: SparkSession, d: str) -> DataFrame:
+    return P.observed_types(read(spark, d, "orders"), ORDER_COLUMNS)
+
+
+@query(CELLS + f"SELECT 'v' AS \"column\", {TYPE} AS type, count(*) AS n FROM cells GROUP BY ALL")
+def p2_interpreted_types(spark: SparkSession, d: str) -> DataFrame:
+    return P.interpreted_types(_cells(spark, d), ["v"])
+
+
+PROFILE = """SELECT col AS "column", count(*) AS row_count, count(*) FILTER (t = 'null') AS null_count, round(count(*) FILTER (t = 'null') / count(*), 4) AS null_rate,
+  count(DISTINCT v) FILTER (t <> 'null') AS distinct_count,
+  coalesce(nullif(array_to_string(list_sort(list_filter(list_distinct(list(CASE WHEN t IN ('date', 'date-time') THEN 'string' ELSE t END)), lambda x: NOT (x = 'integer' AND list_contains(list(t), 'number')))), ','), ''), 'null') AS types,
+  CASE WHEN regexp_matches(col, '(^|_)(id|uuid|key)($|_)') THEN 'identifier' WHEN bool_or(t IN ('date', 'date-time')) THEN 'time' WHEN bool_and(t IN ('integer', 'number', 'null')) THEN 'measure' ELSE 'dimension' END AS role,
+  regexp_matches(col, '(^|_)(id|uuid|key)($|_)') AND count(*) FILTER (t = 'null') = 0 AND count(DISTINCT v) FILTER (t <> 'null') = count(*) AS candidate_key
+FROM typed GROUP BY col"""
+
+
+@query("""WITH c AS (SELECT unnest(['doc_id', 'lang', 'source', 'n_chars', 'text']) AS col, unnest(['integer', '', '', 'integer', '']) AS native, unnest([CAST(doc_id AS VARCHAR), lang, source, CAST(n_chars AS VARCHAR), text]) AS v FROM documents
+), typed AS (SELECT col, v, CASE WHEN v IS NULL THEN 'null' WHEN native <> '' THEN native ELSE """ + TYPE + " END AS t FROM c)\n" + PROFILE)
+def p8_column_profile(spark: SparkSession, d: str) -> DataFrame:
+    return P.column_profile(_docs(spark, d), ["doc_id", "lang", "source", "n_chars", "text"])
+
+
+@query(CELLS + f", typed AS (SELECT 'v' AS col, v, {TYPE} AS t FROM cells)\n" + PROFILE)
+def p3_p7_dirty_profile(spark: SparkSession, d: str) -> DataFrame:
+    return P.column_profile(_cells(spark, d), ["v"])
+
+
+@query("SELECT count(*) AS row_count, count(DISTINCT text) AS distinct_rows, count(*) - count(DISTINCT text) AS duplicate_rows FROM documents")
+def p5_duplicate_rows(spark: SparkSession, d: str) -> DataFrame:
+    return P.duplicate_rows(_docs(spark, d).select("text"))
+
+
+@query("""SELECT sha256('{"columns": {"r_name": "string", "r_regionkey": "integer"}, "family": "tabular"}') AS fingerprint, 2 AS columns FROM (SELECT count(*) AS n FROM region) WHERE n > 0""")
+def f24_schema_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return P.schema_fingerprint(read(spark, d, "region"))
+
+
+@query(FILES + f"SELECT {KIND} AS detected_type, source, count(*) AS n FROM files GROUP BY ALL ORDER BY n DESC, detected_type, source LIMIT 200")
+def p12_schema_groups(spark: SparkSession, d: str) -> DataFrame:
+    grouped = files(spark, d).groupBy(C.classify_text(F.col("content")).alias("detected_type"), "source").agg(F.count("*").alias("n"))
+    return grouped.orderBy(F.col("n").desc(), "detected_type", "source").limit(200)
+
+
+@query("""WITH n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events
+), z AS (SELECT CASE WHEN i >= n - n // 100 THEN 'tail' ELSE 'head' END AS zone, CASE WHEN i >= n - n // 100 THEN 'string' ELSE 'integer' END AS type FROM n)
+SELECT zone, type, count(*) AS n FROM z GROUP BY ALL""")
+def p14_schema_drift(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    low, high, n = e.agg(F.min("event_id"), F.max("event_id"), F.count("*")).first()
+    cut = e.orderBy(F.col("event_id").desc()).limit(n // 100).agg(F.min("event_id")).first()[0] if n >= 100 else high + 1
+    tail = F.col("event_id") >= cut
+    drift = e.select(F.when(tail, "tail").otherwise("head").alias("zone"), F.when(tail, "not_numeric").otherwise(F.col("user_id").cast("string")).alias("v"))
+    return drift.groupBy("zone", V.analytical_type(F.col("v")).alias("type")).agg(F.count("*").alias("n"))
+
+
+@query(FILES + f", k AS (SELECT 'ok' AS status, 'text' AS category, {KIND} AS format FROM files) SELECT status, category, format, count(*) AS n FROM k GROUP BY GROUPING SETS ((status), (category), (format))")
+def a1_status_counts(spark: SparkSession, d: str) -> DataFrame:
+    seen = C.inspect(files(spark, d)).select("status", "category", F.col("detected_type").alias("format"))
+    return seen.groupingSets([[F.col("status")], [F.col("category")], [F.col("format")]], "status", "category", "format").agg(F.count("*").alias("n"))
+
+
+@query(FILES + "SELECT count(*) AS total, 0 AS signatures, count(*) FILTER (source = 'pages') AS review FROM files")
+def a3_catalog_totals(spark: SparkSession, d: str) -> DataFrame:
+    seen = C.inspect(files(spark, d))
+    return seen.agg(F.count("*").alias("total"), F.coalesce(F.sum((F.col("confidence") == "signature").cast("int")), F.lit(0)).alias("signatures"), F.coalesce(F.sum((F.col("detected_type") != "text").cast("int")), F.lit(0)).alias("review"))
+
+
+@query(ITEMS + "SELECT batch_id, count(file_id) AS succeeded, count(*) - count(file_id) AS failed FROM items GROUP BY batch_id")
+def a4_batch_totals(spark: SparkSession, d: str) -> DataFrame:
+    return K.batch_totals(batch_items(spark, d))
+
+
+@query(FILES + "SELECT source, CAST(sum(strlen(content)) AS BIGINT) AS used FROM files GROUP BY source")
+def a5_storage_used(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).groupBy("source").agg(F.sum(F.octet_length("content")).alias("used"))
+
+
+@query("""WITH w AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_type <> '' AND event_id % 10 <> 0)
+SELECT user_id, count(*) AS words, round(avg(value), 2) AS score, CASE WHEN avg(value) < 60 THEN 'needs_review' ELSE 'sampled' END AS status FROM w WHERE i <= 2000 GROUP BY user_id""")
+def a6_score_rollup(spark: SparkSession, d: str) -> DataFrame:
+    kept = S.per_group(read(spark, d, "events").where("event_type <> '' and event_id % 10 <> 0"), ["user_id"], ["event_id"], 2000)
+    return kept.groupBy("user_id").agg(F.count("*").alias("words"), F.round(F.avg("value"), 2).alias("score"), F.when(F.avg("value") < 60, "needs_review").otherwise("sampled").alias("status"))
+
+
+# ---- joins and integrity -------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id AS file_id, a.sha256, policy_key FROM documents JOIN ({ANALYSES}) a ON sha256(text) = a.sha256")
+def j1_files_join_analyses(spark: SparkSession, d: str) -> DataFrame:
+    named = K.with_content_hash(_docs(spark, d).select(F.col("doc_id").alias("file_id"), F.col("text").alias("content")))
+    return K.join_analyses(named.drop("content"), analyses(spark, d), "p1").select("file_id", "sha256", "policy_key")
+
+
+@query(ITEMS + ", " + FILES[5:] + "SELECT batch_id, sequence, items.file_id, original_name, rejection, CASE WHEN items.file_id IS NULL THEN 'rejected' ELSE 'accepted' END AS state FROM items LEFT JOIN files ON items.file_id = files.file_id")
+def j2_batch_page(spark: SparkSession, d: str) -> DataFrame:
+    return K.batch_page(batch_items(spark, d), files(spark, d)).select("batch_id", "sequence", "file_id", "original_name", "rejection", "state")
+
+
+@query(f"SELECT doc_id AS file_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256 FROM ({ANALYSES}))")
+def j3_pending_work(spark: SparkSession, d: str) -> DataFrame:
+    named = K.with_content_hash(_docs(spark, d).select(F.col("doc_id").alias("file_id"), F.col("text").alias("content")))
+    return K.pending(named, analyses(spark, d), "p1").select("file_id")
+
+
+@query("SELECT doc_id AS file_id FROM documents WHERE doc_id % 5 <> 0")
+def j4_insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
+    now = _docs(spark, d).select(F.col("doc_id").alias("file_id"))
+    return now.join(now.where("file_id % 5 = 0"), "file_id", "left_anti")
+
+
+@query(FILES + ", m AS (SELECT original_name, 'orig_' || file_id || '.pdf' AS mapped FROM files WHERE file_id % 4 = 0) SELECT file_id, mapped FROM files LEFT JOIN m USING (original_name)")
+def j5_apply_name_map(spark: SparkSession, d: str) -> DataFrame:
+    f = files(spark, d).select("file_id", "original_name")
+    names = f.where("file_id % 4 = 0").select("original_name", F.concat(F.lit("orig_"), F.col("file_id").cast("string"), F.lit(".pdf")).alias("mapped"))
+    return f.join(names, "original_name", "left").select("file_id", "mapped")
+
+
+@query(ITEMS + f"SELECT batch_id, count(*) AS analysed FROM items JOIN documents ON file_id = doc_id JOIN ({ANALYSES}) a ON sha256(text) = a.sha256 GROUP BY batch_id")
+def j7_batch_report(spark: SparkSession, d: str) -> DataFrame:
+    named = K.with_content_hash(_docs(spark, d).select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))).drop("content")
+    return K.join_analyses(batch_items(spark, d).join(named, "file_id"), analyses(spark, d), "p1").groupBy("batch_id").agg(F.count("*").alias("analysed"))
+
+
+@query("SELECT doc_id AS file_id, sha256(text) AS sha256, length(text) AS chars FROM documents")
+def j8_reuse_by_content(spark: SparkSession, d: str) -> DataFrame:
+    named = K.with_content_hash(_docs(spark, d).select(F.col("doc_id").alias("file_id"), F.col("text").alias("content")))
+    return K.reuse_by_content(named, lambda once: once.select("sha256", F.length("content").cast("long").alias("chars")))
+
+
+@query(ITEMS + "SELECT sequence, batch_id IN (SELECT source FROM documents WHERE doc_id % 50 = 1) AS accepted FROM items")
+def j9_known_batch(spark: SparkSession, d: str) -> DataFrame:
+    known = _docs(spark, d).where("doc_id % 50 = 1").select(F.col("source").alias("batch_id")).distinct()
+    items = batch_items(spark, d).select("sequence", "batch_id")
+    yes, no = items.join(known, "batch_id", "left_semi"), items.join(known, "batch_id", "left_anti")
+    return yes.select("sequence", F.lit(True).alias("accepted")).unionByName(no.select("sequence", F.lit(False).alias("accepted")))
+
+
+@query("SELECT doc_id AS file_id, CASE WHEN doc_id % 37 = 0 THEN 'missing_original' WHEN doc_id % 41 = 0 THEN 'hash_mismatch' ELSE 'ok' END AS verdict FROM documents")
+def i1_verify_integrity(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    catalogue = docs.select(F.col("doc_id").alias("file_id"), F.octet_length("text").alias("file_size"), F.sha2("text", 256).alias("sha256"))
+    actual = docs.where("doc_id % 37 <> 0").select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 41 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("content"))
+    return K.verify_integrity(catalogue, actual)
+
+
+@query("SELECT count(*) AS orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 100 <> 0)")
+def i2_foreign_keys(spark: SparkSession, d: str) -> DataFrame:
+    known = read(spark, d, "orders").where("o_orderkey % 100 <> 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    return read(spark, d, "lineitem").select("l_orderkey").join(known, "l_orderkey", "left_anti").agg(F.count("*").alias("orphans"))
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1")
+def i5_content_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, CAST(max_by(v, o_orderkey) AS INT) AS v FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS v FROM orders) GROUP BY o_custkey")
+def k5_upsert(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return K.upsert(o.where("o_orderkey % 2 <> 0").withColumn("v", F.lit(0)), o.where("o_orderkey % 2 = 0").withColumn("v", F.lit(1)), ["o_custkey"], "o_orderkey")
+
+
+# ---- samples -------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, turn FROM n WHERE n <= 3 OR i IN (0, round_even((n - 1) / 2, 0), n - 1)""")
+def w1_w2_systematic_sample(spark: SparkSession, d: str) -> DataFrame:
+    return S.systematic_sample(read(spark, d, "conversations").select("conv_id", "turn"), ["conv_id"], ["turn"], 3)
+
+
+@query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events
+), b AS (SELECT *, (n // 2) // 2 AS h, (n // 2) // 4 AS q FROM n)
+SELECT event_id, CASE WHEN i < h THEN 'head' WHEN i >= n - q THEN 'tail' WHEN i >= (n - q) // 2 AND i < (n - q) // 2 + q THEN 'middle' ELSE 'rest' END AS zone FROM b""")
+def w3_window_sample(spark: SparkSession, d: str) -> DataFrame:
+    return S.zones(read(spark, d, "events").select("user_id", "event_id"), ["user_id"], ["event_id"]).select("event_id", "zone")
+
+
+@query("SELECT vec_id, pos, CAST(embedding[pos + 1] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, unnest([0, 9, 18, 27, 36, 45, 54, 63]) AS pos FROM embeddings)")
+def w4_array_positions(spark: SparkSession, d: str) -> DataFrame:
+    at = read(spark, d, "embeddings").select("vec_id", "embedding", F.explode(S.spread(F.size("embedding"), 8)).alias("pos"))
+    return at.select("vec_id", F.col("pos").cast("int").alias("pos"), F.get("embedding", F.col("pos").cast("int")).cast("double").alias("value"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5")
+def w5_head_sample(spark: SparkSession, d: str) -> DataFrame:
+    return S.page(read(spark, d, "orders").select("o_orderkey"), [F.col("o_orderkey")], 5)
+
+
+@query("SELECT o_orderpriority, o_orderkey FROM (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS i FROM orders) WHERE i <= 40")
+def w6_per_group_quota(spark: SparkSession, d: str) -> DataFrame:
+    return S.per_group(read(spark, d, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], ["o_orderkey"], 40)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 100")
+def w7_catalog_page(spark: SparkSession, d: str) -> DataFrame:
+    return S.page(read(spark, d, "orders").select("o_orderkey", "o_orderdate"), [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 50, 100)
+
+
+@query("SELECT event_id, (SELECT count(*) FROM events WHERE event_id > 123) > 200 AS truncated FROM events WHERE event_id > 123 ORDER BY event_id LIMIT 200")
+def w8_cursor_page(spark: SparkSession, d: str) -> DataFrame:
+    return S.cursor_page(read(spark, d, "events").select("event_id"), "event_id", 123, 200)
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) - 1 AS occurrence FROM documents")
+def w9_occurrence_index(spark: SparkSession, d: str) -> DataFrame:
+    return S.occurrence_index(_docs(spark, d).select("doc_id", F.sha2("text", 256).alias("k")), ["k"], ["doc_id"]).select("doc_id", "occurrence")
+
+
+@query("SELECT doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) <= 50000 AS accepted FROM documents")
+def w10_running_budget(spark: SparkSession, d: str) -> DataFrame:
+    return S.running_budget(_docs(spark, d).select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars", 50000).select("doc_id", "accepted")
+
+
+@query("""WITH RECURSIVE n AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents
+), f AS (
+  SELECT source, doc_id, i, n_chars <= 20000 AS accepted, CASE WHEN n_chars <= 20000 THEN n_chars ELSE 0 END AS used FROM n WHERE i = 1
+  UNION ALL SELECT n.source, n.doc_id, n.i, used + n_chars <= 20000, CASE WHEN used + n_chars <= 20000 THEN used + n_chars ELSE used END FROM f JOIN n ON n.source = f.source AND n.i = f.i + 1)
+SELECT doc_id, accepted FROM f""")
+def w11_greedy_quota(spark: SparkSession, d: str) -> DataFrame:
+    return S.greedy_quota(_docs(spark, d), "source", "doc_id", "n_chars", 20000).select("doc_id", "accepted")
+
+
+@query("SELECT doc_id, CASE WHEN n_chars > 5000 THEN 'too_large' END AS rejection FROM documents")
+def w12_item_limit(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.when(F.col("n_chars") > 5000, "too_large").alias("rejection"))
+
+
+# ---- rules and uploads ---------------------------------------------------------------------------------------------
+
+
+@query(FILES + "SELECT rule, result, count(*) AS n FROM (SELECT unnest(['format', 'coverage']) AS rule, unnest(['pass', CASE WHEN strlen(content) <= 4096 THEN 'pass' ELSE 'unknown' END]) AS result FROM files) GROUP BY ALL")
+def q1_q4_rules(spark: SparkSession, d: str) -> DataFrame:
+    seen = C.inspect(files(spark, d))
+    known = F.when(F.col("detected_type").isNotNull(), "pass").otherwise("unknown")
+    whole = F.when(F.col("file_size") <= 4096, "pass").otherwise("unknown")
+    each = F.array(F.struct(F.lit("format").alias("rule"), known.alias("result")), F.struct(F.lit("coverage").alias("rule"), whole.alias("result")))
+    return seen.select(F.inline(each)).groupBy("rule", "result").agg(F.count("*").alias("n"))
+
+
+@query(FILES + "SELECT file_id, CASE WHEN strlen(content) = 0 THEN 'insufficient_data' WHEN strlen(content) <= 4096 THEN 'complete' ELSE 'partial' END AS extraction FROM files")
+def q5_extraction_status(spark: SparkSession, d: str) -> DataFrame:
+    seen = C.inspect(files(spark, d))
+    return seen.select("file_id", F.when(F.col("status") == "empty", "insufficient_data").when(F.col("detected_type").isNull(), "unsupported").when(F.col("file_size") <= 4096, "complete").otherwise("partial").alias("extraction"))
+
+
+@query(PARTS + """SELECT upload_id, size, greatest((size + 1023) // 1024, 1) AS expected, count(*) AS arrived, count(etag) AS acknowledged,
+  CAST(sum(CASE WHEN etag IS NOT NULL THEN least(1024, size - (part - 1) * 1024) ELSE 0 END) AS BIGINT) AS bytes,
+  count(*) = greatest((size + 1023) // 1024, 1) AND count(etag) = count(*) AND max(part) = count(*) AS complete FROM p GROUP BY upload_id, size""")
+def u4_upload_complete(spark: SparkSession, d: str) -> DataFrame:
+    return K.upload_status(upload_parts(spark, d))
+
+
+@query(PARTS + ", e AS (SELECT upload_id, unnest(range(1, greatest((size + 1023) // 1024, 1) + 1)) AS part FROM sized) SELECT upload_id, part FROM e ANTI JOIN (SELECT * FROM p WHERE etag IS NOT NULL) a USING (upload_id, part)")
+def u6_resume_plan(spark: SparkSession, d: str) -> DataFrame:
+    sessions = _docs(spark, d).select(F.col("doc_id").alias("upload_id"), F.octet_length("text").cast("long").alias("size"))
+    return K.missing_parts(upload_parts(spark, d), sessions)
+
+
+@query(PARTS + "SELECT upload_id, sha256(string_agg(part || ':' || coalesce(etag, ''), ',' ORDER BY part)) AS identity FROM p GROUP BY upload_id")
+def u7_chunk_identity(spark: SparkSession, d: str) -> DataFrame:
+    return K.chunk_identity(upload_parts(spark, d))
+
+
+@query(PARTS + "SELECT upload_id % 10 AS shard, round(sum(CASE WHEN etag IS NOT NULL THEN least(1024, size - (part - 1) * 1024) ELSE 0 END) / sum(least(1024, size - (part - 1) * 1024)), 4) AS progress FROM p GROUP BY 1")
+def u8_transfer_progress(spark: SparkSession, d: str) -> DataFrame:
+    size = F.least(F.lit(1024).cast("long"), F.col("size") - (F.col("part") - 1) * 1024)
+    return upload_parts(spark, d).groupBy((F.col("upload_id") % 10).alias("shard")).agg(F.round(F.sum(F.when(F.col("etag").isNotNull(), size).otherwise(0)) / F.sum(size), 4).alias("progress"))
