@@ -61,17 +61,18 @@ def line_dedup(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col:
     repeated = hashes.groupBy("_h").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("_h").alias("_g"), "_first")
     #: the sum gives the aggregate an exchange of its own, so that AQE may split a frequent window's rows
     later = hashes.join(repeated, F.col("_h") == F.col("_g") + F.lit(0)).where("_id > _first").groupBy("_id").agg(F.collect_set("_h").alias("_later"))
-    joined = docs.join(later, docs[id_col] == later["_id"], "left").drop("_id")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
+    joined = rows.join(later, F.col("_key") == F.col("_id"), "left")
 
     def cleaned(lines: Column) -> Column:
         def by_window(windows: Column) -> Column:
-            whole = F.struct(F.col(text_col).alias("text"), F.size(lines).alias("n"), F.lit(0).alias("gone"))
+            whole = F.struct(F.col("_text").alias("text"), F.size(lines).alias("n"), F.lit(0).alias("gone"))
             without = lambda gone: F.struct(F.array_join(F.filter(lines, lambda _, i: ~F.get(gone, i)), "").alias("text"), F.size(lines).alias("n"), F.size(F.filter(gone, lambda y: y)).alias("gone"))
             repeats = F.col("_later").isNotNull() | (F.size(windows) > F.size(F.array_distinct(windows)))
             return F.when(repeats, let(_covered(F.size(lines), windows, F.col("_later"), size), without)).otherwise(whole)
 
         return let(window_hashes(lines, size), by_window)
 
-    work = joined.withColumn("_out", F.when(F.col(text_col).isNotNull(), let(lines_of(F.col(text_col)), cleaned)))
+    work = joined.withColumn("_out", F.when(F.col("_text").isNotNull(), let(lines_of(F.col("_text")), cleaned)))
     count = lambda name: F.coalesce(F.col(f"_out.{name}"), F.lit(0)).cast("long")
-    return work.select(*[F.col("_out.text").alias(c) if c == text_col else F.col(c) for c in docs.columns], count("n").alias("_n_lines"), count("gone").alias("_n_removed"))
+    return work.select(*[F.col("_out.text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns], count("n").alias("_n_lines"), count("gone").alias("_n_removed"))
