@@ -61,8 +61,8 @@ def line_dedup(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col:
     repeated = hashes.groupBy("_h").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("_h").alias("_g"), "_first")
     #: the sum gives the aggregate an exchange of its own, so that AQE may split a frequent window's rows
     later = hashes.join(repeated, F.col("_h") == F.col("_g") + F.lit(0)).where("_id > _first").groupBy("_id").agg(F.collect_set("_h").alias("_later"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
-    joined = rows.join(later, F.col("_key") == F.col("_id"), "left")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_key"))
+    joined = rows.join(later, F.col("_key") == F.col("_id"), "left").withColumn("_text", F.col("_row")[text_col])
 
     def cleaned(lines: Column) -> Column:
         def by_window(windows: Column) -> Column:
