@@ -61,6 +61,35 @@ def detect_format(content: Column) -> Column:
     return out
 
 
+# The wider profile's leading bytes, after the shared ones.
+WIDE_SIGNATURES = [
+    ("89504E470D0A1A0A", "png"),
+    ("FFD8FF", "jpeg"),
+    ("47494638", "gif"),
+    ("255044462D", "pdf"),
+    ("504B0304", "zip"),
+    ("504B0506", "zip"),
+    ("504B0708", "zip"),
+    ("1F8B", "gzip"),
+    ("D0CF11E0A1B11AE1", "ole"),
+    ("377ABCAF271C", "7z"),
+    ("526172211A07", "rar"),
+    ("53514C69746520666F726D6174203300", "sqlite"),
+    ("4F676753", "ogg"),
+    ("494433", "mp3"),
+    ("424D", "bmp"),
+]
+
+
+def detect_format_wide(content: Column) -> Column:
+    """The wider profile's format name: shorter signatures, OLE and ISO media; null if none fits."""
+    out = None
+    for hexes, name in WIDE_SIGNATURES:
+        out = (F if out is None else out).when(_at(content, 0, hexes), name)
+    out = out.when(_at(content, 0, "52494646") & _at(content, 8, "57415645"), "wav")
+    return out.when(_at(content, 4, "66747970"), "iso_media")
+
+
 def magic_bytes(content: Column, n: int = 32) -> Column:
     return F.lower(F.hex(F.substring(content, 1, n)))
 

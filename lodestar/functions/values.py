@@ -60,6 +60,12 @@ def display_name(name: Column) -> Column:
     return F.coalesce(F.nullif(F.substring(F.regexp_replace(last, r"\p{C}", ""), 1, 255), F.lit("")), F.lit("unnamed"))
 
 
+def safe_name(name: Column) -> Column:
+    """The plainer form of display_name: only ASCII control characters go, and the default is unnamed.dat."""
+    last = F.element_at(F.split(F.replace(F.coalesce(name, F.lit("")), F.lit("\\"), F.lit("/")), "/"), -1)
+    return F.coalesce(F.nullif(F.substring(F.regexp_replace(last, r"[\x00-\x1f\x7f]", ""), 1, 255), F.lit("")), F.lit("unnamed.dat"))
+
+
 def extension_of(name: Column) -> Column:
     return F.substring(F.lower(F.regexp_extract(name, r"^.+\.([^./\\]*)$", 1)), 1, 32)
 

@@ -20,6 +20,29 @@ def pending(files: DataFrame, analyses: DataFrame, policy: str) -> DataFrame:
     return files.join(analyses.where(F.col("policy_key") == policy), "sha256", "left_anti")
 
 
+def next_jobs(jobs: DataFrame, files: DataFrame) -> DataFrame:
+    """Work items (file_id, arrived) with the hash of their content, in order of arrival."""
+    return jobs.join(files.select("file_id", "sha256"), "file_id").orderBy("arrived", "file_id")
+
+
+def incremental(hashes: DataFrame, done: DataFrame, policy: str) -> tuple[DataFrame, DataFrame]:
+    """(pending, analyses after the run) of distinct contents under a policy; a new policy makes all of them pending."""
+    todo = pending(hashes, done, policy)
+    return todo, done.unionByName(todo.select("sha256", F.lit(policy).alias("policy_key")))
+
+
+def reprocess(done: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Analyses without those of the given contents, which are thereby pending again."""
+    return done.join(hashes, "sha256", "left_anti")
+
+
+def corpus_gate(items: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One row: rejected items, files that fail their check, and ok if there are none of either."""
+    rejected = items.agg(F.count_if(F.col("file_id").isNull()).alias("rejected"))
+    bad = verdicts.agg(F.count_if(F.col("verdict") != "ok").alias("bad"))
+    return rejected.join(bad).withColumn("ok", (F.col("rejected") == 0) & (F.col("bad") == 0))  # one row each
+
+
 def reuse_by_content(files: DataFrame, analyse) -> DataFrame:
     """Analyse each distinct content once and hand the result back to every file that has it."""
     once = analyse(files.select("sha256", "content").dropDuplicates(["sha256"]))

@@ -28,6 +28,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _load() -> None:
     import lodestar.plans.catalog_queries  # noqa: F401
+    import lodestar.plans.shape_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -37,3 +37,29 @@ def upload_parts(spark: SparkSession, sf_dir: str, chunk: int = 1024) -> DataFra
     n = F.greatest(F.ceil(F.col("size") / chunk), F.lit(1))
     parts = d.select("*", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long"))).alias("part")).where((F.col("upload_id") + F.col("part")) % 17 != 0)
     return parts.withColumn("etag", F.when((F.col("upload_id") + F.col("part")) % 19 != 0, F.concat(F.lit("e"), F.col("part").cast("string"))))
+
+
+def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as delimited files of at most 50 rows: file_id, content. Delimiter, header and ragged rows vary by id."""
+    o = read(spark, sf_dir, "orders").withColumn("file_id", F.floor(F.col("o_orderkey") / 50))
+    k = F.col("o_orderkey").cast("string")
+    d = F.element_at(F.array(*[F.lit(x) for x in (",", "\t", ";", "|")]), (F.col("file_id") % 4 + 1).cast("int"))
+    numbers = F.col("file_id") % 5 == 0
+    third = F.when(numbers, (F.col("o_orderkey") * 2).cast("string")).otherwise(F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"')))
+    cells = F.array(k, F.col("o_custkey").cast("string"), third)
+    cells = F.when(F.col("o_orderkey") % 7 == 0, F.array_append(cells, F.lit("9"))).when(F.col("o_orderkey") % 11 == 0, F.slice(cells, 1, 2)).otherwise(cells)
+    lines = o.select("file_id", "o_orderkey", d.alias("d"), F.call_function("array_join", cells, d).alias("line"), numbers.alias("numbers"))
+    text = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda r: r["line"])  # at most 50
+    grouped = lines.groupBy("file_id", "d", "numbers").agg(text.alias("rows"))
+    names = F.when(F.col("file_id") % 3 == 0, F.array(F.lit("key"), F.lit(""), F.lit("key"))).otherwise(F.array(F.lit("key"), F.lit("customer"), F.lit("priority")))
+    head = F.when(F.col("numbers"), F.array().cast("array<string>")).otherwise(F.array(F.call_function("array_join", names, F.col("d"))))
+    return grouped.select("file_id", F.concat(F.array_join(F.concat(head, F.col("rows")), "\n"), F.lit("\n")).alias("content"))
+
+
+def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON texts with optional keys and mixed types: event_id, body."""
+    i = F.col("event_id").cast("string")
+    note = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(',"note":'), F.when(F.col("event_id") % 2 == 0, F.lit('"x"')).otherwise(F.lit("null")))).otherwise("")
+    tag = F.when(F.col("event_id") % 5 == 0, F.lit("1.5")).otherwise(F.lit("2"))
+    body = F.concat(F.lit('{"user":{"z":'), F.col("user_id").cast("string"), F.lit(',"a":['), tag, F.lit(',{"q":true}]},"id":'), i, note, F.lit("}"))
+    return read(spark, sf_dir, "events").select("event_id", body.alias("body"))
