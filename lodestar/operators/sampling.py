@@ -31,6 +31,29 @@ def zones(df: DataFrame, group: list[str], order: list[str], head: float = 0.5,
     return df.withColumn("_i", i).withColumn("_n", n).withColumn("zone", F.when(i < h, "head").when(i >= n - q, "tail").when((i >= start) & (i < start + q), "middle").otherwise("rest")).drop("_i", "_n")
 
 
+def kth_largest(df: DataFrame, key: str, k: int, parts: int = 4096, small: int = 10_000) -> int | None:
+    """The k-th largest value of a column of whole numbers; null if there are fewer than k, nulls not counted.
+
+    Exact without a global sort: counts of at most `parts` equal ranges come to the driver, and the range that holds the
+    value is divided again, until at most `small` rows are in it or it is one value wide.
+    """
+    low, high, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    if k < 1 or n < k:
+        return None
+    while low < high and n > small:
+        width = (high - low) // parts + 1
+        inside = df.where(F.col(key).between(low, high))
+        counts = dict(inside.groupBy(F.floor((F.col(key) - low) / width).alias("r")).agg(F.count("*")).collect())
+        for r in sorted(counts, reverse=True):
+            if k <= counts[r]:
+                break
+            k -= counts[r]
+        low, high, n = low + r * width, min(high, low + (r + 1) * width - 1), counts[r]
+    if low == high:
+        return low
+    return df.where(F.col(key).between(low, high)).select(key).orderBy(F.col(key).desc()).offset(k - 1).limit(1).first()[0]
+
+
 def per_group(df: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n).drop("_i")

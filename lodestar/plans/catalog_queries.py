@@ -257,9 +257,8 @@ def p12_schema_groups(spark: SparkSession, d: str) -> DataFrame:
 SELECT zone, type, count(*) AS n FROM z GROUP BY ALL""")
 def p14_schema_drift(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
-    low, high, n = e.agg(F.min("event_id"), F.max("event_id"), F.count("*")).first()
-    cut = e.orderBy(F.col("event_id").desc()).limit(n // 100).agg(F.min("event_id")).first()[0] if n >= 100 else high + 1
-    tail = F.col("event_id") >= cut
+    cut = S.kth_largest(e, "event_id", e.count() // 100)
+    tail = F.lit(False) if cut is None else F.col("event_id") >= cut
     drift = e.select(F.when(tail, "tail").otherwise("head").alias("zone"), F.when(tail, "not_numeric").otherwise(F.col("user_id").cast("string")).alias("v"))
     return drift.groupBy("zone", V.analytical_type(F.col("v")).alias("type")).agg(F.count("*").alias("n"))
 

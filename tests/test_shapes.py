@@ -11,6 +11,7 @@ from lodestar.functions import bounded as B
 from lodestar.functions import content as C
 from lodestar.operators import catalog as K
 from lodestar.operators import delimited as D
+from lodestar.operators import sampling as S
 from lodestar.operators import shapes as N
 from lodestar.sources import files as R
 from lodestar.sources import sinks as W
@@ -182,3 +183,12 @@ def test_incremental(spark):
 def test_policy_keys_ignore_order(spark):
     one = spark.range(1).select(N.policy_key("1", {"a": 1, "b": 2}), N.policy_key("1", {"b": 2, "a": 1}), N.policy_key("2", {"a": 1, "b": 2})).first()
     assert one[0] == one[1] != one[2]
+
+
+def test_kth_largest(spark):
+    values = [(v * v % 997 - 300,) for v in range(500)] + [(None,), (10**12,), (-(10**12),)]
+    df = spark.createDataFrame(values, "v long")
+    ordered = sorted((v for (v,) in values if v is not None), reverse=True)
+    for k in (1, 2, 17, 250, len(ordered)):
+        assert S.kth_largest(df, "v", k, parts=5, small=3) == ordered[k - 1]
+    assert S.kth_largest(df, "v", 0) is None and S.kth_largest(df, "v", 504) is None and S.kth_largest(df.limit(0), "v", 1) is None
