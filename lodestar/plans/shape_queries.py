@@ -369,3 +369,72 @@ def u3_part_conflict(spark: SparkSession, d: str) -> DataFrame:
 def u5_stale_finalizer(spark: SparkSession, d: str) -> DataFrame:
     sessions = read(spark, d, "events").select("event_id", F.when(F.col("event_type") == "error", "finalizing").otherwise("open").alias("state"), F.col("ts").alias("updated"))
     return A.reclaimable(sessions, "2024-01-15 00:00:00").select("event_id")
+
+
+# ---- the rest of the content and sink rows -------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'archive' ELSE 'unknown' END AS category FROM documents")
+def f9_category_of(spark: SparkSession, d: str) -> DataFrame:
+    fmt = F.when(F.col("doc_id") % 3 == 0, "png").when(F.col("doc_id") % 3 == 1, "zip").otherwise("other")
+    return read(spark, d, "documents").select("doc_id", C.category_of(fmt).alias("category"))
+
+
+@query("SELECT doc_id, CAST(nullif(doc_id % 256, 0) AS INT) AS key FROM documents")
+def f15_xor_image_key(spark: SparkSession, d: str) -> DataFrame:
+    key = (F.col("doc_id") % 256).cast("int")
+    png = F.concat(*[F.lpad(F.hex(key.bitwiseXOR(F.lit(b))), 2, "0") for b in bytes.fromhex(C.SIGNATURES[0][0])])
+    return read(spark, d, "documents").select("doc_id", C.xor_image_key(F.concat(F.unhex(png), F.encode("text", "UTF-8"))).alias("key"))
+
+
+@query("SELECT o_custkey, CASE WHEN bool_or(o_orderkey % 2 = 0) THEN 'number,string' ELSE 'integer,string' END AS types FROM orders GROUP BY o_custkey")
+def f20_type_union(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.explode(F.array(F.when(F.col("o_orderkey") % 2 == 0, "number").otherwise("integer"), F.lit("string"), F.lit("integer")))
+    kinds = read(spark, d, "orders").select("o_custkey", kind.alias("t"))
+    return kinds.groupBy("o_custkey").agg(F.array_join(V.type_union(F.collect_set("t")), ",").alias("types"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'empty' WHEN 1 THEN 'empty_content' WHEN 2 THEN 'corrupt' ELSE 'sampled' END AS status FROM documents")
+def f32_reading_status(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("doc_id") % 4
+    text = F.when(m == 0, "").when(m == 1, " \n").when(m == 2, F.concat(F.lit("{"), F.coalesce("text", F.lit("")))).otherwise(F.concat(F.lit("t "), F.coalesce("text", F.lit(""))))
+    rows = read(spark, d, "documents").select("doc_id", text.alias("t"))
+    return rows.select("doc_id", C.reading_status(F.col("t"), C.classify_text(F.col("t"))).alias("status"))
+
+
+@query("SELECT count(*) AS row_count, min(o_orderkey) AS first FROM orders")
+def s11_parquet_sample(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "orders").agg(F.count("*").alias("row_count"), F.min("o_orderkey").alias("first"))
+
+
+@query(FILES + "SELECT file_id, 'ok' AS status, sha256(content) AS sha256 FROM files")
+def k1_manifest(spark: SparkSession, d: str) -> DataFrame:
+    path = W.shared_folder(spark)
+    W.write_manifest(C.inspect(files(spark, d)).select("file_id", "status", "sha256"), path)
+    return spark.read.schema("file_id long, status string, sha256 string").json(path)
+
+
+@query(FILES + "SELECT source, 'text' AS category, count(*) AS n FROM files GROUP BY source")
+def k3_by_category(spark: SparkSession, d: str) -> DataFrame:
+    path = W.shared_folder(spark)
+    typed = files(spark, d).withColumn("category", C.category_of(C.classify_text(F.col("content"))))
+    W.write_by_category(typed, path)
+    return spark.read.parquet(path).groupBy(F.col("source").cast("string").alias("source"), "category").agg(F.count("*").alias("n"))
+
+
+@query(ITEMS + "SELECT batch_id, file_id, true AS later FROM items WHERE sequence % 2 = 1 UNION ALL SELECT batch_id, file_id, false FROM items WHERE sequence % 2 = 0")
+def k6_append_items(spark: SparkSession, d: str) -> DataFrame:
+    path, items = W.shared_folder(spark), batch_items(spark, d)
+    W.append_items(items.where("sequence % 2 = 0").select("batch_id", "file_id"), path)
+    last = spark.read.parquet(path).agg(F.coalesce(F.max("sequence"), F.lit(-1))).first()[0]
+    W.append_items(items.where("sequence % 2 = 1").select("batch_id", "file_id"), path, last)
+    return spark.read.parquet(path).select("batch_id", "file_id", (F.col("sequence") > last).alias("later"))
+
+
+@query("SELECT doc_id AS file_id, sha256(text) AS sha256 FROM documents")
+def k8_restore(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
+    snapshot, target = W.shared_folder(spark), W.shared_folder(spark)
+    W.backup(docs.select("file_id", F.octet_length("content").alias("file_size"), F.sha2("content", 256).alias("sha256")), docs, snapshot)
+    W.restore(spark, snapshot, target)
+    return spark.read.parquet(f"{target}/originals").select("file_id", F.sha2("content", 256).alias("sha256"))
