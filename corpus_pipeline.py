@@ -48,6 +48,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
+        if i + 1 < len(STAGES) and stage is not mix_sources:  # written and read again, the training order would be lost
             docs, _ = keep(docs)
     return docs

@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
     return work.withColumn("target", target).select("source", "source_size", "target", F.col("_rank").alias("ord"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, tilts: tuple[float, ...] = TILTS, cap: float = 3.0, digits: int = DIGITS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, digits: int = DIGITS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Documents -> one row per document with its copies in the mix and where they stand in the training run.
 
     A document's size is its number of words. Every source is ordered by the MD5 of the id; its words, repeated over
@@ -76,15 +76,29 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, tilts: tuple[floa
     return placed.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select("doc_id", "size", "source", "source_size", "target", "taken", "copies", "_place", "ord")
 
 
+def _met_at(share: Column, ord: Column, tilts: tuple[float, ...]) -> Column:
+    """Training time at which a source has met this share of its demand: the inverse of its integrated rate."""
+    tilt = F.get(F.array(*map(F.lit, tilts)), (ord % len(tilts)).cast("int"))
+    # the share met by t is a t + b t t, with a = 2 / (1 + tilt) and b = (tilt - 1) / (1 + tilt)
+    a, b = 2.0 / (1.0 + tilt), (tilt - 1.0) / (1.0 + tilt)
+    return F.least(F.lit(1.0), 2.0 * share / (a + F.sqrt(F.greatest(F.lit(0.0), a * a + 4.0 * b * share))))
+
+
+def _share(epoch: Column) -> Column:
+    """Share of the source's demand met at the middle of a document's copy."""
+    return F.when(F.col("target") > 0, F.least(F.lit(1.0), (epoch * F.col("source_size") + F.col("_place") + F.col("size") / 2.0) / F.col("target"))).otherwise(F.lit(0.0))
+
+
 def positions(mixed: DataFrame, tilts: tuple[float, ...] = TILTS) -> DataFrame:
     """mix() rows -> one row per copy with epoch and position in [0, 1], range-sorted by position."""
-    tilt = F.get(F.array(*map(F.lit, tilts)), (F.col("ord") % len(tilts)).cast("int"))
     copy = mixed.where("copies > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("epoch"))
-    share = F.when(F.col("target") > 0, F.least(F.lit(1.0), (F.col("epoch") * F.col("source_size") + F.col("_place") + F.col("size") / 2.0) / F.col("target"))).otherwise(F.lit(0.0))
-    # the share met by t is a t + b t t, with a = 2 / (1 + tilt) and b = (tilt - 1) / (1 + tilt)
-    a, b = 2.0 / (1.0 + tilt), (tilt - 1.0) / (1.0 + tilt)
-    inverse = 2.0 * share / (a + F.sqrt(F.greatest(F.lit(0.0), a * a + 4.0 * b * share)))
-    return copy.withColumn("position", F.least(F.lit(1.0), inverse)).orderBy("position", "doc_id", "epoch")
+    return copy.withColumn("position", _met_at(_share(F.col("epoch")), F.col("ord"), tilts)).orderBy("position", "doc_id", "epoch")
+
+
+def training_order(mixed: DataFrame, tilts: tuple[float, ...] = TILTS) -> DataFrame:
+    """mix() rows with positions, an array with the position of each copy; range-sorted by it, documents without a copy last."""
+    epochs = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
+    return mixed.withColumn("positions", F.transform(epochs, lambda e: _met_at(_share(e), F.col("ord"), tilts))).orderBy(F.col("positions").asc_nulls_last(), "doc_id")
 
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

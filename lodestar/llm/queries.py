@@ -53,7 +53,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Rows in training order: by the positions of their copies, of which the columns of the SQL twin leave no trace but the order."""
+    return mixing.training_order(mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

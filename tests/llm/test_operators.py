@@ -302,6 +302,21 @@ def test_mixing(docs, odd, spark):
     assert mixing.curriculum(docs).columns == docs.columns
 
 
+def test_mixing_query_in_training_order(docs, spark):
+    from lodestar.llm import queries
+
+    first, every = {}, {}
+    for r in mixing.positions(mixing.mix(docs)).collect():
+        first.setdefault(r["doc_id"], r["position"])
+        every.setdefault(r["doc_id"], []).append(r["position"])
+    got = [r["doc_id"] for r in queries.op10_mixing(spark, DIR).collect()]
+    taken = [i for i in got if i in first]
+    assert taken == got[: len(taken)] and len(got) == docs.count()
+    assert [first[i] for i in taken] == sorted(first.values())
+    listed = {r["doc_id"]: r["positions"] for r in mixing.training_order(mixing.mix(docs)).where("copies > 0").collect()}
+    assert listed == every
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}

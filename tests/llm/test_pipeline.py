@@ -30,3 +30,12 @@ def test_empty(spark):
     empty = table(spark, DIR, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DIR).count() == 0
+
+
+def test_packing_reads_training_order(spark, monkeypatch):
+    seen = []
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        if name == "packing":
+            monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:i], (name, lambda s, docs, d: seen.append(docs) or docs)])
+    corpus_pipeline.run(spark, DIR)
+    assert "Sort [position" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
