@@ -11,8 +11,10 @@ from lodestar.llm.common import keep, table
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling selects; null and empty texts weigh 0 and are judged like any other."""
-    chosen = quality.resample(docs, table(spark, sf_dir, "labels")).where("selected").select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi").select(*docs.columns)
+    scored = quality.resample(docs, table(spark, sf_dir, "labels"), text_hash=True)
+    chosen = scored.where("selected").select(F.col("doc_id").alias("_id"), "text_hash").distinct()  # equal id and text: one verdict
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("text_hash"))
+    return docs.join(chosen, same, "left_semi").select(*docs.columns)
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +25,15 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash class; rows that repeat its id stay with it."""
-    kept = simhash.simhash_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of the smallest id of each SimHash class, those that repeat it included; one row where all ids are null."""
+    keyed, _ = keep(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_n")))
+    rows = keyed.select("_n", F.col("_row.doc_id").alias("_id"), F.col("_row.text").alias("text"))
+    classes = simhash.simhash_classes(rows, id_col="_n").select(F.col("doc_id").alias("_m"), "component_id")
+    named, _ = keep(classes.join(rows.select("_n", "_id"), F.col("_m") == F.col("_n")).select("_n", "_id", "component_id"))
+    first = named.groupBy("component_id").agg(F.min("_id").alias("_least"), F.min("_n").alias("_first")).withColumnRenamed("component_id", "_c")
+    kept = named.join(first, F.col("component_id") == F.col("_c") + F.lit(0)).where((F.col("_id") == F.col("_least")) | (F.col("_least").isNull() & (F.col("_n") == F.col("_first"))))
+    left = keyed.join(kept.select(F.col("_n").alias("_k")), F.col("_n") == F.col("_k"), "left_semi")
+    return left.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
     return work.withColumn("target", target).select("source", "source_size", "target", F.col("_rank").alias("ord"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, digits: int = DIGITS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, digits: int = DIGITS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
     """Documents -> one row per document with its copies in the mix and where they stand in the training run.
 
     A document's size is its number of words. Every source is ordered by the MD5 of the id; its words, repeated over
@@ -52,13 +52,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0,
 
     Returns doc_id, size, source, source_size, target, taken (words, repeats counted), copies, _place (words of the
     source before it). Null text has size 0, a null source is a source of its own (last). Rows of equal id and size
-    are ordered among each other arbitrarily, which changes no result. Further columns are ignored.
+    are ordered among each other arbitrarily, which changes no result. Further columns are ignored; with `carry`, _row
+    holds the whole input row.
 
     Plan: sums per source and hash range (combined before the shuffle) give each range its start; running sums are
     only taken inside a range, so a source with a third of all rows is spread over thousands of groups.
     """
     key = F.md5(F.col(id_col).cast("string"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.coalesce(key, F.lit("")).alias("_key"))
+    kept = [F.struct(*docs.columns).alias("_row")] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.coalesce(key, F.lit("")).alias("_key"), *kept)
     rows = rows.withColumn("_bin", F.substring("_key", 1, digits))
     ranges = rows.groupBy("source", "_bin").agg(F.sum("size").alias("_in"))
     before = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -73,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0,
     whole = F.floor(ratio)
     extra = F.when(F.col("_place") + F.col("size") / 2.0 <= (ratio - whole) * F.col("source_size"), 1).otherwise(0)
     copies = F.least(whole + extra, F.floor(F.lit(cap))).cast("long")
-    return placed.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select("doc_id", "size", "source", "source_size", "target", "taken", "copies", "_place", "ord")
+    return placed.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select("doc_id", "size", "source", "source_size", "target", "taken", "copies", "_place", "ord", *(["_row"] if carry else []))
 
 
 def _met_at(share: Column, ord: Column, tilts: tuple[float, ...]) -> Column:
@@ -104,9 +106,8 @@ def training_order(mixed: DataFrame, tilts: tuple[float, ...] = TILTS) -> DataFr
 def curriculum(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, range-sorted by training position; columns as given.
 
-    Rows that share an id each stand for themselves in the counts, and their ids should be unique for this.
+    Rows go through the mix with their places, so that each has its own copies, whether its id is repeated or null.
     """
-    placed = mix(docs, id_col=id_col, **{k: v for k, v in options.items() if k != "tilts"})
-    at = positions(placed, options.get("tilts", TILTS)).select(F.col("doc_id").alias("_id"), "epoch", "position")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_key"))
-    return rows.join(at, F.col("_key") == F.col("_id")).orderBy("position", "_id", "epoch").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    placed = mix(docs, id_col=id_col, carry=True, **{k: v for k, v in options.items() if k != "tilts"})
+    at = positions(placed, options.get("tilts", TILTS))
+    return at.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -79,15 +79,16 @@ def log_ratios(counts: list, smoothing: float = 1.0) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, log_ratio): the document's log importance weight, the sum over its n-grams."""
+def score(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
+    """(doc_id, log_ratio): the document's log importance weight, the sum over its n-grams; with `text_hash`, which tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             got = [round(float(ratios[ngrams(t.as_py() or "")].sum()), 6) for t in rb.column(1)]
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(got, pa.float64())], names=["doc_id", "log_ratio"])
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(got, pa.float64()), *rb.columns[2:]], names=["doc_id", "log_ratio", *rb.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, log_ratio double")
+    told = [F.xxhash64(text_col).alias("text_hash")] if text_hash else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *told).mapInArrow(run, "doc_id long, log_ratio double" + ", text_hash long" * text_hash)
 
 
 def kth_largest(keys: DataFrame, col: str, k: int) -> float:
@@ -125,8 +126,8 @@ def threshold(good: list[float], bad: list[float], cost: float = 5.0) -> float:
     return best
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, fit_rows: int = FIT_ROWS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents -> (doc_id, log_ratio, gumbel_key, selected).
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, fit_rows: int = FIT_ROWS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
+    """Documents -> (doc_id, log_ratio, gumbel_key, selected), with `text_hash` also the xxhash64 of the text.
 
     The raw model counts the hashed n-grams of all documents, the target model those of at most `fit_rows` labelled
     documents of quality 1. A document's log importance weight is the sum of its n-grams' log ratios. Gumbel top-k:
@@ -144,7 +145,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, fit_rows:
     fit, _ = keep(fit.select(F.col("doc_id").alias("_id"), "quality"))
     marked = docs.join(F.broadcast(fit), F.col("doc_id") == F.col("_id"), "left")  # at most fit_rows rows of two numbers
     counts = bucket_counts(marked.withColumn("_target", F.coalesce(F.col("quality") == 1, F.lit(False)))).collect()
-    scored, _ = keep(score(docs, log_ratios(counts)))
+    scored, _ = keep(score(docs, log_ratios(counts), text_hash=text_hash))
     u = (F.xxhash64(F.lit(seed), "doc_id").bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
     keyed = scored.withColumn("gumbel_key", F.round(F.col("log_ratio") - F.log(-F.log(u)), 6))
     if k is None:

@@ -39,3 +39,23 @@ def test_packing_reads_training_order(spark, monkeypatch):
             monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:i], (name, lambda s, docs, d: seen.append(docs) or docs)])
     corpus_pipeline.run(spark, DIR)
     assert "Sort [position" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_null_ids_and_repeated_rows(spark):
+    text = "one two three four five six seven "
+    rows = [(None, "a " + text, "en", "s", 36), (None, "b " * 30, "en", "s", 60), (None, "b " * 30, "en", "s", 60)]
+    rows += [(i, f"w{i} " * 40, "en", "s", 160) for i in (1, 2, 2, 3)]
+    docs = spark.createDataFrame(rows, table(spark, DIR, "documents").schema)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    unlabelled = {"labels": labels}
+    chosen = corpus_pipeline.quality.resample(docs, labels).where("selected").count()
+    with_labels = corpus_pipeline.table
+    corpus_pipeline.table = lambda s, d, name: unlabelled[name]
+    try:
+        assert corpus_pipeline.select_quality(spark, docs, DIR).count() == chosen == 7
+    finally:
+        corpus_pipeline.table = with_labels
+    near = [(r["doc_id"], r["text"][0]) for r in corpus_pipeline.drop_near_copies(spark, docs, DIR).collect()]
+    assert sorted(near, key=repr) == sorted([(None, "a"), (None, "b"), (1, "w"), (2, "w"), (2, "w"), (3, "w")], key=repr)
+    mixed = corpus_pipeline.mix_sources(spark, docs, DIR)
+    assert mixed.count() == 7  # one source: its target is its size, so each row is taken once
