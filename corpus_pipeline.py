@@ -25,10 +25,10 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of the smallest id of each SimHash class, those that repeat it included; one row where all ids are null."""
+    """The rows of the smallest id of each class of near copies (five words, similarity 0.8), those that repeat it included; one row where all ids are null."""
     keyed, _ = keep(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_n")))
     rows = keyed.select("_n", F.col("_row.doc_id").alias("_id"), F.col("_row.text").alias("text"))
-    classes = simhash.simhash_classes(rows, id_col="_n").select(F.col("doc_id").alias("_m"), "component_id")
+    classes = simhash.near_copies(rows, id_col="_n").select(F.col("node").alias("_m"), F.col("component").alias("component_id"))
     named, _ = keep(classes.join(rows.select("_n", "_id"), F.col("_m") == F.col("_n")).select("_n", "_id", "component_id"))
     first = named.groupBy("component_id").agg(F.min("_id").alias("_least"), F.min("_n").alias("_first")).withColumnRenamed("component_id", "_c")
     kept = named.join(first, F.col("component_id") == F.col("_c") + F.lit(0)).where((F.col("_id") == F.col("_least")) | (F.col("_least").isNull() & (F.col("_n") == F.col("_first"))))
@@ -48,7 +48,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality", select_quality), ("line_dedup", remove_lines), ("simhash", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
 
-#: The quality classifier and SimHash have no SQL form; tests hold the stages against brute force.
+#: The quality classifier and near copies have no SQL form; tests hold the classes of near copies against brute force.
 ORACLE_SQL = None
 
 

@@ -113,5 +113,93 @@ def simhash_classes(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return each.join(labelled, F.col("fingerprint") == F.col("fp").bitwiseXOR(F.lit(0).cast("long"))).select("doc_id", "fingerprint", "component_id")
 
 
+def shingles(text: str, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles, read as fingerprint() reads them."""
+    w = text.encode().lower().split()
+    parts = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)] * bool(w)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype="<u8").view(np.int64))
+
+
+def _sets(rows: DataFrame, words: int) -> DataFrame:
+    """(node, text) -> (node, set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for low in range(0, rb.num_rows, 256):
+                part = rb.slice(low, 256)
+                got = pa.array([shingles(t.as_py() or "", words) for t in part.column(1)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), got], names=["node", "set"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, set array<long>")
+
+
+def _prefixes(rows: DataFrame, words: int, similarity: float, common: list) -> DataFrame:
+    """(node, text) -> (node, same, n, prefix): same is equal for equal sets; of two sets that reach the similarity, the prefixes meet.
+
+    A prefix holds the first n - ceil(similarity n) + 1 shingles in one order for all texts: common ones last, then by
+    hash. The order changes how many candidates there are, not which links.
+    """
+    hashes = np.array(sorted(h for h, _ in common), np.int64)
+    counts = np.array([n for _, n in sorted(common)], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            same, size, prefix = [], [], []
+            for t in rb.column(1):
+                got = shingles(t.as_py() or "", words)
+                rank = np.zeros(len(got), np.int64)
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, got), len(hashes) - 1)
+                    rank = np.where(hashes[at] == got, counts[at], 0)
+                first = len(got) - int(np.ceil(similarity * len(got) - 1e-9)) + 1
+                same.append(xxhash.xxh3_128_digest(got.tobytes()))
+                size.append(len(got))
+                prefix.append(got[np.lexsort((got, rank))[:first]])
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["node", "same", "n", "prefix"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, same binary, n long, prefix array<long>")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents, ids unique longs -> (node, component): classes of the closure of all pairs whose sets of word shingles have at least this Jaccard similarity.
+
+    Exact: SimHash bits say too little at this similarity, so candidates share a shingle of their prefixes, and each is
+    verified on whole sets. Equal sets are one node. Of a shingle's documents, first all are compared with one of them,
+    the leader; then those outside its class with all that are not in theirs. So many copies of each other cost one
+    comparison each; documents without links that share a prefix shingle are compared pair by pair.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    part = rows.where(F.pmod(F.xxhash64("node"), F.lit(20)) == 0)
+    often = _sets(part, words).select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    common = [tuple(r) for r in often.orderBy(F.col("n").desc(), "h").limit(50_000).collect()]  # for the order only
+    each, _ = keep(_prefixes(rows, words, similarity, common))
+    alike = each.groupBy("same").agg(F.min("node").alias("rep"))
+    named, _ = keep(each.select("node", "same").join(alike.withColumnRenamed("same", "s2"), F.col("same") == F.col("s2")).select("node", "rep"))
+    equal = named.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    reps = named.where("node = rep").select(F.col("rep").alias("r"))
+    keyed = each.join(reps, F.col("node") == F.col("r"), "left_semi").select("node", "n", F.explode("prefix").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node"), "node", "n")).alias("lead")).where("m > 1")
+    met, _ = keep(keyed.join(shared.select((F.col("key") + F.lit(0)).alias("k2"), "lead"), F.col("key") == F.col("k2")).select("key", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")))
+    sets, _ = keep(_sets(rows.join(met.select(F.col("node").alias("m")).distinct(), F.col("node") == F.col("m"), "left_semi"), words))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        own = pairs.distinct().join(sets.select(F.col("node").alias("na"), F.col("set").alias("sa")), F.col("a") == F.col("na")).join(sets.select(F.col("node").alias("nb"), F.col("set").alias("sb")), F.col("b") == F.col("nb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        return own.where(both / (F.size("sa") + F.size("sb") - both) >= similarity).select("a", "b")
+
+    fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+    stars, _ = keep(linked(met.where("node <> lead").where(fits("n", "lead_n")).select(F.col("lead").alias("a"), F.col("node").alias("b"))))
+    at = connected_components(stars).select(F.col("node").alias("c_node"), "component")
+    where = lambda name, to: F.coalesce(F.col(name), F.col(to))
+    told = met.join(at, F.col("node") == F.col("c_node"), "left").withColumn("c", where("component", "node")).drop("c_node", "component")
+    told = told.join(at, F.col("lead") == F.col("c_node"), "left").withColumn("main", where("component", "lead")).select("key", "node", "n", "c", "main")
+    told, _ = keep(told)
+    x, y = told.where("c <> main").select("key", *[F.col(v).alias(v + "x") for v in ("node", "n", "c", "main")]), told.select("key", *[F.col(v).alias(v + "y") for v in ("node", "n", "c")])
+    rest = x.join(y, "key").where("cx <> cy").where((F.col("cy") == F.col("mainx")) | (F.col("nodex") < F.col("nodey"))).where(fits("nx", "ny"))
+    more = linked(rest.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")))
+    classes = connected_components(equal.unionByName(stars).unionByName(more))
+    return rows.select("node").join(classes.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").select("node", where("component", "node").alias("component"))
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

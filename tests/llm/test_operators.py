@@ -174,6 +174,25 @@ def test_simhash_links_by_brute_force(spark, monkeypatch):
         assert {k: k if c is None else c for k, c in got.items()} == want
 
 
+def test_near_copies_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    texts = [None, "", " ", "one two", "One  two"]
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 400, int(rng.integers(30, 120)))]
+        for edits in (0, 0, 1, 1, 2, 3, 4):  # scattered edits: similarities on both sides of 0.8
+            w = list(base)
+            for at in rng.integers(0, len(w), edits):
+                w[at] = "edit"
+            texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := (t or "").lower().split()) else set() for t in texts]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    assert any(simhash.fingerprint(texts[i] or "") != simhash.fingerprint(texts[j] or "") for i, j in pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["node"]: r["component"] for r in simhash.near_copies(docs).collect()}
+    assert got == union_find(range(len(texts)), pairs)
+    assert simhash.near_copies(docs.limit(0)).count() == 0
+
+
 def test_simhash_odd(odd):
     got = {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.simhash_classes(odd).collect()}
     by = {i: c for i, _, c in got}
