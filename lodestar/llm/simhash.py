@@ -8,7 +8,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import connected_components, keep
@@ -178,8 +178,14 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     equal = named.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     reps = named.where("node = rep").select(F.col("rep").alias("r"))
     keyed = each.join(reps, F.col("node") == F.col("r"), "left_semi").select("node", "n", F.explode("prefix").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node"), "node", "n")).alias("lead")).where("m > 1")
-    met, _ = keep(keyed.join(shared.select((F.col("key") + F.lit(0)).alias("k2"), "lead"), F.col("key") == F.col("k2")).select("key", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")))
+    fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    met = keyed.join(shared.select((F.col("key") + F.lit(0)).alias("k2")), F.col("key") == F.col("k2")).select("key", "node", "n")
+    by_size = Window.partitionBy("key").orderBy("n", "node")  # if any size fits a document's, one next to it does
+    met = met.withColumn("under", F.lag("n").over(by_size)).withColumn("over", F.lead("n").over(by_size))
+    met = met.where(F.coalesce(fits(F.col("n"), F.col("under")), F.lit(False)) | F.coalesce(fits(F.col("n"), F.col("over")), F.lit(False)))
+    met = met.withColumn("lead", F.min(F.struct(F.xxhash64("node"), "node", "n")).over(Window.partitionBy("key")))
+    met, _ = keep(met.select("key", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")))
     sets, _ = keep(_sets(rows.join(met.select(F.col("node").alias("m")).distinct(), F.col("node") == F.col("m"), "left_semi"), words))
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -187,7 +193,6 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
         both = F.size(F.array_intersect("sa", "sb"))
         return own.where(both / (F.size("sa") + F.size("sb") - both) >= similarity).select("a", "b")
 
-    fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
     stars, _ = keep(linked(met.where("node <> lead").where(fits("n", "lead_n")).select(F.col("lead").alias("a"), F.col("node").alias("b"))))
     at = connected_components(stars).select(F.col("node").alias("c_node"), "component")
     where = lambda name, to: F.coalesce(F.col(name), F.col(to))
