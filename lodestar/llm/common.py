@@ -10,14 +10,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a few numbers that may be broadcast: some 24 MB.
+BROADCAST_ROWS = 1_000_000
+#: A node with more edges than HUB, and than one in HUBS of all, is a hub: at most 2 HUBS rows are broadcast at any size.
+HUB, HUBS = 64, 50_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share. Where the session names none: a temporary one in local mode, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-lodestar-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,10 +37,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def keep(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write df into the shared folder and read it back: lineage ends there, and lost executors cost no rework."""
+    """Write df into the shared folder and read it back: lineage ends there, and lost executors cost no rework. The table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -41,24 +51,33 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small(kept: DataFrame) -> DataFrame:
+    """A kept table of a few numbers a row, marked for broadcast if it has no more than BROADCAST_ROWS rows; counting reads file footers only."""
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Undirected edges of longs -> (node, component): component is the smallest node reachable.
 
     Alternating large-star and small-star rounds: every round is two aggregations and two joins, the number of rounds
     grows with the logarithm of the longest path, and no group is ever gathered. Null ends and self-loops are ignored;
     nodes without an edge are absent. Each round is written to the shared folder, so lineage stays one round long.
+
+    A large component becomes a star, whose edges all meet at one node. The least neighbours of such hubs are
+    broadcast, a number bounded at any size, so that their edges are not dealt by the hub.
     """
     spark = edges.sparkSession
     start = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now, path = keep(start)
     mark = _mark(now)
     while mark[0]:
+        heavy = max(HUB, mark[0] // HUBS)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = _at(both.where("v > u"), lowest).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        small = _at(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        then, new_path = keep(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
+        lowest = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "n")
+        large = _at(both.where("v > u"), lowest, heavy).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("w"), "m", "n")
+        small_star = _at(large, least, heavy).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        then, new_path = keep(small_star.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
         new_mark = _mark(then)
         discard(spark, path)
         now, path = then, new_path
@@ -69,9 +88,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _at(rows: DataFrame, lowest: DataFrame) -> DataFrame:
-    """Join on u = w. The sum gives the aggregate an exchange of its own, so that AQE may split a hot node's rows."""
-    return rows.join(lowest, F.col("u") == F.col("w") + F.lit(0))
+def _at(rows: DataFrame, lowest: DataFrame, heavy: int) -> DataFrame:
+    """rows (u, v) with m of lowest (w, m, n) at u = w. Hubs meet by broadcast; the rest is shuffled, and no key of it has more than `heavy` rows."""
+    hubs = F.broadcast(lowest.where(F.col("n") > heavy).select(F.col("w").alias("h"), F.col("m").alias("hm")))
+    met = rows.join(hubs, F.col("u") == F.col("h"), "left")
+    rest = met.where("h is null").select("u", "v").join(lowest.where(F.col("n") <= heavy).select("w", "m"), F.col("u") == F.col("w"))
+    return met.where("h is not null").select("u", "v", F.col("hm").alias("m")).unionByName(rest.select("u", "v", "m"))
 
 
 def _mark(df: DataFrame) -> tuple:

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestar.llm import chat, embeddings, line_dedup, mixing, order_minhash, packing, quality, simhash, token_counts, toxicity
@@ -155,7 +156,22 @@ def union_find(ids, pairs):
     return {i: find(i) for i in ids}
 
 
-def test_simhash_links_by_brute_force(spark, monkeypatch):
+def brute_fingerprint(text):
+    w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in re.split("[\x20\x09-\x0d]+", text) if x]
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints_by_brute_force(spark, docs, odd):
+    texts = spark.createDataFrame([(1, "A  b\x0bC d\x1ce\x85f\u00a0g h É é ÉÉ"), (2, "x\ty"), (3, "ß " * 70), (4, None)], "doc_id long, text string")
+    for df in (docs.limit(100), odd, texts):
+        want = [(r["doc_id"], f"{brute_fingerprint(r['text'] or ''):016x}") for r in df.collect()]
+        got = simhash.fingerprints(df).select("doc_id", simhash.hexadecimal(F.col("fingerprint"))).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_simhash_links_by_brute_force(spark):
     rng = np.random.default_rng(3)
     fps = {int(x) for x in rng.integers(-(2**63), 2**63 - 1, 60)}
     for f in list(fps)[:20]:  # dense and chained neighbourhoods
@@ -168,10 +184,10 @@ def test_simhash_links_by_brute_force(spark, monkeypatch):
     pairs = [(i, j) for i in range(len(v)) for j in np.flatnonzero(np.bitwise_count(v[i] ^ v[i + 1 :]) <= 2) + i + 1]
     want = union_find(range(len(v)), pairs)
     nodes = spark.createDataFrame(list(zip(fps, range(len(fps)))), "fp long, node long")
-    for light in (2, 32):
-        monkeypatch.setattr(simhash, "LIGHT", light)
-        got = dict.fromkeys(range(len(v))) | {r["node"]: r["component"] for r in connected_components(simhash.links(nodes)).collect()}
-        assert {k: k if c is None else c for k, c in got.items()} == want
+    found = simhash.links(nodes).collect()
+    assert sorted((min(r), max(r)) for r in map(tuple, found)) == sorted(pairs)
+    got = dict.fromkeys(range(len(v))) | {r["node"]: r["component"] for r in connected_components(simhash.links(nodes)).collect()}
+    assert {k: k if c is None else c for k, c in got.items()} == want
 
 
 def test_near_copies_by_brute_force(spark):
@@ -337,6 +353,7 @@ def test_mixing_query_in_training_order(docs, spark):
 
 
 def test_components(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
+    hub = [(300, 200 + i) for i in range(90)] + [(i, 400) for i in (250, 260)]  # above the size of a hub
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)] + hub, "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} | {i: 200 for i in [*range(200, 290), 300, 400]}
