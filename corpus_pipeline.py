@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import line_dedup, mixing, packing, quality, simhash
-from lodestar.llm.common import keep, table
+from lodestar.llm.common import keep, small, table
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +28,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The rows of the smallest id of each class of near copies (five words, similarity 0.8), those that repeat it included; one row where all ids are null."""
     keyed, _ = keep(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_n")))
     rows = keyed.select("_n", F.col("_row.doc_id").alias("_id"), F.col("_row.text").alias("text"))
-    classes = simhash.near_copies(rows, id_col="_n").select(F.col("node").alias("_m"), F.col("component").alias("component_id"))
-    named, _ = keep(classes.join(rows.select("_n", "_id"), F.col("_m") == F.col("_n")).select("_n", "_id", "component_id"))
-    first = named.groupBy("component_id").agg(F.min("_id").alias("_least"), F.min("_n").alias("_first")).withColumnRenamed("component_id", "_c")
-    kept = named.join(first, F.col("component_id") == F.col("_c") + F.lit(0)).where((F.col("_id") == F.col("_least")) | (F.col("_least").isNull() & (F.col("_n") == F.col("_first"))))
-    left = keyed.join(kept.select(F.col("_n").alias("_k")), F.col("_n") == F.col("_k"), "left_semi")
+    classes, _ = keep(simhash.near_classes(rows, id_col="_n").select(F.col("node").alias("_m"), "component"))
+    named = rows.select("_n", "_id").join(small(classes), F.col("_m") == F.col("_n")).select("_n", "_id", "component")
+    first = named.groupBy("component").agg(F.min("_id").alias("_least"), F.min("_n").alias("_first")).withColumnRenamed("component", "_c")
+    stays = F.col("_id").eqNullSafe(F.col("_least")) & (F.col("_least").isNotNull() | (F.col("_n") == F.col("_first")))
+    gone, _ = keep(named.join(first, F.col("component") == F.col("_c") + F.lit(0)).where(~stays).select(F.col("_n").alias("_k")))
+    left = keyed.join(small(gone), F.col("_n") == F.col("_k"), "left_anti")
     return left.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
