@@ -2,7 +2,7 @@
 
 The vocabulary is read in its ranks form, which gives the same ids as its JSON form in less time; tests compare both.
 The look-ahead in the vocabulary's pattern only matters for runs of white space, so texts without one are encoded by
-the pattern without it. Strings that look like special tokens are ordinary text.
+the pattern without it. A special token's string in a text has that token's id, as in the JSON form.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ import re
 
 import numpy as np
 
+#: Special tokens of the vocabulary with their ids. Fixed values.
+SPECIAL = {"<|endoftext|>": 50256}
+
 _RUN = re.compile(r"\s\s")
 _open: dict[str, Vocabulary] = {}
 
@@ -23,7 +26,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 class Vocabulary:
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: dict[str, int] = SPECIAL):
         import public_tokenizers
         import tiktoken
 
@@ -32,14 +35,20 @@ class Vocabulary:
         whole = public_tokenizers.PATTERN
         made = [tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (whole, whole.replace(r"\s+(?!\S)|", ""))]
         self.whole, self.plain = made
-        self.lengths = np.zeros(len(ranks), np.int64)
-        for token, i in ranks.items():
+        self.special = special
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.lengths = np.zeros(1 + max(max(ranks.values()), *special.values(), 0), np.int64)
+        for token, i in [*ranks.items(), *((x.encode(), i) for x, i in special.items())]:
             self.lengths[i] = len(token)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of the whole text, unsigned 32-bit, little-endian."""
-        by = self.whole if _RUN.search(text) else self.plain
-        return np.array(by.encode_ordinary(text), dtype="<u4")
+        if self.cut and self.cut.search(text):  # what stands between special tokens is encoded by itself
+            return np.array([i for p in self.cut.split(text) if p for i in ([self.special[p]] if p in self.special else self._ordinary(p))], dtype="<u4")
+        return np.array(self._ordinary(text), dtype="<u4")
+
+    def _ordinary(self, text: str) -> list[int]:
+        return (self.whole if _RUN.search(text) else self.plain).encode_ordinary(text)
 
     def token_starts(self, text: str) -> np.ndarray:
         """For every token, the index of the character in which its first byte lies."""
