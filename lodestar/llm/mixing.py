@@ -61,16 +61,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0,
     key = F.md5(F.col(id_col).cast("string"))
     kept = [F.struct(*docs.columns).alias("_row")] if carry else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.coalesce(key, F.lit("")).alias("_key"), *kept)
-    rows = rows.withColumn("_bin", F.substring("_key", 1, digits))
+    # the window and the join below are dealt by the same columns, so that rows are shuffled once for both
+    rows = rows.withColumn("_name", F.coalesce("source", F.lit(""))).withColumn("_none", F.col("source").isNull()).withColumn("_bin", F.substring("_key", 1, digits))
     ranges = rows.groupBy("source", "_bin").agg(F.sum("size").alias("_in"))
     before = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranges = ranges.withColumn("_before", F.sum("_in").over(before) - F.col("_in"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("_in").alias("source_size")), weights, cap)
     starts = ranges.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_in")
-    starts = starts.select(F.col("source").alias("_s"), F.col("_bin").alias("_b"), "_before", "source_size", "target", "ord")
-    inside = Window.partitionBy("source", "_bin").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = starts.select(F.coalesce("source", F.lit("")).alias("_name"), F.col("source").isNull().alias("_none"), "_bin", "_before", "source_size", "target", "ord")
+    inside = Window.partitionBy("_name", "_none", "_bin").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("_place", F.sum("size").over(inside) - F.col("size"))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b"))).withColumn("_place", F.col("_place") + F.col("_before"))
+    placed = placed.join(starts, ["_name", "_none", "_bin"]).withColumn("_place", F.col("_place") + F.col("_before"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio)
     extra = F.when(F.col("_place") + F.col("size") / 2.0 <= (ratio - whole) * F.col("source_size"), 1).otherwise(0)

@@ -53,8 +53,9 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in training order: by the positions of their copies, of which the columns of the SQL twin leave no trace but the order."""
-    return mixing.training_order(mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+    """Rows in training order; position is that of a document's first copy, from 0 to 1."""
+    ordered = mixing.training_order(mixing.mix(table(spark, sf_dir, "documents")))
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +65,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_line_dedup, op4_simhash, op5_embeddings, op6_order_minhash, op7_quality, op8_toxicity, op9_chat, op10_mixing, pipeline)}
 
 ORACLES = {
-    "op3_line_dedup": """
+    "op3_line_dedup": r"""
 WITH l AS (
-  SELECT doc_id, text, list_filter(string_split(replace(replace(replace(replace(text, chr(10), chr(10) || chr(57344)), '. ', '. ' || chr(57344)), '! ', '! ' || chr(57344)), '? ', '? ' || chr(57344)), chr(57344)), lambda x: x <> '') AS ls
+  SELECT doc_id, text, list_filter(string_split(regexp_replace(replace(text, chr(10), chr(10) || chr(57344)), '([.!?,;:] )', '\1' || chr(57344), 'g'), chr(57344)), lambda x: x <> '') AS ls
   FROM documents
 ), w AS (
   SELECT doc_id, ls, unnest(range(0, CASE WHEN len(ls) = 0 THEN 0 ELSE greatest(len(ls) - 2, 1) END)) AS i FROM l
@@ -120,15 +121,18 @@ WITH d AS (
     / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM x
 ), g AS (SELECT arg_min(level, ratio) AS l FROM lv WHERE level <= ratio
 ), t AS (
-  SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(CAST(cap AS DOUBLE), weight * coalesce(l, CAST('inf' AS DOUBLE))) END AS target FROM lv, g
+  SELECT source, source_size, r, CASE WHEN source_size = 0 THEN 0.0 ELSE least(CAST(cap AS DOUBLE), weight * coalesce(l, CAST('inf' AS DOUBLE))) END AS target FROM lv, g
 ), p AS (
-  SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS ratio,
+  SELECT d.*, t.source_size, t.target, t.r, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS ratio,
     CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS place
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-)
-SELECT doc_id, size, source_size, target,
-  CAST(size * least(3, floor(ratio) + CASE WHEN place + size / 2.0 <= (ratio - floor(ratio)) * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM p""",
+), c AS (
+  SELECT *, CAST(least(3, floor(ratio) + CASE WHEN place + size / 2.0 <= (ratio - floor(ratio)) * source_size THEN 1 ELSE 0 END) AS BIGINT) AS copies,
+    CASE WHEN target > 0 THEN least(1.0, (place + size / 2.0) / target) ELSE 0.0 END AS share, CAST([0.5, 1, 2][CAST(r % 3 AS INT) + 1] AS DOUBLE) AS tilt FROM p
+), m AS (SELECT *, 2.0 / (1.0 + tilt) AS a, (tilt - 1.0) / (1.0 + tilt) AS b FROM c)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies,
+  CASE WHEN copies > 0 THEN round(least(1.0, 2.0 * share / (a + sqrt(greatest(0.0, a * a + 4.0 * b * share)))), 9) END AS position
+FROM m""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
