@@ -51,6 +51,23 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """keep() for tables that an operator needs only until its result is kept itself."""
+
+    def __init__(self):
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        kept, path = keep(df)
+        self.paths.append((df.sparkSession, path))
+        return kept
+
+    def clear(self) -> None:
+        for spark, path in self.paths:
+            discard(spark, path)
+        self.paths.clear()
+
+
 def small(kept: DataFrame) -> DataFrame:
     """A kept table of a few numbers a row, marked for broadcast if it has no more than BROADCAST_ROWS rows; counting reads file footers only."""
     return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept

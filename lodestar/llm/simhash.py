@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import connected_components, keep, small
+from lodestar.llm.common import Scratch, connected_components, keep, small
 
 SEED = 42
 #: Fingerprints link at this many differing bits or fewer.
@@ -174,13 +174,14 @@ def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     without links that share a rare shingle of their prefixes are compared pair by pair, inside a join. Null and empty
     texts have equal sets.
     """
+    scratch = Scratch()
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     part = rows.where(F.pmod(F.xxhash64("node"), F.lit(20)) == 0)
     often = _sets(part, words).select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     common = [tuple(r) for r in often.orderBy(F.col("n").desc(), "h").limit(50_000).collect()]  # for the order only
-    each, _ = keep(_tables(rows, words, similarity, common))
+    each = scratch(_tables(rows, words, similarity, common))
     alike = each.groupBy("same").agg(F.min("node").alias("rep"), F.count("*").alias("m")).where("m > 1").select(F.col("same").alias("s2"), "rep")
-    equal, _ = keep(each.select("node", "same").join(alike, F.col("same") == F.col("s2")).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
+    equal = scratch(each.select("node", "same").join(alike, F.col("same") == F.col("s2")).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
     reps = each.join(small(equal).select(F.col("a").alias("r")), F.col("node") == F.col("r"), "left_anti")
     keyed = reps.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "key"))
 
@@ -190,7 +191,7 @@ def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     may = lambda a, b: fits(F.col(f"n{a}"), F.col(f"n{b}")) & room(F.col(f"n{a}"), F.col(f"at{a}"), F.col(f"n{b}"), F.col(f"at{b}"))
     leads = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node"), "node", "n", "at")).alias("l")).where("m > 1")
     leads = leads.select((F.col("key") + F.lit(0)).alias("k2"), F.col("l.node").alias("lead"), F.col("l.n").alias("n0"), F.col("l.at").alias("at0"))
-    met, _ = keep(keyed.join(leads, F.col("key") == F.col("k2")).drop("k2"))
+    met = scratch(keyed.join(leads, F.col("key") == F.col("k2")).drop("k2"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         own = lambda side, names: each.select(F.col("node").alias(f"node{side}"), *[F.col(c).alias(f"{c}{side}") for c in names])
@@ -198,16 +199,16 @@ def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
         bound = (F.col("n1") + F.col("n2")) * (1 - similarity) / (1 + similarity) + 1e-9  # shingles that only one of the two holds
         apart = F.array_max(F.zip_with("distances1", "distances2", lambda x, y: F.abs(x - y))) <= bound
         bits = F.aggregate(F.zip_with("sketch1", "sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) <= bound
-        left, _ = keep(told.where(apart).where(bits).select("a", "b"))
-        needed, _ = keep(left.select(F.explode(F.array("a", "b")).alias("k")).distinct())
-        sets, _ = keep(_sets(rows.join(small(needed), F.col("node") == F.col("k"), "left_semi"), words))
+        left = scratch(told.where(apart).where(bits).select("a", "b"))
+        needed = scratch(left.select(F.explode(F.array("a", "b")).alias("k")).distinct())
+        sets = scratch(_sets(rows.join(small(needed), F.col("node") == F.col("k"), "left_semi"), words))
         one, two = (sets.select(F.col("node").alias(f"node{i}"), F.col("set").alias(f"set{i}")) for i in (1, 2))
         both = F.size(F.array_intersect("set1", "set2"))
         done = left.join(one, F.col("a") == F.col("node1")).join(two, F.col("b") == F.col("node2"))
         return done.where(both / (F.size("set1") + F.size("set2") - both) >= similarity).select("a", "b")
 
-    stars, _ = keep(linked(met.where("node <> lead").where(may("", "0")).select(F.col("lead").alias("a"), F.col("node").alias("b"))))
-    at, _ = keep(connected_components(stars).select(F.col("node").alias("c_node"), "component"))
+    stars = scratch(linked(met.where("node <> lead").where(may("", "0")).select(F.col("lead").alias("a"), F.col("node").alias("b"))))
+    at = scratch(connected_components(stars).select(F.col("node").alias("c_node"), "component"))
     at = small(at)
     where = lambda name, to: F.coalesce(F.col(name), F.col(to))
     told = met.join(at, F.col("node") == F.col("c_node"), "left").withColumn("c", where("component", "node")).drop("c_node", "component")
@@ -216,7 +217,9 @@ def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     apart = (F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main1")) | (F.col("node1") < F.col("node2")))
     rest = x.where("c1 <> main1").join(y, (x["key"] == y["key"]) & apart & may("1", "2"))
     more = linked(rest.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")))
-    return connected_components(equal.unionByName(stars).unionByName(more))
+    done, _ = keep(connected_components(equal.unionByName(stars).unionByName(more)))
+    scratch.clear()
+    return done
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
