@@ -38,7 +38,11 @@ _words = _Words()
 
 
 def ngrams(text: str) -> np.ndarray:
-    """Buckets of the text's words, word pairs, shapes and shape pairs. A word that follows itself has one bucket, whatever the word."""
+    """Buckets of the text's words, word pairs, shapes and shape pairs.
+
+    Shapes carry what holds of words never seen (letters against digits and marks, letter case); a word that follows
+    itself has one bucket whatever the word, since prose of any subject rarely repeats a word at once.
+    """
     words = text.split()
     both = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
     w, s = np.divmod(both, SHAPES)
@@ -91,23 +95,21 @@ def score(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *told).mapInArrow(run, "doc_id long, log_ratio double" + ", text_hash long" * text_hash)
 
 
-def kth_largest(keys: DataFrame, col: str, k: int) -> float:
-    """Exact k-th largest value by repeated histograms: each pass keeps one of 1,000 ranges, so a few passes do at any size."""
-    low, high = keys.agg(F.min(col), F.max(col)).first()
+def kth_largest(keys: DataFrame, col: str, k: int) -> float | None:
+    """Exact k-th largest value by repeated histograms: each pass keeps one of 1,000 ranges, so a few passes do at any size. None if there are fewer."""
+    low, high, n = keys.agg(F.min(col), F.max(col), F.count(col)).first()
     above = 0
-    while True:
+    if n < k:
+        return None
+    while low < high and low + (step := (high - low) / 1000) > low:
         part = keys.where((F.col(col) >= low) & (F.col(col) <= high))
-        step = (high - low) / 1000
-        if step <= 0 or low + step == low:
-            return low
         bins = part.groupBy(F.least(F.floor((F.col(col) - low) / step), F.lit(999)).alias("bin")).agg(F.count("*").alias("n"), F.min(col).alias("low"), F.max(col).alias("high")).collect()
         for b in sorted(bins, key=lambda b: -b["bin"]):
             if above + b["n"] >= k:
-                low, high, last = b["low"], b["high"], b["n"] == 1
+                low, high = b["low"], b["high"]
                 break
             above += b["n"]
-        if last or low == high:
-            return low
+    return low
 
 
 def threshold(good: list[float], bad: list[float], cost: float = 5.0) -> float:
@@ -126,32 +128,39 @@ def threshold(good: list[float], bad: list[float], cost: float = 5.0) -> float:
     return best
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, fit_rows: int = FIT_ROWS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, fit_rows: int = FIT_ROWS, seed: int = 7, temperature: float = 1.0, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
     """Documents -> (doc_id, log_ratio, gumbel_key, selected), with `text_hash` also the xxhash64 of the text.
 
-    The raw model counts the hashed n-grams of all documents, the target model those of at most `fit_rows` labelled
-    documents of quality 1. A document's log importance weight is the sum of its n-grams' log ratios. Gumbel top-k:
-    its key adds Gumbel noise drawn from the hash of its id, and the k largest keys are a sample without replacement
-    in proportion to the weights. Without k, it is the number of documents whose weight passes the best cut between
-    the labelled documents of quality 1 and 0 (all pass if either is missing).
+    The raw model counts the hashed n-grams of all documents, the target model those of labelled documents of quality
+    1. A document's log importance weight is the sum of its n-grams' log ratios. Gumbel top-k: its key adds Gumbel noise,
+    drawn from the hash of its id, to the weight over the temperature, and the k largest keys are a sample without
+    replacement in proportion to the weights. Sums over hundreds of n-grams lie far apart, so that at temperature 1 the
+    noise only decides between near ties; a temperature of some tens to hundreds makes it felt.
+
+    Of at most `fit_rows` labelled documents, three quarters (by a hash of the id) fit the target model. Without k, it
+    is the number of documents whose weight passes the best cut between the other quarter's documents of quality 1 and
+    0, which the model hasn't seen (all pass if either is missing).
 
     Null and empty texts have weight 0. Repeated rows get the same key and are selected together, ties at the k-th key
-    likewise. Labels that are null, or of documents not in docs, are ignored; repeated labels count once. The driver
-    gets one number per bucket and one per labelled row of the sample, whatever the input's size.
+    likewise; if k is not less than the number of documents, all are selected. Labels that are null, or of documents
+    not in docs, are ignored; repeated labels count once. The driver gets one number per bucket and one per labelled
+    row of the sample, whatever the input's size.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     fit = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     fit = fit.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    fit, _ = keep(fit.select(F.col("doc_id").alias("_id"), "quality"))
-    marked = docs.join(F.broadcast(fit), F.col("doc_id") == F.col("_id"), "left")  # at most fit_rows rows of two numbers
-    counts = bucket_counts(marked.withColumn("_target", F.coalesce(F.col("quality") == 1, F.lit(False)))).collect()
+    judges = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(4)) == 0
+    fit, _ = keep(fit.select(F.col("doc_id").alias("_id"), "quality", judges.alias("judges")))
+    marked = docs.join(F.broadcast(fit), F.col("doc_id") == F.col("_id"), "left")  # at most fit_rows rows of three values
+    counts = bucket_counts(marked.withColumn("_target", F.coalesce((F.col("quality") == 1) & ~F.col("judges"), F.lit(False)))).collect()
     scored, _ = keep(score(docs, log_ratios(counts), text_hash=text_hash))
     u = (F.xxhash64(F.lit(seed), "doc_id").bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
-    keyed = scored.withColumn("gumbel_key", F.round(F.col("log_ratio") - F.log(-F.log(u)), 6))
+    keyed = scored.withColumn("gumbel_key", F.round(F.col("log_ratio") / temperature - F.log(-F.log(u)), 6))
     if k is None:
-        seen = scored.join(F.broadcast(fit), F.col("doc_id") == F.col("_id")).select("quality", "log_ratio").collect()
-        cut = threshold([r[1] for r in seen if r[0] == 1], [r[1] for r in seen if r[0] != 1])
+        seen = scored.join(F.broadcast(fit.where("judges")), F.col("doc_id") == F.col("_id")).groupBy("quality", "log_ratio").agg(F.count("*").alias("n")).collect()
+        cut = threshold([r[1] for r in seen if r[0] == 1 for _ in range(r[2])], [r[1] for r in seen if r[0] != 1 for _ in range(r[2])])
         k = scored.where(F.col("log_ratio") >= cut).count()
     if k <= 0:
         return keyed.withColumn("selected", F.lit(False))
-    return keyed.withColumn("selected", F.col("gumbel_key") >= F.lit(kth_largest(keyed, "gumbel_key", k)))
+    last = kth_largest(keyed, "gumbel_key", k)
+    return keyed.withColumn("selected", F.lit(True) if last is None else F.col("gumbel_key") >= F.lit(last))
