@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import connected_components, keep
+from lodestar.llm.common import Scratch, connected_components, keep
 
 #: Vectors of a leaf block at most (give or take the spread of a hash): the unit of work, and of memory.
-BLOCK = 768
+BLOCK = 2048
 #: Rows from which the centres at the top of the trees are drawn. They only shape the tree: covering radii are measured on all rows.
 CENTRE_ROWS = 4096
 _SLACK = 1e-9
@@ -30,6 +30,12 @@ def net(points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     return np.array(centres, np.int64), owner
 
 
+def _covers(points: np.ndarray, radius: float) -> bool:
+    """Whether, of some evenly spread points, a quarter lies within `radius` of another: elsewhere a level would have nearly every point as a node and prune nothing."""
+    some = points[:: max(1, len(points) // 256)]
+    return len(net(some, radius)[0]) <= 0.75 * len(some)
+
+
 def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y.T)))
 
@@ -37,7 +43,8 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Tree:
     """Nested levels with halving radii over unit vectors: each level's nodes are points, each covers its children.
 
-    levels[i] = (points, parent place in the level above, covering radius of all that lies below).
+    levels[i] = (points, parent place in the level above, covering radius of all that lies below). Radii at which the
+    points hardly cover each other give no level.
     """
 
     def __init__(self, x: np.ndarray, smallest: float):
@@ -45,9 +52,11 @@ class Tree:
         chain, radius = [], smallest
         points = np.arange(n)
         while len(points) > 1 and radius < 2.0:
-            centres, owner = net(x[points], radius)
-            chain.append((points, owner))
-            points, radius = points[centres], radius * 2
+            if _covers(x[points], radius):
+                centres, owner = net(x[points], radius)
+                chain.append((points, owner))
+                points = points[centres]
+            radius *= 2
         chain.append((points, np.zeros(len(points), np.int64)))
         self.levels = []
         for points, owner in chain:
@@ -84,10 +93,11 @@ def dual_traversal(x: np.ndarray, y: np.ndarray, cosine: float, same: bool) -> t
         rows, cols = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
         if not len(rows) or not len(cols):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        d = _distance(x[pa[rows]], y[pb[cols]])
-        sub = alive[np.ix_(rows, cols)] & (d <= ra[rows][:, None] + rb[cols][None, :] + reach + _SLACK)
-        alive = np.zeros_like(alive)
-        alive[np.ix_(rows, cols)] = sub
+        left, other = np.zeros_like(alive), y[pb[cols]]
+        for k in range(0, len(rows), 512):
+            at = np.ix_(rows[k : k + 512], cols)
+            left[at] = alive[at] & (_distance(x[pa[rows[k : k + 512]]], other) <= ra[rows[k : k + 512]][:, None] + rb[cols][None, :] + reach + _SLACK)
+        alive = left
     pa, pb = a.levels[-1][0], b.levels[-1][0]
     i, j = np.nonzero(alive)
     i, j = pa[i], pb[j]
@@ -124,7 +134,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = BLOCK, c
     task of bounded size in which the trees below are traversed together. Tasks give, for each vector, the number of
     links and one edge to the smallest vector it is linked with there, never pairs.
     """
-    spark = vectors.sparkSession
+    spark, scratch = vectors.sparkSession, Scratch()
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
@@ -161,10 +171,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = BLOCK, c
             yield pd.DataFrame({"label": pdf.label, "len": [len(v) for v in unit], "cell": cell, "far": far, "node": pdf.node, "n": pdf.n, "u": unit})
 
     kind = nodes.schema["label"].dataType.simpleString()
-    placed, _ = keep(nodes.mapInPandas(assign, f"label {kind}, len long, cell long, far double, node long, n long, u array<double>"))
+    placed = scratch(nodes.mapInPandas(assign, f"label {kind}, len long, cell long, far double, node long, n long, u array<double>"))
     cells = placed.groupBy("label", "len", "cell").agg(F.count("*").alias("rows"), F.max("far").alias("radius"))
     blocks = cells.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("rows") / block) - 1)))
-    blocks, _ = keep(blocks.withColumn("block", F.xxhash64("label", "len", "cell", "part")))
+    blocks = scratch(blocks.withColumn("block", F.xxhash64("label", "len", "cell", "part")))
     centre = spark.createDataFrame([(k[0], k[1], i, c.tolist()) for k, cs in top.items() for i, c in enumerate(cs)], f"label {kind}, len long, cell long, c array<double>")
     blocks = blocks.join(centre, ["label", "len", "cell"], "left")
     left = blocks.select("label", "len", F.col("block").alias("a"), F.col("radius").alias("ra"), F.col("c").alias("ca"), F.struct("cell", "part").alias("ka"))
@@ -196,11 +206,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = BLOCK, c
         at = np.flatnonzero(links)
         return pd.DataFrame({"node": ids[at], "links": links[at].astype(np.int64), "low": low[at]})
 
-    found, _ = keep(members.join(ends, "block").groupBy("a", "b").applyInPandas(compare, "node long, links long, low long"))
+    found = scratch(members.join(ends, "block").groupBy("a", "b").applyInPandas(compare, "node long, links long, low long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
     per_node = nodes.join(links, "node", "left").join(classes, "node", "left").select("label", "v", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
     per_node = per_node.select(F.col("label").alias("_label"), F.col("v").alias("_v"), (F.col("links") + F.col("n") - 1).alias("n_links"), F.col("component").alias("component_id"))
+    per_node, _ = keep(per_node)
+    scratch.clear()
     rows = raw.withColumn("label", F.when(good, F.col("label"))).withColumn("v", F.when(good, F.col("v")))
     done = rows.join(per_node, (F.col("label") == F.col("_label")) & (F.col("v") == F.col("_v")), "left")
     done = done.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
