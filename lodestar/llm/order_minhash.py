@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import let
+from lodestar.llm.common import keep, let, small
 
 K, L, BINS = 5, 2, 64
+LONGEST = 16
 _BITS = 32
 
 
 def kmers(text: Column, k: int = K) -> Column:
-    """Hashes of all k consecutive words; fewer words: one of them all; none: no k-mer."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Hashes of all k consecutive words; fewer words: one of them all; none: no k-mer. What has no blank for long counts as a word every LONGEST characters."""
+    words = F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{LONGEST}}}"), F.lit(0))
 
     def over(h: Column) -> Column:
         return F.when(F.size(h) == 0, F.array().cast("array<long>")).when(F.size(h) < k, F.array(F.xxhash64(h))).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)])))
@@ -84,23 +85,48 @@ def fingerprint_string(s: Column) -> Column:
     return F.lower(F.array_join(F.transform(s, lambda x: F.lpad(F.hex(x), _BITS // 4 + 2, "0")), ""))
 
 
-def followed(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", rows_per_block: int = 2000) -> DataFrame:
+def _ranges(docs: DataFrame, id_col: str, rows_per_range: int, rounds: int = 8) -> DataFrame:
+    """docs with _block, an array that grows with the id: the place among ranges of equal width, and for ranges that hold over four times the rows meant, the place among ranges inside, and so on. Null ids: the lowest."""
+    x = F.col(id_col).cast("double")  # grows with the id, and knows no overflow
+    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
+    if not n:
+        return docs.withColumn("_block", F.array(F.lit(-1).cast("long")))
+    many = -(-n // rows_per_range)
+    place = lambda x, low, high, many: F.when(x.isNull(), -1).otherwise(F.least(F.floor((x - low) / ((high - low) / many + 1e-300)), many - 1)).cast("long")
+    out = docs.withColumn("_block", F.array(place(x, F.lit(float(low)), F.lit(float(high)), F.lit(many))))
+    for _ in range(rounds):
+        full = out.groupBy("_block").agg(F.count("*").alias("_n"), F.min(x).alias("_low"), F.max(x).alias("_high")).where((F.col("_n") > 4 * rows_per_range) & (F.col("_low") < F.col("_high")))
+        full, _ = keep(full.withColumnRenamed("_block", "_whole"))
+        if full.isEmpty():
+            break
+        inside = place(x, F.col("_low"), F.col("_high"), F.ceil(F.col("_n") / rows_per_range))
+        out = out.join(small(full), F.col("_block") == F.col("_whole"), "left").withColumn("_block", F.when(F.col("_n").isNotNull(), F.concat("_block", F.array(inside))).otherwise(F.col("_block"))).drop("_whole", "_n", "_low", "_high")
+    return out
+
+
+def _above(blocks: DataFrame) -> DataFrame:
+    """(_block) -> (_own, _to): the next higher block, for the highest the lowest; by windows over a thousand block numbers and one over their groups."""
+    grouped = blocks.withColumn("_group", F.floor(F.element_at("_block", 1) / 1024))
+    inside = Window.partitionBy("_group").orderBy(F.col("_block").desc())
+    across = Window.orderBy(F.col("_group").desc())
+    first = grouped.groupBy("_group").agg(F.min("_block").alias("_least"))
+    every = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = first.select(F.col("_group").alias("_g"), F.coalesce(F.lag("_least").over(across), F.min("_least").over(every)).alias("_next"))
+    return grouped.withColumn("_to", F.lag("_block").over(inside)).join(first, F.col("_group") == F.col("_g")).select(F.col("_block").alias("_own"), F.coalesce("_to", "_next").alias("_to"))
+
+
+def followed(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 500) -> DataFrame:
     """derive(docs) with next_<column> for every column but the id: those of the row with the next smaller id; after the smallest, of the largest.
 
-    Ids are cut into ranges of equal width; a window runs inside each range, and the top row of a range is also sent to
-    the range above it. Only three numbers reach the driver, and one id per range passes one task. The top rows are
-    found in the given table, before anything is derived or shuffled. Ties are ordered by the text. Null ids come after
-    all others.
+    Ids are cut into ranges by their distribution; a window runs inside each range, and the top row of a range is also
+    sent to the range above it. The top rows are found in the given table, before anything is derived or shuffled; only
+    three numbers reach the driver. Ties are ordered by the text, whose rows stay in one range. Null ids come after all
+    others.
     """
-    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    width = 1 if low is None else max(1, -(-(high - low + 1) * rows_per_block // max(n, 1)))
-    base = 0 if low is None else low
-    rows = docs.withColumn("_block", F.coalesce(F.floor((F.col(id_col) - base) / width), F.lit(-1)).cast("long"))
-    tops = rows.groupBy("_block").agg(F.max(id_col).alias(id_col), F.min_by(text_col, F.struct(-F.col(id_col), F.col(text_col))).alias(text_col))
-    around = Window.orderBy(F.col("_block").desc())
-    above = F.coalesce(F.lag("_block").over(around), F.min("_block").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    ranges = rows.groupBy("_block").agg(F.count("*")).select(F.col("_block").alias("_own"), above.alias("_to"))
-    guests = tops.join(ranges, F.col("_block") == F.col("_own")).select(F.col("_to").alias("_block"), id_col, text_col)
+    rows = _ranges(docs, id_col, rows_per_range)
+    best = F.struct(F.bitwise_not(F.col(id_col)), F.col(text_col))  # of the largest id, the least text
+    tops = rows.groupBy("_block").agg(F.max(id_col).alias(id_col), F.min_by(text_col, best).alias(text_col))
+    guests = tops.join(_above(rows.select("_block").distinct()), F.col("_block") == F.col("_own")).select(F.col("_to").alias("_block"), id_col, text_col)
     both = derive(rows).withColumn("_guest", F.lit(False)).unionByName(derive(guests).withColumn("_guest", F.lit(True)))
     w = Window.partitionBy("_block").orderBy("_guest", F.col(id_col).desc_nulls_last(), F.col(text_col))
     ahead = [F.lead(c).over(w).alias(f"next_{c}") for c in both.columns if c not in (id_col, "_block", "_guest")]
