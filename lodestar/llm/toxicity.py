@@ -18,13 +18,17 @@ CLASSES = 40
 #: Characters of a unit; longer ones are covered by windows that overlap by half.
 UNIT = 24
 LANDMARKS = 96
-#: Labelled documents the model is fitted on at most: those with the smallest hash of the id.
-FIT_TOXIC, FIT_CLEAN = 1500, 3000
+#: Labelled documents the model is fitted on at most (those with the smallest hash of the id), characters of each at most, and clean units.
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS, FIT_UNITS = 1500, 3000, 50_000, 6000
+#: Words of up to so many letters count as pieces of one word where they stand in a row.
+PIECE = 3
+#: Characters of texts whose units are held at a time.
+HELD = 2_000_000
 #: Evidence that a unit needs, as a share of the strongest unit's.
 SURE = 0.3
 _CACHED = 300_000
 _GAPS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
-_SPACED = re.compile(r"(?<!\S)\S\s+\S\s+\S(?!\S)")
+_SPACED = re.compile(rf"(?<!\S)\S{{1,{PIECE}}}(?:\s+\S{{1,{PIECE}}})+(?!\S)")
 
 
 def letters(units: list[str]) -> np.ndarray:
@@ -34,18 +38,13 @@ def letters(units: list[str]) -> np.ndarray:
 
 
 def units(text: str) -> set[str]:
-    """The lower-cased words of a text; runs of single characters are also joined, and long words cut into overlapping windows."""
-    words = text.lower().split()
-    out = set(words)
-    if _SPACED.search(text):
-        run = []
-        for w in [*words, "  "]:
-            if len(w) == 1:
-                run.append(w)
-            else:
-                if len(run) > 2:
-                    out.add("".join(run))
-                run = []
+    """The lower-cased words of a text; pieces in a row are also joined, and long words and runs cut into overlapping windows."""
+    text = text.lower()
+    out = set(text.split())
+    for run in _SPACED.findall(text):
+        pieces = run.split()
+        if any(len(p) > 1 for p in pieces) or len(pieces) > 2:
+            out.add("".join(pieces))
     for w in [w for w in out if len(w) > UNIT]:
         out.update(w[i : i + UNIT] for i in range(0, len(w) - UNIT // 2, UNIT // 2))
     return {w for w in out if 2 < len(w) <= UNIT}
@@ -59,8 +58,19 @@ def _triples(c: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
 
 
 def norms(c: np.ndarray) -> np.ndarray:
-    """Root of the self-kernel, cross terms of repeated triples left out."""
-    return np.sqrt(sum(w * w * (t > 0).sum(axis=1) for t, w in _triples(c)) + 1e-12)
+    """Root of the self-kernel: for each row, squares of the summed weights of equal triples."""
+    codes, weights = [], []
+    for t, w in _triples(c):
+        codes.append(t)
+        weights.append(np.full(t.shape[1], w))
+    codes, weights = np.concatenate(codes, axis=1), np.concatenate(weights)
+    order = np.argsort(codes, axis=1, kind="stable")
+    sorted_codes, by = np.take_along_axis(codes, order, axis=1), np.where(np.take_along_axis(codes, order, axis=1) > 0, weights[order], 0.0)
+    first = np.ones(codes.shape, bool)
+    first[:, 1:] = sorted_codes[:, 1:] != sorted_codes[:, :-1]
+    sums = np.add.reduceat(by.ravel(), np.flatnonzero(first)) if codes.size else np.zeros(0)
+    rows = np.repeat(np.arange(len(c)), first.sum(axis=1))
+    return np.sqrt(np.bincount(rows, sums * sums, len(c)) + 1e-12)
 
 
 def features(c: np.ndarray) -> np.ndarray:
@@ -86,11 +96,10 @@ def kernel(c: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 
 def project(c: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Kernel with a weighted sum of landmarks, folded into one weight per triple."""
-    total, norm = np.zeros(len(c)), np.full(len(c), 1e-12)
+    total = np.zeros(len(c))
     for t, w in _triples(c):
         total += w * weights[t].sum(axis=1)
-        norm += w * w * np.count_nonzero(t, axis=1)
-    return total / np.sqrt(norm)
+    return total / norms(c)
 
 
 class Model:
@@ -117,10 +126,15 @@ class Model:
             self.known.update(zip(part, project(letters(part), self.weights).tolist()))
 
     def scores(self, texts: list[str]) -> list[float]:
-        """By the worst unit of each text, learnt for some hundred texts at a time."""
+        """By the worst unit of each text, learnt for some hundred texts at a time, fewer if they are long."""
         out: list[float] = []
-        for low in range(0, len(texts), 200):
-            of = [units(t) for t in texts[low : low + 200]]
+        at = 0
+        while at < len(texts):
+            of, held = [], 0
+            while at < len(texts) and len(of) < 200 and held < HELD:
+                of.append(units(texts[at]))
+                held += len(texts[at])
+                at += 1
             self.learn(of)
             out += [max(map(self.known.__getitem__, us), default=-2.0) for us in of]
         z = self.slope * np.array(out, float) + self.shift
@@ -145,13 +159,14 @@ def _stems(unit: str) -> list[str]:
     return [unit[:k] for k in (4, 5) if len(unit) > k]
 
 
-def fit(rows: list[tuple[int, str]], landmarks: int = LANDMARKS, rounds: int = 4) -> Model:
+def fit(rows: list[tuple[int, str]], landmarks: int = LANDMARKS, rounds: int = 4, fit_units: int = FIT_UNITS) -> Model:
     """(toxic, text) -> Model.
 
     Landmarks are the units and stems most over-represented in toxic documents, and the most frequent units of the
     others. Labels are of documents: of a toxic document's sentences, the worst unit stands for it (the witness), chosen
     among over-represented ones by how much they or their stems are so first and by the last round's SVM later; units of the others are negative
-    examples, and after the first round each clean document's worst unit weighs in as well.
+    examples (about fit_units of them, from the most frequent to the rarest), and after the first round each clean
+    document's worst unit weighs in as well.
     """
     docs = [(t, units(x)) for t, x in rows]
     n = {k: max(1, sum(t == k for t, _ in docs)) for k in (0, 1)}
@@ -187,7 +202,7 @@ def fit(rows: list[tuple[int, str]], landmarks: int = LANDMARKS, rounds: int = 4
         if not witnesses:
             return Model(np.zeros(CLASSES**3), 1.0, -5.0)
         hardest = Counter(max(sorted(us), key=lambda u: strength.get(u, -9.0)) for t, us in docs if not t and us) if r else Counter()
-        pos, neg = sorted(witnesses), sorted(hardest) + negatives[:: max(1, len(negatives) // 6000)]
+        pos, neg = sorted(witnesses), sorted(hardest) + negatives[:: max(1, len(negatives) // fit_units)]
         z = kernel(letters(pos + neg), phi) @ whiten
         y = np.array([1.0] * len(pos) + [-1.0] * len(neg))
         w = np.array([100 * witnesses[u] / witnesses.total() for u in pos] + [300 * hardest[u] / hardest.total() for u in sorted(hardest)] + [100 / (len(neg) - len(hardest))] * (len(neg) - len(hardest)))
@@ -212,11 +227,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN, fit_chars: int = FIT_CHARS, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents -> doc_id, held_out, score in 0..1, predicted (1 if score >= cut).
 
-    Labels are learnt from rows that aren't held out, at most fit_toxic and fit_clean of them; their texts are the only
-    ones that reach the driver. Whole texts are scored. Null and empty texts have the lowest score; labels that are
+    Labels are learnt from rows that aren't held out, at most fit_toxic and fit_clean of them and none of over fit_chars
+    characters; their texts are the only ones that reach the driver, one for each id. Whole texts are scored. Null and empty texts have the lowest score; labels that are
     null, or of documents not in docs, are ignored, repeated ones count once (toxic if any says so). Repeated rows are
     scored each. Further columns are never inputs.
     """
@@ -224,7 +239,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = lambda t, n: known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = first(1, fit_toxic).unionByName(first(0, fit_clean)).select(F.col("doc_id").alias("_id"), "toxic")
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "text").collect()  # at most fit_toxic + fit_clean documents
+    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= fit_chars)
+    rows = short.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")).collect()  # at most fit_toxic + fit_clean documents
     model = fit([(r["toxic"], r["text"] or "") for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
