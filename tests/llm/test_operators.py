@@ -4,6 +4,7 @@ import binascii
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -33,14 +34,14 @@ def test_vocabulary_matches_its_json_form():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     v = open_vocabulary(vocabulary_path())
     rng = random.Random(1)
     for _ in range(2000):
-        text = "".join(rng.choice([" ", "\n", "a", "é", "😀", "1", "'s", "\t", "  ", "!", "\x85"]) for _ in range(rng.randint(0, 25)))
+        text = "".join(rng.choice([" ", "\n", "a", "é", "😀", "1", "'s", "\t", "  ", "!", "\x85", "<|endoftext|>", "<|", "|>"]) for _ in range(rng.randint(0, 25)))
         e = t.encode(text, add_special_tokens=False)
         assert v.encode(text).tolist() == e.ids
         assert v.token_starts(text).tolist() == [a for a, _ in e.offsets]
+    assert v.encode("a<|endoftext|>b").tolist() == [64, 50256, 65]
 
 
 def check_pieces(rows, texts):
@@ -100,9 +101,19 @@ def test_token_counts(docs, odd, rule):
         for i, text in texts.items():
             assert abs(sum(r["n_tokens"] for r in got[i]) - len(v.encode(text))) < 1e-5
             assert "".join(text[r["start_char"] : r["end_char"]] for r in sorted(got[i], key=lambda r: r["section"])) == text
-            if rule == "first":
-                starts = v.token_starts(text).tolist()
-                assert all(r["n_tokens"] == sum(r["start_char"] <= s < r["end_char"] for s in starts) for r in got[i][:50])
+            starts = v.token_starts(text).tolist()
+            nexts = [next((s for s in starts[k:] if s > a), len(text)) for k, a in enumerate(starts[:400])]
+            for r in got[i][:50]:
+                low, high = r["start_char"], r["end_char"]
+                if rule == "first":
+                    assert r["n_tokens"] == sum(low <= s < high for s in starts)
+                elif len(starts) <= 400:
+                    last = [low <= max(b - 1, a) < high for a, b in zip(starts, nexts)]
+                    if rule == "last":
+                        assert r["n_tokens"] == sum(last)
+                    else:
+                        lines = lambda a, b: 1 + text.count("\n", a, max(b - 1, a))
+                        assert abs(r["n_tokens"] - sum(1 / lines(a, b) for a, b in zip(starts, nexts) if a < high and max(b, a + 1) > low)) < 1e-6
 
 
 def test_token_counts_fields(spark):
@@ -114,7 +125,7 @@ def test_token_counts_fields(spark):
 def cleaned(rows):
     first, out = {}, {}
     for i, text in sorted(rows):
-        lines = [x for x in re.split(r"(?<=\n)|(?<=[.!?] )", text) if x]
+        lines = [x for x in re.split(r"(?<=\n)|(?<=[.!?,;:] )", text) if x]
         bare = [x.replace("\n", " ").strip(" ") for x in lines]
         windows = [tuple(bare[k : k + 3]) for k in range(len(bare) - 2)] if len(bare) > 2 else [tuple(bare)] * bool(bare)
         gone = set()
@@ -134,6 +145,23 @@ def test_line_dedup(docs, spark):
     assert got[10**6 + 1] == "X y. Z\ue000 z. "
 
 
+def test_line_dedup_finds_passages_inside_paragraphs(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    prose = lambda n: "".join(word() + (rng.choice([". ", ", ", "; "]) if k % 9 == 8 else " ") for k in range(n))
+    passage = prose(70)
+    rows = [(i, prose(40).strip() + " " + passage.strip() + " " + prose(40)) for i in range(6)] + [(9, prose(90))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    middle = " ".join(passage.split()[20:50])
+    assert middle in got[0] and not any(middle in got[i] for i in range(1, 6)) and got[9] == rows[6][1]
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    text = "\n".join(f"line {i % 30000}" for i in range(60000))
+    (r,) = line_dedup.line_dedup(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r["_n_lines"] == 60000 and r["_n_removed"] == 30000  # the window over the seam is new, but its lines belong to repeated ones, too
+
+
 def test_line_dedup_odd(odd):
     done = line_dedup.line_dedup(odd)
     assert done.columns == odd.columns + ["_n_lines", "_n_removed"]
@@ -254,6 +282,53 @@ def test_order_minhash(docs, odd):
     assert order_minhash.edit_sensitivity(odd).count() == 7 and order_minhash.edit_sensitivity(odd.limit(0)).count() == 0
 
 
+def spark_hash(*values, seed=42):
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(4, "little") if 0 <= v < 1 << 20 else v.to_bytes(8, "little", signed=True), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_sketch(text):
+    h = [spark_hash(w) for w in re.findall(r"[^\x20\x09-\x0D]{1,16}", text)]
+    grams = [spark_hash(*h[i : i + 5]) for i in range(len(h) - 4)] or ([spark_hash(*h)] if h else [])
+    seen, bins = {}, {}
+    for at, g in enumerate(grams):
+        nth = seen[g] = seen.get(g, -1) + 1
+        g = spark_hash(g, nth) if nth else spark_hash(g)
+        bins.setdefault(g >> 58, []).append((g, at))
+    out = []
+    for b, members in sorted(bins.items()):
+        chosen = sorted(sorted(members)[:2], key=lambda m: m[1])
+        out.append(((b + 32) << 32) + (spark_hash(*[g for g, _ in chosen]) & 0xFFFFFFFF))
+    return out
+
+
+def test_order_minhash_by_brute_force(docs, spark):
+    odd = spark.createDataFrame([(-(2**63), "x " * 300), (2**63 - 1, "nospace" * 200), (2**62, "a b\tc"), (None, "one two"), (2**40, ""), (2**40, None)], "doc_id long, text string")
+    table = docs.select("doc_id", "text").unionByName(odd)
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in table.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    sketches = [set(brute_sketch(t)) for _, t in rows]
+    like = lambda a, b: len(a & b) / len({x >> 32 for x in a | b}) if a | b else 1.0
+    want = []
+    for k, (i, t) in enumerate(rows):
+        n, half, after = (k + 1) % len(rows), len(t) // 2, rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - half] + after[:half]
+        want.append((i, hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{x:010x}" for x in brute_sketch(t)), like(sketches[k], set(brute_sketch(edited))), like(sketches[k], sketches[n])))
+    got = [tuple(r) for r in order_minhash.edit_sensitivity(table).select("doc_id", "edited_sha256", "fingerprint", "near_edited", "near_next").collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_order_minhash_ranges_follow_the_ids(spark):
+    ids = [*range(3000), 2**40, -(2**50)]
+    df = spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string")
+    sizes = [r["count"] for r in order_minhash._ranges(df, "doc_id", 100).groupBy("_block").count().collect()]
+    assert max(sizes) <= 400
+    got = {r["doc_id"]: r["next_doc"] for r in order_minhash.followed(df, lambda d: d.withColumn("doc", F.col("doc_id")), rows_per_range=100).collect()}
+    down = sorted(ids, reverse=True)
+    assert got == dict(zip(down, [*down[1:], down[0]]))
+
+
 def test_order_minhash_sees_order_and_repeats(spark):
     words = [f"w{i}" for i in range(300)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[150:] + words[:150])), (3, " ".join(words[:290])), (4, "a " * 500), (5, "a " * 480)], "doc_id long, text string")
@@ -264,16 +339,55 @@ def test_order_minhash_sees_order_and_repeats(spark):
 
 def test_quality(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    got = quality.resample(docs, labels).join(labels, "doc_id").collect()
+    unseen = F.pmod("doc_id", F.lit(2)) == 0
+    got = quality.resample(docs, labels.where(~unseen)).join(labels.where(unseen), "doc_id").collect()
     good, bad = [r for r in got if r["quality"] == 1], [r for r in got if r["quality"] == 0]
-    assert np.mean([r["selected"] for r in good]) > 0.99 and np.mean([r["selected"] for r in bad]) < 0.05
+    assert np.mean([r["selected"] for r in good]) > 0.97 and np.mean([r["selected"] for r in bad]) < 0.05
     keys = sorted((r["gumbel_key"] for r in quality.resample(docs, labels, k=100).where("selected").collect()))
     assert len(keys) == 100 and keys[0] == sorted(r["gumbel_key"] for r in quality.resample(docs, labels).collect())[-100]
 
 
+def brute_buckets(text):
+    """A bucket's number for every n-gram, counted on its own."""
+    w = text.split()
+    fold = lambda c: "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c
+    shape = lambda x: "".join(c for k, c in enumerate(map(fold, x)) if k == 0 or fold(x[k - 1]) != c)
+    a, s = [zlib.crc32(x.encode()) % 16384 for x in w], [zlib.crc32(shape(x).encode()) % 1024 for x in w]
+    out = [*a, *[32768 + x for x in s]]
+    for k in range(len(w) - 1):
+        same = (a[k], s[k]) == (a[k + 1], s[k + 1])
+        out += [16384 + (0 if same else (a[k] * 40503 + a[k + 1] * 2654435761) % 16383 + 1), 33792 + (s[k] * 31 + s[k + 1] * 1009) % 1024]
+    return out
+
+
+def test_quality_by_brute_force(docs, spark):
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    texts, known = {r["doc_id"]: r["text"] or "" for r in docs.collect()}, {r["doc_id"]: r["quality"] for r in labels.collect()}
+    judge = {r["doc_id"]: r["j"] for r in labels.select("doc_id", (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(4)) == 0).alias("j")).collect()}
+    raw, target = np.zeros(34816), np.zeros(34816)
+    for i, text in texts.items():
+        for b in brute_buckets(text):
+            raw[b] += 1
+            target[b] += known.get(i) == 1 and not judge[i]
+    ratio = np.zeros(34816)
+    for low, high in ((0, 16384), (16384, 32768), (32768, 33792), (33792, 34816)):
+        r, t = raw[low:high] * target[low:high].sum() / raw[low:high].sum(), target[low:high]
+        ratio[low:high] = np.log((t + 1) / (t + 1).sum()) - np.log((r + 1) / (r + 1).sum())
+    for scale in (1.0, 50.0):
+        got = {r["doc_id"]: r for r in quality.resample(docs, labels, k=20, temperature=scale).collect()}
+        for i, text in texts.items():
+            assert abs(got[i]["log_ratio"] - ratio[brute_buckets(text)].sum()) < 1e-4
+        noise = {i: r["gumbel_key"] - r["log_ratio"] / scale for i, r in got.items()}
+        assert -4 < min(noise.values()) and abs(np.mean(list(noise.values())) - 0.5772) < 0.4
+        best = sorted(got, key=lambda i: -got[i]["gumbel_key"])[:20]
+        assert {i for i, r in got.items() if r["selected"]} == set(best)
+
+
 def test_quality_odd(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.resample(odd, none).count() == 7
+    assert quality.resample(odd, none, k=500).where("selected").count() == 7
+    assert quality.resample(odd.limit(0), none, k=5).count() == 0
     assert quality.resample(odd.limit(0), none).count() == 0
     some = spark.createDataFrame([(3, 1, None), (5, 0, None), (None, 1, None), (3, None, None)], "doc_id long, quality int, toxic int")
     assert quality.resample(odd, some).count() == 7
@@ -298,6 +412,41 @@ def test_toxicity_tolerates_gaps():
     assert plain > 0.5 and gapped > 0.3 and clean < 0.3
 
 
+def test_toxicity_kernel_by_brute_force():
+    words = ["banana", "wretchpig", "aaaa", "xyz", "ab", "über", "b-an-a n.a"]
+
+    def phi(w):
+        c, out = toxicity.letters([w])[0], {}
+        for i in range(24):
+            for j in range(i + 1, 24):
+                for k in range(j + 1, min(24, i + 6)):
+                    if c[i] and c[j] and c[k]:
+                        out[c[i], c[j], c[k]] = out.get((c[i], c[j], c[k]), 0) + 0.7 ** (k - i - 1)
+        return out
+
+    dot = lambda a, b: sum(v * b.get(t, 0) for t, v in a.items())
+    maps = [phi(w) for w in words]
+    want = np.array([[dot(a, b) / np.sqrt((dot(a, a) + 1e-12) * (dot(b, b) + 1e-12)) for b in maps] for a in maps])
+    c = toxicity.letters(words)
+    marks = toxicity.features(c)
+    assert np.allclose(toxicity.kernel(c, marks), want, atol=1e-6) and np.allclose(toxicity.project(c, marks[0]), want[:, 0], atol=1e-6)
+    assert np.allclose(np.diag(want)[[0, 1, 2, 3, 5, 6]], 1, atol=1e-6)
+    assert "idiot" in toxicity.units("an id io t") or "anidiot" in toxicity.units("an id io t")
+    assert toxicity.units("x" * 100) and not toxicity.units("")
+
+
+def test_chat_odd(spark):
+    rows = [(None, None, None, None), (None, 1, "user", "b"), (7, None, "assistant", "late"), (7, None, "assistant", "late"), (8, 1, "assistant", "</s>long " * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("ordinal", F.lit("x")).withColumn("segment", F.lit(2))
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    assert (got[None]["n_turns"], got[7]["n_turns"], got[7]["loss_chars"], got[8]["loss_chars"]) == (2, 2, 8, 9 * 200_000)
+
+
+def test_toxicity_empty(odd, spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(odd.limit(0), none).count() == 0
+
+
 def test_chat(spark):
     rng = random.Random(6)
     bits = ["</s>", "[INST]", "[/INST]", "<s>", "[ROLE ", "]", "\\", "<", "/s>", "a", " ", "\n", "<\\/s>", "[\\INST]", "é"]
