@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import let
+from lodestar.llm.common import let, own_exchange
 
 #: Placed behind every line end before splitting; texts that hold it are split by a look-behind instead.
 _MARK = "\ue000"
@@ -26,13 +26,12 @@ def lines_of(text: Column) -> Column:
 
 def window_hashes(lines: Column, size: int) -> Column:
     """Two hashes (h, g) of the trimmed lines i..i+size-1 for every i; fewer lines: one window of all; none: no window."""
+    hashed = F.transform(lines, lambda x: F.xxhash64(F.trim(F.replace(x, F.lit("\n"), F.lit(" ")))))
     pair = lambda *x: F.struct(F.xxhash64(*x).alias("h"), F.xxhash64(F.lit(_SECOND), *x).alias("g"))
-    bare = F.transform(lines, lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(" "))))
-    hashed = F.transform(bare, lambda x: pair(x))
 
     def windows(h: Column) -> Column:
-        one = lambda i: F.struct(F.xxhash64(*[F.get(h, i + k)["h"] for k in range(size)]).alias("h"), F.xxhash64(*[F.get(h, i + k)["g"] for k in range(size)]).alias("g"))
-        return F.when(F.size(h) == 0, F.array().cast("array<struct<h:bigint,g:bigint>>")).when(F.size(h) < size, F.array(pair(h))).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - size), one))
+        each = F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: pair(*[F.get(h, i + k) for k in range(size)]))
+        return F.when(F.size(h) == 0, F.array().cast("array<struct<h:bigint,g:bigint>>")).when(F.size(h) < size, F.array(pair(h))).otherwise(each)
 
     return let(hashed, windows)
 
@@ -71,8 +70,7 @@ def line_dedup(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col:
     docs = docs.drop("_n_lines", "_n_removed")
     hashes = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.inline(window_hashes(lines_of(F.col(text_col)), size)).alias("_h", "_g"))
     repeated = hashes.groupBy("_h", "_g").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    #: the sum gives the aggregate an exchange of its own, so that AQE may split a frequent window's rows
-    repeated = repeated.select((F.col("_h") + F.lit(0)).alias("_h2"), F.col("_g").alias("_g2"), "_first")
+    repeated = repeated.select(own_exchange(F.col("_h")).alias("_h2"), own_exchange(F.col("_g")).alias("_g2"), "_first")
     later = hashes.join(repeated, (F.col("_h") == F.col("_h2")) & (F.col("_g") == F.col("_g2"))).where("_id > _first")
     later = later.groupBy("_id").agg(F.collect_set(F.struct(F.col("_h").alias("h"), F.col("_g").alias("g"))).alias("_later"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_key"))

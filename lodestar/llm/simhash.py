@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Scratch, connected_components, keep, small
+from lodestar.llm.common import Scratch, connected_components, keep, own_exchange, small
 
 SEED = 42
 #: Fingerprints link at this many differing bits or fewer.
@@ -82,7 +82,7 @@ def links(fps: DataFrame) -> DataFrame:
     chosen = list(combinations(range(SEGMENTS), SEGMENTS - RADIUS))
     key = lambda i, c: F.xxhash64(F.lit(i), *[F.get("t", F.lit(s)) for s in c])
     keyed = fps.select("fp", "node", table.alias("t")).select("fp", "node", F.explode(F.array(*[key(i, c) for i, c in enumerate(chosen)])).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select((F.col("key") + F.lit(0)).alias("k2"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(own_exchange(F.col("key")).alias("k2"))
     shared, _ = keep(keyed.join(sizes, F.col("key") == F.col("k2")).drop("k2"))
     x, y = shared.select("key", F.col("fp").alias("x"), F.col("node").alias("a")), shared.select("key", F.col("fp").alias("y"), F.col("node").alias("b"))
     whole = lambda c, p: F.bit_count(F.col(c).bitwiseXOR(F.lit(p)))
@@ -102,8 +102,7 @@ def simhash_classes(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     nodes, _ = keep(each.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("node")))
     classes = connected_components(links(nodes))
     labelled = nodes.join(classes.select(F.col("node").alias("c_node"), "component"), F.col("node") == F.col("c_node"), "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    #: the xor gives the mapping an exchange of its own, so that AQE may split a frequent fingerprint's rows
-    return each.join(labelled, F.col("fingerprint") == F.col("fp").bitwiseXOR(F.lit(0).cast("long"))).select("doc_id", "fingerprint", "component_id")
+    return each.join(labelled, F.col("fingerprint") == own_exchange(F.col("fp"))).select("doc_id", "fingerprint", "component_id")
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -190,7 +189,7 @@ def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     room = lambda n, i, m, j: F.least(n - i, m - j) >= overlap * (n + m) - 1e-9  # noqa: E731  # the first shingle they share and all behind it
     may = lambda a, b: fits(F.col(f"n{a}"), F.col(f"n{b}")) & room(F.col(f"n{a}"), F.col(f"at{a}"), F.col(f"n{b}"), F.col(f"at{b}"))
     leads = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node"), "node", "n", "at")).alias("l")).where("m > 1")
-    leads = leads.select((F.col("key") + F.lit(0)).alias("k2"), F.col("l.node").alias("lead"), F.col("l.n").alias("n0"), F.col("l.at").alias("at0"))
+    leads = leads.select(own_exchange(F.col("key")).alias("k2"), F.col("l.node").alias("lead"), F.col("l.n").alias("n0"), F.col("l.at").alias("at0"))
     met = scratch(keyed.join(leads, F.col("key") == F.col("k2")).drop("k2"))
 
     def linked(pairs: DataFrame) -> DataFrame:
