@@ -32,8 +32,9 @@ _SPACED = re.compile(rf"(?<!\S)\S{{1,{PIECE}}}(?:\s+\S{{1,{PIECE}}})+(?!\S)")
 
 
 def letters(units: list[str]) -> np.ndarray:
-    """One row of character classes per unit."""
-    c = np.frombuffer("".join(u.ljust(UNIT, "\0") for u in units).encode("utf-32-le", "replace"), "<u4").astype(np.int64).reshape(-1, UNIT)
+    """One row of character classes per unit, as wide as the longest."""
+    wide = max(map(len, units), default=1)
+    c = np.frombuffer("".join(u.ljust(wide, "\0") for u in units).encode("utf-32-le", "replace"), "<u4").astype(np.int64).reshape(-1, wide)
     return np.where((c >= 97) & (c <= 122), c - 96, np.where(c > 170, 27 + c % (CLASSES - 27), 0))
 
 
@@ -52,20 +53,24 @@ def units(text: str) -> set[str]:
 
 def _triples(c: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
     """For each pair of gaps, the codes of letter triples at all places (0: none) and their weight."""
+    wide = c.shape[1]
     for j, k in _GAPS:
-        a, b, d = c[:, : UNIT - k], c[:, j : UNIT - k + j], c[:, k:]
+        if k >= wide:
+            continue
+        a, b, d = c[:, : wide - k], c[:, j : wide - k + j], c[:, k:]
         yield np.where((a > 0) & (b > 0) & (d > 0), (a * CLASSES + b) * CLASSES + d, 0), DECAY ** (k - 1)
 
 
 def norms(c: np.ndarray) -> np.ndarray:
     """Root of the self-kernel: for each row, squares of the summed weights of equal triples."""
-    codes, weights = [], []
+    codes, weights = [np.zeros((len(c), 1), np.int64)], [np.zeros(1)]
     for t, w in _triples(c):
         codes.append(t)
         weights.append(np.full(t.shape[1], w))
     codes, weights = np.concatenate(codes, axis=1), np.concatenate(weights)
-    order = np.argsort(codes, axis=1, kind="stable")
-    sorted_codes, by = np.take_along_axis(codes, order, axis=1), np.where(np.take_along_axis(codes, order, axis=1) > 0, weights[order], 0.0)
+    order = np.argsort(codes, axis=1)
+    sorted_codes = np.take_along_axis(codes, order, axis=1)
+    by = np.where(sorted_codes > 0, weights[order], 0.0)
     first = np.ones(codes.shape, bool)
     first[:, 1:] = sorted_codes[:, 1:] != sorted_codes[:, :-1]
     sums = np.add.reduceat(by.ravel(), np.flatnonzero(first)) if codes.size else np.zeros(0)
@@ -120,7 +125,7 @@ class Model:
         if len(self.known) + len(unknown) > _CACHED:
             self.known.clear()
             unknown = set().union(*texts)
-        new = list(unknown)
+        new = sorted(unknown, key=len)  # rows of a part are as wide as its longest unit
         for low in range(0, len(new), 4096):
             part = new[low : low + 4096]
             self.known.update(zip(part, project(letters(part), self.weights).tolist()))

@@ -417,9 +417,9 @@ def test_toxicity_kernel_by_brute_force():
 
     def phi(w):
         c, out = toxicity.letters([w])[0], {}
-        for i in range(24):
-            for j in range(i + 1, 24):
-                for k in range(j + 1, min(24, i + 6)):
+        for i in range(len(c)):
+            for j in range(i + 1, len(c)):
+                for k in range(j + 1, min(len(c), i + 6)):
                     if c[i] and c[j] and c[k]:
                         out[c[i], c[j], c[k]] = out.get((c[i], c[j], c[k]), 0) + 0.7 ** (k - i - 1)
         return out
