@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import line_dedup, mixing, packing, quality, simhash
-from lodestar.llm.common import keep, small, table
+from lodestar.llm.common import keep, own_exchange, small, table
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     named = rows.select("_n", "_id").join(small(classes), F.col("_m") == F.col("_n")).select("_n", "_id", "component")
     first = named.groupBy("component").agg(F.min("_id").alias("_least"), F.min("_n").alias("_first")).withColumnRenamed("component", "_c")
     stays = F.col("_id").eqNullSafe(F.col("_least")) & (F.col("_least").isNotNull() | (F.col("_n") == F.col("_first")))
-    gone, _ = keep(named.join(first, F.col("component") == F.col("_c") + F.lit(0)).where(~stays).select(F.col("_n").alias("_k")))
+    gone, _ = keep(named.join(first, F.col("component") == own_exchange(F.col("_c"))).where(~stays).select(F.col("_n").alias("_k")))
     left = keyed.join(small(gone), F.col("_n") == F.col("_k"), "left_anti")
     return left.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
