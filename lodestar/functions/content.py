@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5, name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +34,27 @@ LATER_SIGNATURES = [
     (4, "66747970", 4, "66747970", "mp4", "video/mp4", "mp4"),
 ]
 # Two leading bytes.
-SHORT_SIGNATURES = [("FFFB FFF3 FFF2", "mp3", "audio/mpeg", "mp3"), ("7801 785E 789C 78DA", "zlib", "application/zlib", "zlib")]
+SHORT_SIGNATURES = [
+    ("FFFB", "mp3", "audio/mpeg", "mp3"),
+    ("FFF3", "mp3", "audio/mpeg", "mp3"),
+    ("FFF2", "mp3", "audio/mpeg", "mp3"),
+    ("7801", "zlib", "application/zlib", "zlib"),
+    ("785E", "zlib", "application/zlib", "zlib"),
+    ("789C", "zlib", "application/zlib", "zlib"),
+    ("78DA", "zlib", "application/zlib", "zlib"),
+]
 # Formats of each category.
 CATEGORIES = {
-    "image": "png jpeg gif webp bmp",
-    "document": "pdf docx xlsx pptx",
-    "text": "text json xml html",
-    "audio": "mp3 flac ogg wav",
-    "video": "mp4",
-    "archive": "zip 7z rar gzip bzip2 xz zlib",
-    "database": "sqlite",
+    "image": ["png", "jpeg", "gif", "webp", "bmp"],
+    "document": ["pdf", "docx", "xlsx", "pptx"],
+    "text": ["text", "json", "xml", "html"],
+    "audio": ["mp3", "flac", "ogg", "wav"],
+    "video": ["mp4"],
+    "archive": ["zip", "7z", "rar", "gzip", "bzip2", "xz", "zlib"],
+    "database": ["sqlite"],
 }
+# Media types of text formats.
+TEXT_MIMES = {"text": "text/plain", "json": "application/json", "xml": "application/xml", "html": "text/html"}
 
 
 def _at(content: Column, offset: int, hexes: str) -> Column:
@@ -53,7 +65,7 @@ def detect_format(content: Column) -> Column:
     """Struct (name, mime, extension) by signature, null if none fits. An empty or null content has none."""
     rules = [(_at(content, 0, s), r) for s, *r in SIGNATURES]
     rules += [((F.length(content) >= 12) & _at(content, a, x) & _at(content, b, y), r) for a, x, b, y, *r in LATER_SIGNATURES]
-    rules += [(F.hex(F.substring(content, 1, 2)).isin(s.split()), r) for s, *r in SHORT_SIGNATURES]
+    rules += [(F.hex(F.substring(content, 1, 2)) == s, r) for s, *r in SHORT_SIGNATURES]
     out = None
     for fits, (name, mime, ext) in rules:
         value = F.struct(F.lit(name).alias("name"), F.lit(mime).alias("mime"), F.lit(ext).alias("extension"))
@@ -122,7 +134,7 @@ def classify_text(text: Column) -> Column:
 def category_of(fmt: Column) -> Column:
     out = None
     for category, formats in CATEGORIES.items():
-        out = (F if out is None else out).when(fmt.isin(formats.split()), category)
+        out = (F if out is None else out).when(fmt.isin(formats), category)
     return out.otherwise("unknown")
 
 
@@ -140,6 +152,8 @@ def reading_status(text: Column, fmt: Column) -> Column:
 def inspect(files: DataFrame, limit: int = 65536) -> DataFrame:
     """(file_id, original_name, content string) -> one inspection record per file, in one projection.
 
+    mime is that of the signature or of the text format, encoding that of readable text, error says why a file has no type.
+
     Null content is an empty file: status empty, no type. A bad file becomes a row with a status, never a failure.
     Content beyond `limit` bytes is plain text whatever its start, since a part of a document proves no format.
     """
@@ -148,21 +162,71 @@ def inspect(files: DataFrame, limit: int = 65536) -> DataFrame:
     size = F.length(raw)
     named = detect_format(raw)
     found = F.when(size == 0, F.lit(None)).when(named.isNotNull(), named["name"]).when(~is_readable(text), F.lit(None)).when(size > limit, "text").otherwise(classify_text(text))
-    done = files.select("file_id", "original_name", size.cast("long").alias("file_size"), magic_bytes(raw).alias("magic_bytes"), printable_ratio_bytes(raw).alias("printable_ratio"), found.alias("detected_type"), coverage(size, limit).alias("coverage"), F.sha2(raw, 256).alias("sha256"))
+    done = files.select("file_id", "original_name", size.cast("long").alias("file_size"), magic_bytes(raw).alias("magic_bytes"), printable_ratio_bytes(raw).alias("printable_ratio"), found.alias("detected_type"), coverage(size, limit).alias("coverage"), F.sha2(raw, 256).alias("sha256"), named["mime"].alias("_mime"))
     status = F.when(F.col("file_size") == 0, "empty").when(F.col("detected_type").isNull(), "unsupported").otherwise("ok")
     confidence = F.when(F.col("detected_type").isNull(), "unknown").when(F.col("detected_type").isin("text", "json", "xml", "html"), "heuristic").otherwise("signature")
-    return done.select("*", category_of(F.coalesce("detected_type", F.lit(""))).alias("category"), status.alias("status"), confidence.alias("confidence"))
+    textual = F.col("detected_type").isin(CATEGORIES["text"])
+    mime = F.coalesce("_mime", F.element_at(F.create_map(*[F.lit(x) for pair in TEXT_MIMES.items() for x in pair]), F.when(textual, F.col("detected_type"))), F.lit("application/octet-stream"))
+    error = F.when(F.col("file_size") == 0, "empty file").when(F.col("detected_type").isNull(), "no known format")
+    told = done.select("*", category_of(F.coalesce("detected_type", F.lit(""))).alias("category"), status.alias("status"), confidence.alias("confidence"), mime.alias("mime"), F.when(textual, "utf-8").alias("encoding"), error.alias("error"))
+    return told.drop("_mime")
 
 
 def xor_image_key(content: Column) -> Column:
-    """The key of a constant single-byte XOR that turns the first bytes into an image signature; null if none does."""
-    out = F.lit(None).cast("int")
-    for hexes, name, *_ in reversed([s for s in SIGNATURES if s[1] in ("png", "jpeg", "gif", "bmp") and len(s[0]) > 4]):
-        sig = [int(hexes[i : i + 2], 16) for i in range(0, len(hexes), 2)]
-        byte = [F.conv(F.hex(F.substring(content, i + 1, 1)), 16, 10).cast("int") for i in range(len(sig))]
-        key = byte[0].bitwiseXOR(F.lit(sig[0]))
-        fits = key != 0
-        for b, s in zip(byte, sig):
-            fits = fits & (b.bitwiseXOR(F.lit(s)) == key)
-        out = F.when(fits, key).otherwise(out)
-    return out
+    """The key of a constant single-byte XOR under which the bytes are an image; null if there is none, or fewer than 8 bytes.
+
+    PNG and GIF are told by their signatures, WEBP by both parts of its, JPEG by its first three and last two bytes.
+    """
+
+    def byte(i: int) -> Column:
+        return F.conv(F.hex(F.substring(content, i, 1)), 16, 10).cast("int")
+
+    def key_of(parts: list[tuple[int, str]]) -> Column:
+        """Parts: a place (1-based; negative: from the end) and the bytes that stand there, in hexadecimal."""
+        want = [(at + i, b) for at, hexes in parts for i, b in enumerate(bytes.fromhex(hexes))]
+        key = byte(want[0][0]).bitwiseXOR(F.lit(want[0][1]))
+        fits = (key != 0) & (F.length(content) >= max([8, *(i for i, _ in want)]))
+        for i, b in want[1:]:
+            fits = fits & (byte(i).bitwiseXOR(F.lit(b)) == key)
+        return F.when(fits, key)
+
+    of = {name: hexes for hexes, name, *_ in SIGNATURES}
+    gifs = [hexes for hexes, name, *_ in SIGNATURES if name == "gif"]
+    webp = next((first, second) for _, first, _, second, name, *_ in LATER_SIGNATURES if name == "webp")
+    kinds = [[(1, of["png"])], *[[(1, g)] for g in gifs], [(1, webp[0]), (9, webp[1])], [(1, of["jpeg"]), (-2, "FFD9")]]
+    return F.coalesce(*[key_of(k) for k in kinds])
+
+
+#: Names that count without a semicolon, too; longer ones first.
+_OLD_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+
+
+def unescape_html(text: Column) -> Column:
+    """Character references decoded once: numbers, the names of HTML 4, and the old names that need no semicolon. Anything else stays."""
+    chars = F.create_map(*[F.lit(x) for n, i in name2codepoint.items() for x in (n, chr(i))])
+
+    def decoded(p: Column) -> Column:
+        hexa, deci = F.regexp_extract(p, r"^#[xX]([0-9A-Fa-f]{1,6});?", 1), F.regexp_extract(p, r"^#([0-9]{1,7});?", 1)
+        code = F.when(hexa != "", F.conv(hexa, 16, 10).cast("int")).when(deci != "", deci.try_cast("int"))
+        fine = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(fine, code)), 8, "0")), "UTF-32")
+        name, old = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);", 1), F.regexp_extract(p, "^(" + "|".join(_OLD_NAMES) + ")", 1)
+        known, known_old = F.try_element_at(chars, name), F.try_element_at(chars, old)
+        after = lambda n: F.substring(p, n, F.length(p))
+        numbered = F.concat(char, F.regexp_replace(p, r"^#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?", ""))
+        return F.coalesce(numbered, F.concat(known, after(F.length(name) + 2)), F.concat(known_old, after(F.length(old) + 1)), F.concat(F.lit("&"), p))
+
+    pieces = F.split(text, "&", -1)
+    return F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded), ""))
+
+
+def html_title(html: Column) -> Column:
+    """The first title's text, empty if there is none."""
+    return unescape_html(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+
+
+def html_text(html: Column, limit: int = 2048) -> Column:
+    """Text outside of tags, scripts, styles and comments: pieces joined by a blank, character references decoded, cut to `limit` characters, runs of blanks folded."""
+    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<!doctype[^>]*>", "<->")
+    pieces = F.filter(F.split(bare, r"<[^>]+>", -1), lambda x: x != "")
+    return F.trim(F.regexp_replace(F.substring(F.array_join(F.transform(pieces, unescape_html), " "), 1, limit), r"[ \t\n\r\f]+", " "))

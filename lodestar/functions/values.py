@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 # Words that stand for a missing value.
 NULL_WORDS = ["", "null", "none", "na", "n/a", "nan"]
+# Patterns of integers, numbers, numeric cells, moments and key names.
 _HOUR, _MINUTE = "([01][0-9]|2[0-3])", "[0-5][0-9]"
 INTEGER = r"^-?(0|[1-9][0-9]*)$"
 NUMBER = r"^[+-]?((0|[1-9][0-9]*)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -17,7 +18,7 @@ KEY_NAME = r"(^|_)(id|uuid|key|编号|序号)($|_)"
 
 
 def stripped(value: Column) -> Column:
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.btrim(value, F.lit(" \t\n\x0b\f\r"))
 
 
 def is_null_word(value: Column) -> Column:

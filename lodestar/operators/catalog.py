@@ -36,11 +36,38 @@ def reprocess(done: DataFrame, hashes: DataFrame) -> DataFrame:
     return done.join(hashes, "sha256", "left_anti")
 
 
-def corpus_gate(items: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """One row: rejected items, files that fail their check, and ok if there are none of either."""
+def catalog_filter(files: DataFrame, kind: str | None = None, fingerprint: str | None = None, search: str | None = None) -> DataFrame:
+    """Files (original_name, detected_type, fingerprint) that are of a type, of a schema, and hold a text in their name, in any letter case; % and _ in it stand for themselves."""
+    if kind is not None:
+        files = files.where(F.col("detected_type") == kind)
+    if fingerprint is not None:
+        files = files.where(F.col("fingerprint") == fingerprint)
+    if search:
+        files = files.where(F.col("original_name").ilike("%" + "".join("\\" + c if c in "\\%_" else c for c in search) + "%"))
+    return files
+
+
+def known_batches(items: DataFrame, known: DataFrame) -> DataFrame:
+    """Items (batch_id) with accepted: whether the batch is known. Null batches are not."""
+    seen = known.select(F.col("batch_id").alias("_b")).distinct().withColumn("_known", F.lit(True))
+    return items.join(seen, F.col("batch_id") == F.col("_b"), "left").withColumn("accepted", F.coalesce("_known", F.lit(False))).drop("_b", "_known")
+
+
+def apply_names(files: DataFrame, names: DataFrame) -> DataFrame:
+    """Files with the mapped name of (original_name, mapped), null where there is none; of several mappings of a name, the smallest counts."""
+    once = names.groupBy(F.col("original_name").alias("_name")).agg(F.min("mapped").alias("mapped"))
+    return files.join(once, F.col("original_name") == F.col("_name"), "left").drop("_name")
+
+
+def corpus_gate(items: DataFrame, verdicts: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    """One row: rejected items, files that fail their check, jobs (state) that are not done, and ok if there are none of either."""
     rejected = items.agg(F.count_if(F.col("file_id").isNull()).alias("rejected"))
     bad = verdicts.agg(F.count_if(F.col("verdict") != "ok").alias("bad"))
-    return rejected.join(bad).withColumn("ok", (F.col("rejected") == 0) & (F.col("bad") == 0))  # one row each
+    if jobs is None:
+        return rejected.join(bad).withColumn("ok", (F.col("rejected") == 0) & (F.col("bad") == 0))  # one row each
+    left = jobs.agg(F.count_if(F.col("state").isin("pending", "running")).alias("unfinished"), F.count_if(F.col("state") == "failed").alias("failed"))
+    none = (F.col("rejected") == 0) & (F.col("bad") == 0) & (F.col("unfinished") == 0) & (F.col("failed") == 0)
+    return rejected.join(bad).join(left).withColumn("ok", none)
 
 
 def reuse_by_content(files: DataFrame, analyse) -> DataFrame:
@@ -75,11 +102,10 @@ def verify_integrity(catalogue: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def upload_status(parts: DataFrame, chunk: int = 1024) -> DataFrame:
-    """Complete if numbers run 1..n, every part has an etag and the sizes add up; missing lists what to send again."""
+    """(upload_id, size, part, etag, bytes): complete if numbers run 1..n, every part has an etag and the parts' own bytes add up to the size. Of a part that arrived twice, the larger counts."""
     n = F.greatest(F.ceil(F.col("size") / chunk), F.lit(1)).cast("long")
-    size = F.least(F.lit(chunk).cast("long"), F.col("size") - (F.col("part") - 1) * chunk)
-    once = parts.groupBy("upload_id", "size", "part").agg(F.max("etag").alias("etag"))
-    got = once.groupBy("upload_id", "size").agg(F.count("*").alias("arrived"), F.max("part").alias("last"), F.count("etag").alias("acknowledged"), F.sum(F.when(F.col("etag").isNotNull(), size).otherwise(0)).alias("bytes"))
+    once = parts.groupBy("upload_id", "size", "part").agg(F.max("etag").alias("etag"), F.max("bytes").alias("_bytes"))
+    got = once.groupBy("upload_id", "size").agg(F.count("*").alias("arrived"), F.max("part").alias("last"), F.count("etag").alias("acknowledged"), F.sum(F.when(F.col("etag").isNotNull(), F.col("_bytes")).otherwise(0)).alias("bytes"))
     whole = (F.col("arrived") == n) & (F.col("last") == n) & (F.col("acknowledged") == n) & (F.col("bytes") == F.col("size"))
     return got.select("upload_id", "size", n.alias("expected"), "arrived", "acknowledged", "bytes", whole.alias("complete"))
 

@@ -62,7 +62,9 @@ def distinct_headers(names: Column) -> Column:
 
 
 def read_delimited(files: DataFrame, complete: Column | None = None, delimiter: str | None = None) -> DataFrame:
-    """(file_id, content) -> file_id, delimiter, header, row_no, cells, record (map), extra_cells, ragged.
+    """(file_id, content) -> file_id, delimiter, header, names, row_no, cells, record (map), extra_cells, ragged.
+
+    header holds distinct names; names are those of the file as they stand, null where the first row is data.
 
     A file without delimiter gives no rows. Short rows lack their last keys, long rows keep extra_cells; both are
     ragged. Where `complete` is false, an unfinished last row is left out. A first row of numbers only is data. The
@@ -74,12 +76,13 @@ def read_delimited(files: DataFrame, complete: Column | None = None, delimiter:
     each = files.select("file_id", (F.lit(delimiter) if delimiter else sniff_delimiter(F.col("content"))).alias("delimiter"), kept.alias("_rows")).where("delimiter is not null and size(_rows) > 0")
     first = each.withColumn("_first", split_cells(F.col("_rows")[0], F.col("delimiter"))).withColumn("_named", has_header(F.col("_first")))
     unnamed = F.transform("_first", lambda c, i: F.concat(F.lit("column_"), (i + 1).cast("string")))
+    first = first.withColumn("names", F.when(F.col("_named"), F.transform("_first", lambda c: F.trim(c))))
     headed = first.withColumn("header", F.when(F.col("_named"), distinct_headers(F.col("_first"))).otherwise(unnamed))
     body = F.when(F.col("_named"), F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0)))).otherwise(F.col("_rows"))
-    out = headed.select("file_id", "delimiter", "header", F.posexplode(body).alias("row_no", "_row")).withColumn("cells", split_cells(F.col("_row"), F.col("delimiter")))
+    out = headed.select("file_id", "delimiter", "header", "names", F.posexplode(body).alias("row_no", "_row")).withColumn("cells", split_cells(F.col("_row"), F.col("delimiter")))
     width, n = F.size("header"), F.size("cells")
     both = F.least(width, n)
-    return out.select("file_id", "delimiter", "header", "row_no", "cells", F.map_from_arrays(F.slice("header", 1, both), F.slice("cells", 1, both)).alias("record"), F.when(n > width, F.slice("cells", width + 1, n)).alias("extra_cells"), (n != width).alias("ragged"))
+    return out.select("file_id", "delimiter", "header", "names", "row_no", "cells", F.map_from_arrays(F.slice("header", 1, both), F.slice("cells", 1, both)).alias("record"), F.when(n > width, F.slice("cells", width + 1, n)).alias("extra_cells"), (n != width).alias("ragged"))
 
 
 def numeric_matrix(files: DataFrame) -> DataFrame:
@@ -89,8 +92,8 @@ def numeric_matrix(files: DataFrame) -> DataFrame:
 
 
 def tabular_rule(rows: DataFrame) -> DataFrame:
-    """read_delimited rows -> file_id, result: pass if the header has no repeats and no row is ragged, else fail."""
-    unique = F.size(F.array_distinct("header")) == F.size("header")
+    """read_delimited rows -> file_id, result: pass if the file's own names are neither blank nor repeated and no row is ragged, else fail. A file without names has none to fail."""
+    unique = F.col("names").isNull() | ((F.size(F.array_distinct("names")) == F.size("names")) & ~F.array_contains("names", ""))
     return rows.groupBy("file_id").agg(F.when(F.bool_and(unique) & ~F.bool_or("ragged"), "pass").otherwise("fail").alias("result"))
 
 
@@ -100,6 +103,6 @@ def quality_summary(rows: DataFrame) -> DataFrame:
     Two aggregates, the first on (file, row hash), so that the rows of a large file never meet before they are distinct.
     """
     key = F.sha2(F.to_json("cells"), 256)
-    once = rows.groupBy("file_id", key.alias("_k")).agg(F.count("*").alias("n"), F.count_if("ragged").alias("r"))
-    out = once.groupBy("file_id").agg(F.sum("n").alias("row_count"), (F.sum("n") - F.count("*")).alias("duplicate_rows"), F.sum("r").alias("ragged_rows"))
-    return out.withColumn("warnings", F.array_compact(F.array(F.when(F.col("duplicate_rows") > 0, "duplicate_rows"), F.when(F.col("ragged_rows") > 0, "ragged_rows"))))
+    once = rows.groupBy("file_id", key.alias("_k")).agg(F.count("*").alias("n"), F.count_if("ragged").alias("r"), F.bool_or(F.coalesce(F.col("names") != F.col("header"), F.lit(False))).alias("named"))
+    out = once.groupBy("file_id").agg(F.bool_or("named").alias("_renamed"), F.sum("n").alias("row_count"), (F.sum("n") - F.count("*")).alias("duplicate_rows"), F.sum("r").alias("ragged_rows"))
+    return out.withColumn("warnings", F.array_compact(F.array(F.when(F.col("duplicate_rows") > 0, "duplicate_rows"), F.when(F.col("ragged_rows") > 0, "ragged_rows"), F.when(F.col("_renamed"), "renamed_headers")))).drop("_renamed")

@@ -37,7 +37,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, family: str
     aggregate, first on (column, type, value), so that no column's values meet in one task before they are distinct.
     """
     typed = cells(df, columns).select("column", interpreted(F.col("native"), F.col("value")).alias("type"), "value")
-    per_value = typed.groupBy("column", "type", F.when(F.col("type") != "null", F.xxhash64("value")).alias("h"), F.when(F.col("type") != "null", F.sha2("value", 256)).alias("v")).agg(F.count("*").alias("n"))
+    per_value = typed.groupBy("column", "type", F.when(F.col("type") != "null", F.sha2("value", 256)).alias("v")).agg(F.count("*").alias("n"))
     per_type = per_value.groupBy("column", "type").agg(F.sum("n").alias("n"), F.count("v").alias("distinct"))
     out = per_type.groupBy("column").agg(F.sum("n").alias("row_count"), F.coalesce(F.sum(F.when(F.col("type") == "null", F.col("n"))), F.lit(0)).alias("null_count"), F.sum("distinct").alias("distinct_count"), F.collect_set("type").alias("seen"))
     kinds = F.transform("seen", lambda t: F.when(t.isin("date", "date-time"), "string").otherwise(t))

@@ -64,10 +64,34 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
 
 
 def cursor_page(df: DataFrame, key: str, after: int, limit: int) -> DataFrame:
-    """Up to `limit` rows behind the cursor, each with whether more follow: keyset paging, one extra row is read."""
+    """Up to `limit` rows behind the cursor, each with whether more follow and the next cursor (null if none do): keyset paging, one extra row is read."""
     read = df.where(F.col(key) > after).orderBy(key).limit(limit + 1)
     w = Window.orderBy(key)  # limit + 1 rows
-    return read.withColumn("_i", F.row_number().over(w)).withColumn("truncated", F.count("*").over(Window.partitionBy()) > limit).where(F.col("_i") <= limit).drop("_i")
+    each = read.withColumn("_i", F.row_number().over(w)).withColumn("truncated", F.count("*").over(Window.partitionBy()) > limit).where(F.col("_i") <= limit)
+    return each.withColumn("next_cursor", F.when(F.col("truncated"), F.max(key).over(Window.partitionBy()))).drop("_i")
+
+
+def drift(df: DataFrame, key: str, column: Column, share: int = 100) -> DataFrame:
+    """Value types in the first, the middle and the last 1/share of the rows in order of a column of distinct whole numbers: head, middle, tail (sorted lists) and drifted.
+
+    The windows' bounds are found by kth_largest(), which runs jobs: no row is sorted or numbered.
+    """
+    n = df.where(F.col(key).isNotNull()).count()
+    m = max(1, n // share)
+    at = lambda k: kth_largest(df, key, max(1, min(k, n)))
+    bounds = {"head": (at(n), at(n - m + 1)), "middle": (at(n // 2 + (m + 1) // 2), at(n // 2 - m // 2 + 1)), "tail": (at(m), at(1))}
+    inside = lambda b: F.lit(False) if b[0] is None else F.col(key).between(*b)
+    types = [F.array_sort(F.collect_set(F.when(inside(b), column))).alias(zone) for zone, b in bounds.items()]
+    return df.agg(*types).withColumn("drifted", (F.col("head") != F.col("middle")) | (F.col("middle") != F.col("tail")))
+
+
+def table_quota(tables: dict[str, DataFrame], rows: int, key: str) -> DataFrame:
+    """The first rows // len(tables) rows of each table by its key, with the table's name in tbl. Tables have the same columns."""
+    out = None
+    for name, df in tables.items():
+        part = page(df, [F.col(key)], rows // len(tables)).select(F.lit(name).alias("tbl"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def occurrence_index(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -7,7 +7,12 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.bounded import normalized_names
 from lodestar.functions.values import type_union
+from lodestar.operators.profile import column_profile, interpreted_types, observed_types
+
+#: A key inside a path stands in quotes if it holds a character that means something there.
+_QUOTED = r'"(?:[^"\\]|\\.)*"'
 
 
 def json_type(value: Column) -> Column:
@@ -25,14 +30,15 @@ def paths(df: DataFrame, value: str, depth: int = 5) -> DataFrame:
     """One row per (path, parent, key, type) with n, over all records of a VARIANT column.
 
     One scan: every level is exploded beside its parent, and a node is counted on its first descendant's row only. The
-    counts are combined before the only shuffle. `[]` marks array items; `$` is the root; null records are left out.
+    counts are combined before the only shuffle. `[]` marks array items; `$` is the root; keys that
+    hold a dot, bracket, quote or backslash are quoted as in JSON; null records are left out.
     Levels below `depth` are not entered.
     """
     spark = df.sparkSession
     cur = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v0"), F.lit("$").alias("_p0"))
     for i in range(1, depth + 1):
         step = spark.tvf.variant_explode_outer(F.col(f"_v{i - 1}").outer()).toDF("_pos", "_key", "_value")
-        name = F.when(F.col("_pos").isNull(), F.lit(None)).when(F.col("_key").isNull(), F.concat(f"_p{i - 1}", F.lit("[]"))).otherwise(F.concat(f"_p{i - 1}", F.lit("."), "_key"))
+        name = F.when(F.col("_pos").isNull(), F.lit(None)).when(F.col("_key").isNull(), F.concat(f"_p{i - 1}", F.lit("[]"))).otherwise(F.concat(f"_p{i - 1}", F.lit("."), F.when(F.regexp_like("_key", F.lit(r'[.\[\]"\\]')), _quoted(F.col("_key"))).otherwise(F.col("_key"))))
         cur = cur.lateralJoin(step, how="left").select(*[c for c in cur.columns if c != f"_v{i - 1}"], json_type(F.col(f"_v{i - 1}")).alias(f"_t{i - 1}"), F.col("_pos").alias(f"_i{i}"), F.col("_key").alias(f"_k{i}"), name.alias(f"_p{i}"), F.col("_value").alias(f"_v{i}"))
     cur = cur.withColumn(f"_t{depth}", json_type(F.col(f"_v{depth}")))
     nodes = []
@@ -62,7 +68,7 @@ def nested_fingerprint(schema: DataFrame) -> DataFrame:
 
 def field_tree(schema: DataFrame, depth: int = 8, limit: int = 250) -> DataFrame:
     """A schema's fields depth first, at most `limit`: path, level, type text, required."""
-    level = F.regexp_count("path", F.lit(r"\.|\[\]"))
+    level = F.regexp_count(F.regexp_replace("path", _QUOTED, "k"), F.lit(r"\.|\[\]"))
     text = F.when(F.size("types") == 1, F.col("types")[0]).otherwise(F.array_join("types", " | "))
     return schema.select("path", level.alias("level"), text.alias("type"), "required").where(F.col("level") <= depth).orderBy("path").limit(limit)
 
@@ -76,25 +82,49 @@ def violations(df: DataFrame, value: str, schema: DataFrame, depth: int = 5) ->
     bad = seen.where(F.col("_types").isNull() | ~fits).select("path", F.when(F.col("_types").isNull(), "undeclared").otherwise(F.concat(F.lit("type "), "type")).alias("problem"), "n")
     objects = found.where("type = 'object'").groupBy(F.col("path").alias("_owner")).agg(F.sum("n").alias("_of"))
     present = found.groupBy("path").agg(F.sum("n").alias("_has"))
-    need = schema.where("required").select("path", F.regexp_replace("path", r"\.[^.]*$", "").alias("_owner")).join(objects, "_owner").join(present, "path", "left")
+    need = schema.where("required").select("path", F.regexp_replace("path", rf'\.(?:{_QUOTED}|[^."]*)$', "").alias("_owner")).join(objects, "_owner").join(present, "path", "left")
     lacking = (F.col("_of") - F.coalesce("_has", F.lit(0))).alias("n")
     return bad.unionByName(need.select("path", F.lit("missing").alias("problem"), lacking).where("n > 0"))
 
 
-def schema_candidates(profile: DataFrame) -> DataFrame:
-    """A column profile -> candidate, schema (JSON): faithful keeps types as seen, analytics one type each, semantic roles."""
+def _quoted(value: Column) -> Column:
+    """A string as JSON."""
+    return F.regexp_replace(F.to_json(F.array(value)), r"(?s)^\[|\]$", "")
+
+
+def _type_of(types: Column) -> Column:
+    return F.when(F.size(types) == 1, _quoted(F.get(types, 0))).otherwise(F.to_json(types))
 
-    def as_json(value: Column) -> Column:
-        return F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", value)))))
 
-    one = F.when(F.contains("types", F.lit(",")), "string").otherwise(F.col("types"))
-    out = profile.agg(as_json(F.col("types")).alias("faithful"), as_json(one).alias("analytics"), as_json(F.col("role")).alias("semantic"))
+def schema_candidates(df: DataFrame, columns: list[str] | None = None, family: str = "tabular") -> DataFrame:
+    """candidate, schema: three JSON Schemas of a table.
+
+    faithful keeps source names and native types with their counts; analytics has plain distinct names, types read from
+    the values and the format of dates; semantic adds each field's role and whether it may be a key. Fields are in the
+    order of their names; a table without rows has none. Built from aggregates of one row per column.
+    """
+    names = columns or df.columns
+    proposed = F.create_map(*[F.lit(x) for pair in zip(names, normalized_names(names)) for x in pair])
+    native = observed_types(df, names).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("native", "n"))).alias("native"))
+    kinds = interpreted_types(df, names).groupBy("column").agg(F.array_remove(F.collect_set("type"), "null").alias("kinds"))
+    each = column_profile(df, names, family).join(native, "column").join(kinds, "column")
+    counts = F.array_join(F.transform("native", lambda x: F.concat(_quoted(x["native"]), F.lit(":"), x["n"].cast("string"))), ",")
+    dated = F.when((F.size("kinds") == 1) & F.get("kinds", 0).isin("date", "date-time"), F.concat(F.lit(',"format":'), _quoted(F.get("kinds", 0)))).otherwise("")
+    faithful = F.concat(_quoted(F.col("column")), F.lit(':{"type":'), _type_of(type_union(F.transform("native", lambda x: x["native"]))), F.lit(',"x-observed-types":{'), counts, F.lit("}}"))
+    tidy = F.concat(_quoted(F.element_at(proposed, F.col("column"))), F.lit(':{"type":'), _type_of(F.split("types", ",")), F.lit(',"x-source-column":'), _quoted(F.col("column")), dated, F.lit("}"))
+    role = F.concat(_quoted(F.col("column")), F.lit(':{"role":'), _quoted(F.col("role")), F.lit(',"candidate_key":'), F.col("candidate_key").cast("string"), F.lit("}"))
+    listed = lambda text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", text.alias("t")))), lambda x: x["t"]), ",")
+    one = each.agg(listed(faithful).alias("f"), listed(tidy).alias("a"), listed(role).alias("r"))
+    head = '{"$schema":"https://json-schema.org/draft/2020-12/schema","type":"object","additionalProperties":true,"required":[],"properties":{'
+    semantic = F.concat(F.lit(head), "f", F.lit('},"x-content-family":'), _quoted(F.lit(family)), F.lit(',"x-field-roles":{'), "r", F.lit("}}"))
+    out = one.select(F.concat(F.lit(head), "f", F.lit("}}")).alias("faithful"), F.concat(F.lit(head), "a", F.lit("}}")).alias("analytics"), semantic.alias("semantic"))
     return out.unpivot([], ["faithful", "analytics", "semantic"], "candidate", "schema")
 
 
-def schema_catalog(files: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Files (sha256) with shapes (sha256, fingerprint): fingerprint, files, and the smallest hash as representative."""
-    return files.join(shapes.where("fingerprint is not null"), "sha256").groupBy("fingerprint").agg(F.count("*").alias("files"), F.min("sha256").alias("representative"))
+def schema_catalog(files: DataFrame, shapes: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Files (sha256) with shapes (sha256, fingerprint): fingerprint, files, and the smallest hash as representative; a page of those with most files first if limited."""
+    groups = files.join(shapes.where("fingerprint is not null"), "sha256").groupBy("fingerprint").agg(F.count("*").alias("files"), F.min("sha256").alias("representative"))
+    return groups if limit is None else groups.orderBy(F.col("files").desc(), "fingerprint").offset(offset).limit(limit)
 
 
 def shape_count(items: DataFrame, files: DataFrame, shapes: DataFrame) -> DataFrame:

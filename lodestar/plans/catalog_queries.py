@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ KIND = """CASE WHEN strlen(content) = 0 THEN NULL WHEN regexp_matches(trim(conte
 PARTS = """WITH sized AS (SELECT doc_id AS upload_id, CAST(strlen(text) AS BIGINT) AS size FROM documents
 ), parts AS (
   SELECT * FROM (SELECT upload_id, size, unnest(range(1, greatest((size + 1023) // 1024, 1) + 1)) AS part FROM sized) WHERE (upload_id + part) % 17 <> 0
-), p AS (SELECT *, CASE WHEN (upload_id + part) % 19 <> 0 THEN 'e' || part END AS etag FROM parts)
+), p AS (SELECT *, greatest(0, least(1024, size - (part - 1) * 1024) - CASE WHEN (upload_id + part) % 23 = 0 THEN 1 ELSE 0 END) AS bytes, CASE WHEN (upload_id + part) % 19 <> 0 THEN 'e' || part END AS etag FROM parts)
 """
 ITEMS = """WITH items AS (SELECT source AS batch_id, doc_id AS sequence, CASE WHEN doc_id % 13 <> 0 THEN doc_id END AS file_id, CASE WHEN doc_id % 13 = 0 THEN '{"code":"quota"}' END AS rejection FROM documents)
 """
@@ -71,7 +73,7 @@ def f8_classify_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query(FILES + f"""SELECT file_id, original_name, CAST(strlen(content) AS BIGINT) AS file_size, left(lower(hex(encode(content))), 64) AS magic_bytes,
   round(length(regexp_replace(content, '[^\\t\\n\\r\\x20-\\x7e]', '', 'g')) / strlen(content), 4) AS printable_ratio, {KIND} AS detected_type,
-  CASE WHEN strlen(content) <= 65536 THEN 'whole_file' ELSE 'prefix_only' END AS coverage, sha256(content) AS sha256, 'text' AS category, 'ok' AS status, 'heuristic' AS confidence FROM files""")
+  CASE WHEN strlen(content) <= 65536 THEN 'whole_file' ELSE 'prefix_only' END AS coverage, sha256(content) AS sha256, 'text' AS category, 'ok' AS status, 'heuristic' AS confidence, CASE {KIND} WHEN 'html' THEN 'text/html' ELSE 'text/plain' END AS mime, 'utf-8' AS encoding, NULL AS error FROM files""")
 def f10_inspect(spark: SparkSession, d: str) -> DataFrame:
     return C.inspect(files(spark, d))
 
@@ -144,21 +146,26 @@ def f29_expected_part(spark: SparkSession, d: str) -> DataFrame:
     return each.select("doc_id", "part", V.part_bytes(F.col("n_chars"), F.col("part"), 1024).alias("bytes"))
 
 
-@query(FILES + "SELECT file_id, original_name FROM files WHERE original_name ILIKE '%SRC1/%1.dat'")
+@query(FILES + f"SELECT file_id, original_name FROM files WHERE {KIND} = 'html' AND sha256({KIND} || source) = sha256('htmlpages') AND lower(original_name) LIKE '%age!_1%' ESCAPE '!'")
 def f31_catalog_filter(spark: SparkSession, d: str) -> DataFrame:
-    return files(spark, d).where(F.col("original_name").ilike("%SRC1/%1.dat")).select("file_id", "original_name")
+    kind = C.classify_text(F.col("content"))
+    typed = files(spark, d).select("file_id", "original_name", kind.alias("detected_type"), F.sha2(F.concat(kind, "source"), 256).alias("fingerprint"))
+    return K.catalog_filter(typed, "html", hashlib.sha256(b"htmlpages").hexdigest(), "AGE_1").select("file_id", "original_name")
+
+
+UNESCAPED = "regexp_replace(replace(replace(replace({0}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;?', '&', 'g')"  # all references that the pages hold
 
 
-@query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages")
+@query("SELECT page_id, " + UNESCAPED.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + " AS title FROM pages")
 def s9_html_title(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    return read(spark, d, "pages").select("page_id", C.html_title(F.col("html")).alias("title"))
 
 
-@query("""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!doctype[^>]*>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages)
-SELECT page_id, left(trim(regexp_replace(t, '[ \\t\\n\\r\\f]+', ' ', 'g')), 2048) AS text FROM a""")
+@query("""WITH a AS (SELECT page_id, string_split_regex(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!doctype[^>]*>', '<->', 'g'), '<[^>]+>') AS pieces FROM pages
+), t AS (SELECT page_id, array_to_string(list_filter(pieces, lambda x: x <> ''), ' ') AS t FROM a)
+SELECT page_id, trim(regexp_replace(left(""" + UNESCAPED.format("t") + """, 2048), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS text FROM t""")
 def s9_html_text(spark: SparkSession, d: str) -> DataFrame:
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<!doctype[^>]*>", " "), r"(?s)<[^>]+>", " ")
-    return read(spark, d, "pages").select("page_id", F.substring(F.trim(F.regexp_replace(bare, r"[ \t\n\r\f]+", " ")), 1, 2048).alias("text"))
+    return read(spark, d, "pages").select("page_id", C.html_text(F.col("html")).alias("text"))
 
 
 @query("SELECT doc_id, i AS window_no, substr(text, 1 + i * 2048, 2048) AS text FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 2047) // 2048)) AS i FROM documents)")
@@ -180,10 +187,10 @@ def s3_bounded_prefix(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).select("file_id", F.substring("content", 1, 512).alias("prefix"), F.octet_length("content").cast("long").alias("size"))
 
 
-@query("SELECT 'region' AS tbl, CAST(r_regionkey AS BIGINT) AS key, r_name AS name FROM region UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier")
+@query("SELECT 'nation' AS tbl, CAST(n_nationkey AS BIGINT) AS key, n_name AS name FROM (FROM nation ORDER BY n_nationkey LIMIT 66) UNION ALL SELECT 'supplier', s_suppkey, s_name FROM (FROM supplier ORDER BY s_suppkey LIMIT 66) UNION ALL SELECT 'customer', c_custkey, c_name FROM (FROM customer ORDER BY c_custkey LIMIT 66)")
 def s12_multi_table(spark: SparkSession, d: str) -> DataFrame:
-    parts = [read(spark, d, t).select(F.lit(t).alias("tbl"), F.col(k).cast("long").alias("key"), F.col(n).alias("name")) for t, k, n in (("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name"), ("supplier", "s_suppkey", "s_name"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    named = (("nation", "n_nationkey", "n_name"), ("supplier", "s_suppkey", "s_name"), ("customer", "c_custkey", "c_name"))
+    return S.table_quota({t: read(spark, d, t).select(F.col(k).cast("long").alias("key"), F.col(n).alias("name")) for t, k, n in named}, 200, "key")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, props IS NOT NULL AND NOT json_valid(props) AS malformed FROM events")
@@ -231,6 +238,12 @@ def p8_column_profile(spark: SparkSession, d: str) -> DataFrame:
     return P.column_profile(_docs(spark, d), ["doc_id", "lang", "source", "n_chars", "text"])
 
 
+@query("""WITH c AS (SELECT unnest(['l_orderkey', 'l_quantity', 'l_returnflag', 'l_linestatus']) AS col, unnest(['integer', 'number', '', '']) AS native, unnest([CAST(l_orderkey AS VARCHAR), CAST(l_quantity AS VARCHAR), l_returnflag, l_linestatus]) AS v FROM lineitem
+), typed AS (SELECT col, v, CASE WHEN v IS NULL THEN 'null' WHEN native <> '' THEN native ELSE """ + TYPE + " END AS t FROM c)\n" + PROFILE)
+def p8_lineitem_profile(spark: SparkSession, d: str) -> DataFrame:
+    return P.column_profile(read(spark, d, "lineitem"), ["l_orderkey", "l_quantity", "l_returnflag", "l_linestatus"])
+
+
 @query(CELLS + f", typed AS (SELECT 'v' AS col, v, {TYPE} AS t FROM cells)\n" + PROFILE)
 def p3_p7_dirty_profile(spark: SparkSession, d: str) -> DataFrame:
     return P.column_profile(_cells(spark, d), ["v"])
@@ -252,15 +265,17 @@ def p12_schema_groups(spark: SparkSession, d: str) -> DataFrame:
     return grouped.orderBy(F.col("n").desc(), "detected_type", "source").limit(200)
 
 
-@query("""WITH n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events
-), z AS (SELECT CASE WHEN i >= n - n // 100 THEN 'tail' ELSE 'head' END AS zone, CASE WHEN i >= n - n // 100 THEN 'string' ELSE 'integer' END AS type FROM n)
-SELECT zone, type, count(*) AS n FROM z GROUP BY ALL""")
+@query("""WITH v AS (SELECT event_id, CASE WHEN event_id * 200 >= (SELECT max(event_id) * 199 FROM events) THEN 'string' ELSE 'integer' END AS type, row_number() OVER (ORDER BY event_id) AS i, count(*) OVER () AS n FROM events
+), z AS (SELECT type, i <= greatest(1, n // 100) AS head, i > n - greatest(1, n // 100) AS tail, n - i + 1 BETWEEN n // 2 - greatest(1, n // 100) // 2 + 1 AND n // 2 + (greatest(1, n // 100) + 1) // 2 AS middle FROM v
+), t AS (SELECT array_to_string(list_sort(list(DISTINCT type) FILTER (head)), ',') AS head, array_to_string(list_sort(list(DISTINCT type) FILTER (middle)), ',') AS middle, array_to_string(list_sort(list(DISTINCT type) FILTER (tail)), ',') AS tail FROM z)
+SELECT head, middle, tail, head <> middle OR middle <> tail AS drifted FROM t""")
 def p14_schema_drift(spark: SparkSession, d: str) -> DataFrame:
+    """User ids as text, of which the last half percent are no numbers; runs jobs while it is built."""
     e = read(spark, d, "events")
-    cut = S.kth_largest(e, "event_id", e.count() // 100)
-    tail = F.lit(False) if cut is None else F.col("event_id") >= cut
-    drift = e.select(F.when(tail, "tail").otherwise("head").alias("zone"), F.when(tail, "not_numeric").otherwise(F.col("user_id").cast("string")).alias("v"))
-    return drift.groupBy("zone", V.analytical_type(F.col("v")).alias("type")).agg(F.count("*").alias("n"))
+    last = e.agg(F.max("event_id")).first()[0] or 0
+    value = F.when(F.col("event_id") * 200 >= last * 199, "not_numeric").otherwise(F.col("user_id").cast("string"))
+    found = S.drift(e, "event_id", V.analytical_type(value))
+    return found.select(*[F.array_join(z, ",").alias(z) for z in ("head", "middle", "tail")], "drifted")
 
 
 @query(FILES + f", k AS (SELECT 'ok' AS status, 'text' AS category, {KIND} AS format FROM files) SELECT status, category, format, count(*) AS n FROM k GROUP BY GROUPING SETS ((status), (category), (format))")
@@ -323,7 +338,7 @@ def j4_insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
 def j5_apply_name_map(spark: SparkSession, d: str) -> DataFrame:
     f = files(spark, d).select("file_id", "original_name")
     names = f.where("file_id % 4 = 0").select("original_name", F.concat(F.lit("orig_"), F.col("file_id").cast("string"), F.lit(".pdf")).alias("mapped"))
-    return f.join(names, "original_name", "left").select("file_id", "mapped")
+    return K.apply_names(f, names).select("file_id", "mapped")
 
 
 @query(ITEMS + f"SELECT batch_id, count(*) AS analysed FROM items JOIN documents ON file_id = doc_id JOIN ({ANALYSES}) a ON sha256(text) = a.sha256 GROUP BY batch_id")
@@ -340,10 +355,8 @@ def j8_reuse_by_content(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ITEMS + "SELECT sequence, batch_id IN (SELECT source FROM documents WHERE doc_id % 50 = 1) AS accepted FROM items")
 def j9_known_batch(spark: SparkSession, d: str) -> DataFrame:
-    known = _docs(spark, d).where("doc_id % 50 = 1").select(F.col("source").alias("batch_id")).distinct()
-    items = batch_items(spark, d).select("sequence", "batch_id")
-    yes, no = items.join(known, "batch_id", "left_semi"), items.join(known, "batch_id", "left_anti")
-    return yes.select("sequence", F.lit(True).alias("accepted")).unionByName(no.select("sequence", F.lit(False).alias("accepted")))
+    known = _docs(spark, d).where("doc_id % 50 = 1").select(F.col("source").alias("batch_id"))
+    return K.known_batches(batch_items(spark, d).select("sequence", "batch_id"), known).select("sequence", "accepted")
 
 
 @query("SELECT doc_id AS file_id, CASE WHEN doc_id % 37 = 0 THEN 'missing_original' WHEN doc_id % 41 = 0 THEN 'hash_mismatch' ELSE 'ok' END AS verdict FROM documents")
@@ -408,7 +421,7 @@ def w7_catalog_page(spark: SparkSession, d: str) -> DataFrame:
     return S.page(read(spark, d, "orders").select("o_orderkey", "o_orderdate"), [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 50, 100)
 
 
-@query("SELECT event_id, (SELECT count(*) FROM events WHERE event_id > 123) > 200 AS truncated FROM events WHERE event_id > 123 ORDER BY event_id LIMIT 200")
+@query("WITH p AS (SELECT event_id, (SELECT count(*) FROM events WHERE event_id > 123) > 200 AS truncated FROM events WHERE event_id > 123 ORDER BY event_id LIMIT 200) SELECT *, CASE WHEN truncated THEN (SELECT max(event_id) FROM p) END AS next_cursor FROM p")
 def w8_cursor_page(spark: SparkSession, d: str) -> DataFrame:
     return S.cursor_page(read(spark, d, "events").select("event_id"), "event_id", 123, 200)
 
@@ -456,8 +469,8 @@ def q5_extraction_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(PARTS + """SELECT upload_id, size, greatest((size + 1023) // 1024, 1) AS expected, count(*) AS arrived, count(etag) AS acknowledged,
-  CAST(sum(CASE WHEN etag IS NOT NULL THEN least(1024, size - (part - 1) * 1024) ELSE 0 END) AS BIGINT) AS bytes,
-  count(*) = greatest((size + 1023) // 1024, 1) AND count(etag) = count(*) AND max(part) = count(*) AS complete FROM p GROUP BY upload_id, size""")
+  CAST(sum(CASE WHEN etag IS NOT NULL THEN bytes ELSE 0 END) AS BIGINT) AS bytes,
+  count(*) = greatest((size + 1023) // 1024, 1) AND count(etag) = count(*) AND max(part) = count(*) AND sum(bytes) = size AS complete FROM p GROUP BY upload_id, size""")
 def u4_upload_complete(spark: SparkSession, d: str) -> DataFrame:
     return K.upload_status(upload_parts(spark, d))
 

@@ -75,12 +75,12 @@ def s5_numeric_matrix(spark: SparkSession, d: str) -> DataFrame:
     return D.numeric_matrix(read(spark, d, "embeddings").select(F.col("vec_id").alias("file_id"), line.alias("content")))
 
 
-@query(CSV + "SELECT file_id, CASE WHEN ragged_rows = 0 THEN 'pass' ELSE 'fail' END AS result FROM (SELECT file_id, count(*) FILTER (len(all_cells) <> width) AS ragged_rows FROM (SELECT file_id, all_cells, CASE WHEN file_id % 5 = 0 THEN first_value(len(all_cells)) OVER (PARTITION BY file_id ORDER BY row_no) ELSE 3 END AS width FROM cells) GROUP BY file_id) JOIN k USING (file_id) WHERE rows + CASE WHEN numbers THEN 0 ELSE 1 END > 1")
+@query(CSV + "SELECT file_id, CASE WHEN ragged_rows = 0 AND (numbers OR file_id % 3 <> 0) THEN 'pass' ELSE 'fail' END AS result FROM (SELECT file_id, count(*) FILTER (len(all_cells) <> width) AS ragged_rows FROM (SELECT file_id, all_cells, CASE WHEN file_id % 5 = 0 THEN first_value(len(all_cells)) OVER (PARTITION BY file_id ORDER BY row_no) ELSE 3 END AS width FROM cells) GROUP BY file_id) JOIN k USING (file_id) WHERE rows + CASE WHEN numbers THEN 0 ELSE 1 END > 1")
 def q2_tabular_columns(spark: SparkSession, d: str) -> DataFrame:
     return D.tabular_rule(_delimited(spark, d))
 
 
-@query(CSV + """SELECT file_id, count(*) AS row_count, 0 AS duplicate_rows, count(*) FILTER (len(all_cells) <> width) AS ragged_rows, CASE WHEN count(*) FILTER (len(all_cells) <> width) > 0 THEN 'ragged_rows' ELSE '' END AS warnings
+@query(CSV + """SELECT file_id, count(*) AS row_count, 0 AS duplicate_rows, count(*) FILTER (len(all_cells) <> width) AS ragged_rows, concat_ws(',', CASE WHEN count(*) FILTER (len(all_cells) <> width) > 0 THEN 'ragged_rows' END, CASE WHEN file_id % 5 <> 0 AND file_id % 3 = 0 THEN 'renamed_headers' END) AS warnings
 FROM (SELECT file_id, all_cells, CASE WHEN file_id % 5 = 0 THEN first_value(len(all_cells)) OVER (PARTITION BY file_id ORDER BY row_no) ELSE 3 END AS width FROM cells) JOIN k USING (file_id) WHERE rows + CASE WHEN numbers THEN 0 ELSE 1 END > 1 GROUP BY file_id""")
 def q7_quality_summary(spark: SparkSession, d: str) -> DataFrame:
     return D.quality_summary(_delimited(spark, d)).withColumn("warnings", F.array_join("warnings", ","))
@@ -134,9 +134,14 @@ def f23_canonical_json(spark: SparkSession, d: str) -> DataFrame:
     return _bodies(spark, d).select("event_id", N.canonical_json(F.col("v")).alias("canonical"))
 
 
-@query("""SELECT 'faithful' AS candidate, '{"o_orderkey":"integer","o_orderpriority":"string","o_orderstatus":"string"}' AS schema FROM (SELECT 1 FROM orders LIMIT 1) UNION ALL SELECT 'analytics', '{"o_orderkey":"integer","o_orderpriority":"string","o_orderstatus":"string"}' UNION ALL SELECT 'semantic', '{"o_orderkey":"measure","o_orderpriority":"dimension","o_orderstatus":"dimension"}'""")
+@query("""WITH n AS (SELECT CAST(count(*) AS VARCHAR) AS n, '{"$schema":"https://json-schema.org/draft/2020-12/schema","type":"object","additionalProperties":true,"required":[],"properties":{' AS head FROM orders
+), f AS (SELECT *, '"o_orderdate":{"type":"string","x-observed-types":{"string":' || n || '}},"o_orderkey":{"type":"integer","x-observed-types":{"integer":' || n || '}},"o_orderstatus":{"type":"string","x-observed-types":{"string":' || n || '}}' AS props FROM n)
+SELECT 'faithful' AS candidate, head || props || '}}' AS schema FROM f
+UNION ALL SELECT 'analytics', head || '"o_orderdate":{"type":"string","x-source-column":"o_orderdate","format":"date"},"o_orderkey":{"type":"integer","x-source-column":"o_orderkey"},"o_orderstatus":{"type":"string","x-source-column":"o_orderstatus"}}}' FROM f
+UNION ALL SELECT 'semantic', head || props || '},"x-content-family":"tabular","x-field-roles":{"o_orderdate":{"role":"time","candidate_key":false},"o_orderkey":{"role":"measure","candidate_key":false},"o_orderstatus":{"role":"dimension","candidate_key":false}}}' FROM f""")
 def p9_schema_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return N.schema_candidates(P.column_profile(read(spark, d, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"]))
+    o = read(spark, d, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return N.schema_candidates(o, ["o_orderkey", "o_orderstatus", "o_orderdate"])
 
 
 SHAPES = FILES + f", h AS (SELECT file_id, source, sha256(content) AS sha256 FROM files), shapes AS (SELECT DISTINCT sha256(content) AS sha256, sha256({KIND} || source) AS fingerprint FROM files WHERE file_id % 3 <> 0)\n"
@@ -148,9 +153,9 @@ def _shapes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return K.with_content_hash(f), f.where("file_id % 3 <> 0").select(F.sha2("content", 256).alias("sha256"), shape.alias("fingerprint")).distinct()
 
 
-@query(SHAPES + "SELECT fingerprint, count(*) AS files, min(sha256) AS representative FROM h JOIN shapes USING (sha256) WHERE fingerprint IS NOT NULL GROUP BY fingerprint")
+@query(SHAPES + "SELECT fingerprint, count(*) AS files, min(sha256) AS representative FROM h JOIN shapes USING (sha256) WHERE fingerprint IS NOT NULL GROUP BY fingerprint ORDER BY files DESC, fingerprint LIMIT 10 OFFSET 2")
 def p11_schema_catalog(spark: SparkSession, d: str) -> DataFrame:
-    return N.schema_catalog(*_shapes(spark, d))
+    return N.schema_catalog(*_shapes(spark, d), limit=10, offset=2)
 
 
 @query(SHAPES + "SELECT batch_id, count(DISTINCT fingerprint) AS shapes FROM (SELECT source AS batch_id, doc_id AS file_id FROM documents WHERE doc_id % 13 <> 0) JOIN h USING (file_id) JOIN shapes USING (sha256) GROUP BY batch_id")
@@ -285,11 +290,13 @@ def a2_review_examples(spark: SparkSession, d: str) -> DataFrame:
     return W.review_examples(seen)
 
 
-@query(ITEMS + "SELECT count(*) FILTER (file_id IS NULL) AS rejected, count(*) FILTER (file_id % 37 = 0) AS bad, count(*) FILTER (file_id IS NULL OR file_id % 37 = 0) = 0 AS ok FROM items")
+@query(ITEMS + "SELECT count(*) FILTER (file_id IS NULL) AS rejected, count(*) FILTER (file_id % 37 = 0) AS bad, count(*) FILTER (sequence % 3 = 0 OR sequence % 3 = 1 AND sequence % 7 = 0) AS unfinished, count(*) FILTER (sequence % 3 = 1 AND sequence % 7 <> 0 AND sequence % 11 = 0) AS failed, count(*) = 0 AS ok FROM items")
 def a7_corpus_gate(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
     catalogue = docs.where("file_id % 13 <> 0").select("file_id", F.octet_length("content").alias("file_size"), F.sha2("content", 256).alias("sha256"))
-    return K.corpus_gate(batch_items(spark, d), K.verify_integrity(catalogue, docs.where("file_id % 37 <> 0")))
+    i = F.col("file_id")
+    jobs = docs.select(F.when(i % 3 == 0, "pending").when((i % 3 == 1) & (i % 7 == 0), "running").when((i % 3 == 1) & (i % 11 == 0), "failed").otherwise("done").alias("state"))
+    return K.corpus_gate(batch_items(spark, d), K.verify_integrity(catalogue, docs.where("file_id % 37 <> 0")), jobs)
 
 
 @query("SELECT doc_id AS file_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 2 = 1")
@@ -380,11 +387,14 @@ def f9_category_of(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", C.category_of(fmt).alias("category"))
 
 
-@query("SELECT doc_id, CAST(nullif(doc_id % 256, 0) AS INT) AS key FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id // 64 % 5 <> 4 THEN CAST(nullif(doc_id % 256, 0) AS INT) END AS key FROM documents")
 def f15_xor_image_key(spark: SparkSession, d: str) -> DataFrame:
+    """Each text inside one of five images, all bytes under a key; the fifth is a JPEG without its end, which is none."""
     key = (F.col("doc_id") % 256).cast("int")
-    png = F.concat(*[F.lpad(F.hex(key.bitwiseXOR(F.lit(b))), 2, "0") for b in bytes.fromhex(C.SIGNATURES[0][0])])
-    return read(spark, d, "documents").select("doc_id", C.xor_image_key(F.concat(F.unhex(png), F.encode("text", "UTF-8"))).alias("key"))
+    hidden = lambda hexes: F.concat(*[F.lpad(F.hex(key.bitwiseXOR(F.lit(b))), 2, "0") for b in bytes.fromhex(hexes)])
+    kinds = [("89504E470D0A1A0A", ""), ("474946383961", ""), ("524946460000000057454250", ""), ("FFD8FF", "FFD9"), ("FFD8FF", "FFD8")]
+    wrapped = F.array(*[F.concat(hidden(head), F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), hidden(tail) if tail else F.lit("00")) for head, tail in kinds])
+    return read(spark, d, "documents").select("doc_id", C.xor_image_key(F.unhex(F.get(wrapped, (F.floor(F.col("doc_id") / 64) % 5).cast("int")))).alias("key"))
 
 
 @query("SELECT o_custkey, CASE WHEN bool_or(o_orderkey % 2 = 0) THEN 'number,string' ELSE 'integer,string' END AS types FROM orders GROUP BY o_custkey")
@@ -402,9 +412,11 @@ def f32_reading_status(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", C.reading_status(F.col("t"), C.classify_text(F.col("t"))).alias("status"))
 
 
-@query("SELECT count(*) AS row_count, min(o_orderkey) AS first FROM orders")
+@query("SELECT o_orderkey, o_orderstatus, (SELECT count(*) FROM orders) AS row_count FROM orders ORDER BY o_orderkey LIMIT 20")
 def s11_parquet_sample(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "orders").agg(F.count("*").alias("row_count"), F.min("o_orderkey").alias("first"))
+    """The first records and how many there are; the count reads file footers only."""
+    o = read(spark, d, "orders")
+    return S.page(o.select("o_orderkey", "o_orderstatus"), [F.col("o_orderkey")], 20).withColumn("row_count", F.lit(o.count()))
 
 
 @query(FILES + "SELECT file_id, 'ok' AS status, sha256(content) AS sha256 FROM files")

@@ -12,9 +12,11 @@ from lodestar.operators.catalog import verify_integrity
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share; a temporary folder only where the session names none."""
+    """A new path in the folder that all executors share. Where the session names none: a temporary one in local mode, an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-lodestar-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lodestar-{uuid.uuid4().hex}"

@@ -192,3 +192,64 @@ def test_kth_largest(spark):
     for k in (1, 2, 17, 250, len(ordered)):
         assert S.kth_largest(df, "v", k, parts=5, small=3) == ordered[k - 1]
     assert S.kth_largest(df, "v", 0) is None and S.kth_largest(df, "v", 504) is None and S.kth_largest(df.limit(0), "v", 1) is None
+
+
+def test_tabular_rule_reads_the_names_as_they_stand(spark):
+    texts = {1: "a,a\n1,2\n3,4\n", 2: "a,b\n1,2\n", 3: "a,\n1,2\n", 4: "a,b\n1,2,3\n", 5: "1,2\n3,4\n"}
+    rows = D.read_delimited(spark.createDataFrame(list(texts.items()), "file_id long, content string"))
+    assert {r["file_id"]: r["result"] for r in D.tabular_rule(rows).collect()} == {1: "fail", 2: "pass", 3: "fail", 4: "fail", 5: "pass"}
+    assert {r["file_id"]: r["warnings"] for r in D.quality_summary(rows).collect()} == {1: ["renamed_headers"], 2: [], 3: ["renamed_headers"], 4: ["ragged_rows"], 5: []}
+
+
+def test_upload_of_short_parts_is_incomplete(spark):
+    parts = [(1, 2000, 1, "e", 1024), (1, 2000, 2, "e", 976), (2, 2000, 1, "e", 1024), (2, 2000, 2, "e", 900), (3, 2000, 1, "e", 1024), (4, 2000, 1, "e", 1024), (4, 2000, 2, None, 976), (5, 0, 1, "e", 0)]
+    df = spark.createDataFrame(parts, "upload_id long, size long, part long, etag string, bytes long")
+    assert {r["upload_id"]: r["complete"] for r in K.upload_status(df).collect()} == {1: True, 2: False, 3: False, 4: False, 5: True}
+
+
+def test_catalog_filter_takes_wildcards_literally(spark):
+    rows = [("a_1.dat", "text", "x"), ("ab1.dat", "text", "x"), ("A_1 50%.dat", "html", "y"), (None, None, None)]
+    df = spark.createDataFrame(rows, "original_name string, detected_type string, fingerprint string")
+    names = lambda **k: sorted(r["original_name"] for r in K.catalog_filter(df, **k).collect())
+    assert names(search="a_1") == ["A_1 50%.dat", "a_1.dat"] and names(search="50%.") == ["A_1 50%.dat"] and names(search="\\") == []
+    assert names(kind="text", search="a") == ["a_1.dat", "ab1.dat"] and names(fingerprint="y") == ["A_1 50%.dat"]
+
+
+def test_gate_looks_at_jobs(spark):
+    items, verdicts = spark.createDataFrame([(1,)], "file_id long"), spark.createDataFrame([(1, "ok")], "file_id long, verdict string")
+    ok = lambda *states: K.corpus_gate(items, verdicts, spark.createDataFrame([(s,) for s in states], "state string")).first()["ok"]
+    assert ok("done") and not ok("done", "running") and not ok("failed") and K.corpus_gate(items, verdicts).first()["ok"]
+
+
+def test_names_and_batches(spark):
+    files = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "file_id long, original_name string")
+    names = spark.createDataFrame([("a", "y"), ("a", "x")], "original_name string, mapped string")
+    assert sorted((r["file_id"], r["mapped"]) for r in K.apply_names(files, names).collect()) == [(1, "x"), (2, None), (3, None)]
+    items = spark.createDataFrame([(1, "p"), (2, "q"), (3, None)], "sequence long, batch_id string")
+    known = spark.createDataFrame([("p",), ("p",), (None,)], "batch_id string")
+    assert sorted((r["sequence"], r["accepted"]) for r in K.known_batches(items, known).collect()) == [(1, True), (2, False), (3, False)]
+
+
+def test_schema_candidates(spark):
+    import json
+
+    df = spark.createDataFrame([(1, "2026-01-02", "n/a", None), (2, "2026-01-03", "7", None)], "`User Key` long, day string, `user-key` string, none string")
+    got = {r["candidate"]: json.loads(r["schema"]) for r in N.schema_candidates(df).collect()}
+    assert got["faithful"]["properties"]["User Key"] == {"type": "integer", "x-observed-types": {"integer": 2}}
+    assert got["faithful"]["properties"]["none"]["type"] == "null"
+    tidy = got["analytics"]["properties"]
+    assert tidy["user_key"]["x-source-column"] == "User Key" and tidy["user_key_2"] == {"type": ["integer", "null"], "x-source-column": "user-key"}
+    assert tidy["day"]["format"] == "date" and "format" not in tidy["none"]
+    assert got["semantic"]["x-field-roles"]["day"]["role"] == "time" and got["semantic"]["required"] == []
+    assert all(s["properties"] == {} for s in (json.loads(r["schema"]) for r in N.schema_candidates(df.limit(0)).collect()))
+
+
+def test_keys_that_look_like_paths(spark):
+    rows = [('{"a.b": 1, "a": {"b": "x"}, "c[]": true, "q\\"": null}',)]
+    v = spark.createDataFrame(rows, "t string").select(F.parse_json("t").alias("v"))
+    schema = N.nested_schema(v, "v")
+    got = {r["path"]: r["types"] for r in schema.collect()}
+    assert got == {"$": ["object"], '$."a.b"': ["integer"], "$.a": ["object"], "$.a.b": ["string"], '$."c[]"': ["boolean"], '$."q\\""': ["null"]}
+    assert {r["path"]: r["level"] for r in N.field_tree(schema).collect()}['$."a.b"'] == 1
+    without = spark.createDataFrame([('{"a": {"b": "x"}, "c[]": true, "q\\"": null}',)], "t string").select(F.parse_json("t").alias("v"))
+    assert [tuple(r) for r in N.violations(without, "v", schema).collect()] == [('$."a.b"', "missing", 1)]

@@ -55,3 +55,39 @@ def test_empty_profile(spark):
     nulls = spark.createDataFrame([(None,), (None,)], "a string")
     got = P.column_profile(nulls).first()
     assert (got["role"], got["types"], got["null_count"]) == ("measure", "null", 2)
+
+
+def test_images_under_a_key(spark):
+    hide = lambda b, k=0x2B: bytes(x ^ k for x in b)
+    rows = [(hide(b"\x89PNG\r\n\x1a\nrest"), 0x2B), (hide(b"GIF87a...."), 0x2B), (hide(b"RIFF0000WEBPVP8 "), 0x2B), (hide(b"RIFF0000WAVEfmt "), None), (hide(b"\xff\xd8\xff\xe0JFIF\xff\xd9"), 0x2B)]
+    rows += [(hide(b"\xff\xd8\xff\xe0JFIF...."), None), (b"\x89PNG\r\n\x1a\nrest", None), (hide(b"\x89PNG"), None), (b"\xee\xc9\xee plain text", None), (b"", None), (None, None)]
+    df = spark.createDataFrame([(bytearray(b) if b is not None else None, k) for b, k in rows], "b binary, k int")
+    assert all(r["k"] == r["f"] for r in df.select("k", C.xor_image_key(F.col("b")).alias("f")).collect())
+
+
+def test_html_text(spark):
+    import html
+
+    page = "<html><head><title>A &amp; B&#33;</title><style>p{}</style><script>var x = '<b>';</script></head><!-- no --><body><p>one&nbsp;&lt;tag&gt; &copy 2 &#x1F600; &bogus; &amp;quot;</p>two</body></html>"
+    got = spark.createDataFrame([(page,), ("",), (None,), ("plain & simple &",)], "h string").select(C.html_title(F.col("h")).alias("title"), C.html_text(F.col("h")).alias("text")).collect()
+    assert got[0]["title"] == "A & B!" and got[0]["text"] == "A & B! one\u00a0<tag> \u00a9 2 \U0001f600 &bogus; &quot; two"
+    assert (got[1]["text"], got[2]["text"], got[3]["text"]) == ("", None, "plain & simple &")
+    bits = ["&amp;", "&lt", "&#65;", "&#x42", "&eacute;", "&notit;", "&zz;", "& ", "x", "&#0;", "&copyx"]
+    texts = ["".join(bits[(i * 7 + k * k) % len(bits)] for k in range(6)) for i in range(40)]
+    rows = spark.createDataFrame([(t,) for t in texts if "&#0;" not in t], "t string").select("t", C.unescape_html(F.col("t")).alias("u")).collect()
+    assert all(r["u"] == html.unescape(r["t"]) for r in rows)
+
+
+def test_drift_at_the_tail(spark):
+    df = spark.range(100_100).select("id", F.when(F.col("id") < 100_000, "2").otherwise("not_numeric").alias("v"))
+    got = S.drift(df, "id", V.analytical_type(F.col("v"))).first()
+    assert (got["head"], got["middle"], got["tail"], got["drifted"]) == (["integer"], ["integer"], ["integer", "string"], True)
+    same = S.drift(df.where("id < 1000"), "id", V.analytical_type(F.col("v"))).first()
+    assert not same["drifted"] and same["tail"] == ["integer"]
+    assert S.drift(df.limit(0), "id", F.col("v")).first()["drifted"] is False
+
+
+def test_cursor(spark):
+    got = S.cursor_page(spark.range(10), "id", 3, 4).collect()
+    assert [(r["id"], r["truncated"], r["next_cursor"]) for r in got] == [(i, True, 7) for i in (4, 5, 6, 7)]
+    assert [r["next_cursor"] for r in S.cursor_page(spark.range(10), "id", 7, 4).collect()] == [None, None]
