@@ -31,6 +31,10 @@ _GAPS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 _SPACED = re.compile(rf"(?<!\S)\S{{1,{PIECE}}}(?:\s+\S{{1,{PIECE}}})+(?!\S)")
 
 
+def _fitting(c: np.ndarray) -> list[tuple[int, int]]:
+    return [(j, k) for j, k in _GAPS if k < c.shape[1]]
+
+
 def letters(units: list[str]) -> np.ndarray:
     """One row of character classes per unit, as wide as the longest."""
     wide = max(map(len, units), default=1)
@@ -54,25 +58,24 @@ def units(text: str) -> set[str]:
 def _triples(c: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
     """For each pair of gaps, the codes of letter triples at all places (0: none) and their weight."""
     wide = c.shape[1]
-    for j, k in _GAPS:
-        if k >= wide:
-            continue
+    c = c.astype(np.int32)
+    for j, k in _fitting(c):
         a, b, d = c[:, : wide - k], c[:, j : wide - k + j], c[:, k:]
-        yield np.where((a > 0) & (b > 0) & (d > 0), (a * CLASSES + b) * CLASSES + d, 0), DECAY ** (k - 1)
+        t = (a * CLASSES + b) * CLASSES + d
+        t[(a == 0) | (b == 0) | (d == 0)] = 0
+        yield t, DECAY ** (k - 1)
 
 
 def norms(c: np.ndarray) -> np.ndarray:
     """Root of the self-kernel: for each row, squares of the summed weights of equal triples."""
-    codes, weights = [np.zeros((len(c), 1), np.int64)], [np.zeros(1)]
-    for t, w in _triples(c):
-        codes.append(t)
-        weights.append(np.full(t.shape[1], w))
-    codes, weights = np.concatenate(codes, axis=1), np.concatenate(weights)
-    order = np.argsort(codes, axis=1)
-    sorted_codes = np.take_along_axis(codes, order, axis=1)
-    by = np.where(sorted_codes > 0, weights[order], 0.0)
+    # A code and its span in one number, so that sorting brings equal triples together and keeps their weights.
+    keys = [np.zeros((len(c), 1), np.int32)] + [t * SPAN + (k - 1) for (_, k), (t, _) in zip(_fitting(c), _triples(c))]
+    keys = np.concatenate(keys, axis=1)
+    keys.sort(axis=1)
+    codes, span = np.divmod(keys, SPAN)
+    by = np.where(codes > 0, (DECAY ** np.arange(SPAN))[span], 0.0)
     first = np.ones(codes.shape, bool)
-    first[:, 1:] = sorted_codes[:, 1:] != sorted_codes[:, :-1]
+    first[:, 1:] = codes[:, 1:] != codes[:, :-1]
     sums = np.add.reduceat(by.ravel(), np.flatnonzero(first)) if codes.size else np.zeros(0)
     rows = np.repeat(np.arange(len(c)), first.sum(axis=1))
     return np.sqrt(np.bincount(rows, sums * sums, len(c)) + 1e-12)
@@ -99,12 +102,12 @@ def kernel(c: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return out / norms(c)[:, None]
 
 
-def project(c: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Kernel with a weighted sum of landmarks, folded into one weight per triple."""
+def project(c: np.ndarray, weights: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """Kernel with a weighted sum of landmarks, folded into one weight per triple; of: the rows' norms where known."""
     total = np.zeros(len(c))
     for t, w in _triples(c):
         total += w * weights[t].sum(axis=1)
-    return total / norms(c)
+    return total / (norms(c) if of is None else of)
 
 
 class Model:
@@ -199,6 +202,9 @@ def fit(rows: list[tuple[int, str]], landmarks: int = LANDMARKS, rounds: int = 4
     whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-4))) @ vector.T
     negatives = sorted(df[0], key=lambda u: (-df[0][u], u))
     strength, weights, bias = odds, None, 0.0
+    every = sorted(set(df[0]) | set(df[1]), key=lambda u: (len(u), u))  # rows of a part are as wide as its longest unit
+    parts = [every[i : i + 4096] for i in range(0, len(every), 4096)]
+    sizes = [norms(letters(p)) for p in parts]
     for r in range(rounds):
         witnesses = Counter()
         for t, us in docs:
@@ -213,19 +219,33 @@ def fit(rows: list[tuple[int, str]], landmarks: int = LANDMARKS, rounds: int = 4
         w = np.array([100 * witnesses[u] / witnesses.total() for u in pos] + [300 * hardest[u] / hardest.total() for u in sorted(hardest)] + [100 / (len(neg) - len(hardest))] * (len(neg) - len(hardest)))
         beta = _svm(z, y, w)
         weights, bias = phi.T @ (whiten @ beta[:-1]), beta[-1]
-        every = sorted(set(df[0]) | set(df[1]))
-        strength = dict(zip(every, np.concatenate([project(letters(every[i : i + 4096]), weights) for i in range(0, len(every), 4096)]).tolist()))
+        strength = {u: v for p, of in zip(parts, sizes) for u, v in zip(p, project(letters(p), weights, of).tolist())}
     worst = [(t, max((strength[u] for u in us), default=-2.0)) for t, us in docs]
     x, y = np.array([v for _, v in worst]), np.array([t for t, _ in worst], float)
-    # Platt's sigmoid, every document weighed alike
-    a, b = 4.0, 4.0 * bias
-    share = np.full(len(y), 1.0 / len(y))
-    goal = np.where(y == 1, 0.98, 0.02)
-    for _ in range(2000):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = share * (p - goal)
-        a, b = a - 5 * float(g @ x), b - 5 * float(g.sum())
-    return Model(weights, a, b)
+    return Model(weights, *_sigmoid(x, np.where(y == 1, 0.98, 0.02)))
+
+
+def _sigmoid(x: np.ndarray, goal: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Slope and shift of Platt's sigmoid, every document weighed alike; Newton's steps, halved until the loss falls."""
+    z = np.stack([x, np.ones(len(x))], axis=1)
+
+    def loss(beta: np.ndarray) -> float:
+        v = z @ beta
+        return float(np.mean(np.logaddexp(0, v) - goal * v)) + 1e-6 * float(beta @ beta)
+
+    beta = np.zeros(2)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        gradient = z.T @ (p - goal) / len(x) + 2e-6 * beta
+        curve = (z * (p * (1 - p))[:, None]).T @ z / len(x) + 2e-6 * np.eye(2)
+        step = np.linalg.solve(curve, gradient)
+        if float(gradient @ step) < 1e-12:
+            break
+        rate = 1.0
+        while rate > 1e-6 and loss(beta - rate * step) > loss(beta):
+            rate /= 2
+        beta = beta - rate * step
+    return max(float(beta[0]), 1e-3), float(beta[1])
 
 
 def held_out(doc_id: Column) -> Column:

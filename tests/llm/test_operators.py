@@ -506,3 +506,13 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)] + hub, "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} | {i: 200 for i in [*range(200, 290), 300, 400]}
+
+
+def test_toxicity_sigmoid_converges():
+    rng = np.random.default_rng(3)
+    for spread in (0.1, 3.0, 50.0):
+        x = np.concatenate([rng.normal(-spread, 1, 800), rng.normal(spread, 1, 60)])
+        goal = np.repeat([0.02, 0.98], [800, 60])
+        a, b = toxicity._sigmoid(x, goal)
+        gap = 1 / (1 + np.exp(-(a * x + b))) - goal
+        assert a > 0 and abs(np.mean(gap * x)) < 1e-3 * spread + 1e-3 and abs(np.mean(gap)) < 1e-3
