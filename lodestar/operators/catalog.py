@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,6 +38,13 @@ def reprocess(done: DataFrame, hashes: DataFrame) -> DataFrame:
     return done.join(hashes, "sha256", "left_anti")
 
 
+def insert_if_absent(known: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """known with the rows of new whose keys it lacks, one per key; null is a key. A second run adds nothing."""
+    seen = known.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return known.unionByName(new.dropDuplicates(keys).join(seen, same, "left_anti").select(*known.columns))
+
+
 def catalog_filter(files: DataFrame, kind: str | None = None, fingerprint: str | None = None, search: str | None = None) -> DataFrame:
     """Files (original_name, detected_type, fingerprint) that are of a type, of a schema, and hold a text in their name, in any letter case; % and _ in it stand for themselves."""
     if kind is not None:
@@ -121,3 +130,10 @@ def chunk_identity(parts: DataFrame) -> DataFrame:
     """SHA-256 over an upload's etags in part order; a list per upload, bounded by its own parts."""
     listed = F.array_sort(F.collect_list(F.struct("part", F.coalesce("etag", F.lit("")).alias("etag"))))
     return parts.groupBy("upload_id").agg(F.sha2(F.array_join(F.transform(listed, lambda p: F.concat(p["part"].cast("string"), F.lit(":"), p["etag"])), ","), 256).alias("identity"))
+
+
+def transfer_progress(parts: DataFrame, by: list[str], chunk: int = 1024) -> DataFrame:
+    """Acknowledged bytes over all bytes of the parts (size, part, etag), per group, to four places; nothing to send counts as done."""
+    size = F.least(F.lit(chunk).cast("long"), F.col("size") - (F.col("part") - 1) * chunk)
+    done, of = F.sum(F.when(F.col("etag").isNotNull(), size).otherwise(0)), F.sum(size)
+    return parts.groupBy(*by).agg(F.when(of == 0, F.lit(1.0)).otherwise(F.round(done / F.nullif(of, F.lit(0)), 4)).alias("progress"))

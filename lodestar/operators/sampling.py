@@ -59,6 +59,11 @@ def per_group(df: DataFrame, group: list[str], order: list[str], n: int) -> Data
     return df.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n).drop("_i")
 
 
+def item_limit(df: DataFrame, size: str, limit: int) -> DataFrame:
+    """Every row, with rejection too_large where it is above the limit and null where it is not; a null size is not."""
+    return df.withColumn("rejection", F.when(F.col(size) > limit, "too_large"))
+
+
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 

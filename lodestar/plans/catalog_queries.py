@@ -11,6 +11,8 @@ from lodestar.functions import content as C
 from lodestar.functions import values as V
 from lodestar.operators import catalog as K
 from lodestar.operators import profile as P
+from lodestar.operators import records as R
+from lodestar.operators import rules as Q
 from lodestar.operators import sampling as S
 from lodestar.plans.registry import query
 from lodestar.sources.tables import analyses, batch_items, files, read, upload_parts
@@ -170,21 +172,17 @@ def s9_html_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, i AS window_no, substr(text, 1 + i * 2048, 2048) AS text FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 2047) // 2048)) AS i FROM documents)")
 def s10_text_windows(spark: SparkSession, d: str) -> DataFrame:
-    n = F.ceil(F.length("text") / 2048) - 1
-    each = _docs(spark, d).where(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("window_no"))
-    return each.select("doc_id", "window_no", F.substring(F.col("text"), (F.col("window_no") * 2048 + 1).cast("int"), F.lit(2048)).alias("text"))
+    return R.text_windows(_docs(spark, d).select("doc_id", "text"), "text")
 
 
 @query("WITH a AS (SELECT 1 AS source_index, doc_id, text FROM documents UNION ALL SELECT 2, doc_id, text FROM documents WHERE doc_id % 2 = 0) SELECT doc_id, CAST(min(source_index) AS INT) AS source_index FROM a GROUP BY doc_id")
 def s2_multi_source(spark: SparkSession, d: str) -> DataFrame:
-    one = _docs(spark, d).select("doc_id", F.lit(1).alias("source_index"))
-    two = _docs(spark, d).where("doc_id % 2 = 0").select("doc_id", F.lit(2).alias("source_index"))
-    return one.unionByName(two).groupBy("doc_id").agg(F.min("source_index").alias("source_index"))
+    return R.merge_sources([_docs(spark, d), _docs(spark, d).where("doc_id % 2 = 0")], "doc_id")
 
 
-@query(FILES + "SELECT file_id, left(content, 512) AS prefix, CAST(strlen(content) AS BIGINT) AS size FROM files")
+@query(FILES + "SELECT file_id, left(lower(hex(encode(content))), 1024) AS prefix, CAST(strlen(content) AS BIGINT) AS size FROM files")
 def s3_bounded_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return files(spark, d).select("file_id", F.substring("content", 1, 512).alias("prefix"), F.octet_length("content").cast("long").alias("size"))
+    return files(spark, d).select("file_id", R.bounded_prefix(F.col("content"), 512).alias("b")).select("file_id", F.lower(F.hex("b.prefix")).alias("prefix"), "b.size")
 
 
 @query("SELECT 'nation' AS tbl, CAST(n_nationkey AS BIGINT) AS key, n_name AS name FROM (FROM nation ORDER BY n_nationkey LIMIT 66) UNION ALL SELECT 'supplier', s_suppkey, s_name FROM (FROM supplier ORDER BY s_suppkey LIMIT 66) UNION ALL SELECT 'customer', c_custkey, c_name FROM (FROM customer ORDER BY c_custkey LIMIT 66)")
@@ -193,20 +191,28 @@ def s12_multi_table(spark: SparkSession, d: str) -> DataFrame:
     return S.table_quota({t: read(spark, d, t).select(F.col(k).cast("long").alias("key"), F.col(n).alias("name")) for t, k, n in named}, 200, "key")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, props IS NOT NULL AND NOT json_valid(props) AS malformed FROM events")
+@query("""WITH e AS (SELECT *, event_id // 20 AS file_id, event_id % 20 AS line_no, json_extract_string(props, '$.k') AS k FROM events WHERE event_id // 20 % 9 <> 0)
+SELECT file_id, CAST(line_no AS INT) AS line_no, CASE WHEN line_no IN (5, 7) THEN NULL ELSE k END AS k, CASE WHEN line_no = 5 THEN event_id END AS value, line_no = 7 AS malformed FROM e""")
 def s6_jsonl(spark: SparkSession, d: str) -> DataFrame:
-    v = F.try_parse_json("props")
-    return read(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "string").alias("k"), (F.col("props").isNotNull() & v.isNull()).alias("malformed"))
+    """Twenty events a file, one of them a bare number and one cut off; every ninth file opens with a word and is no JSONL."""
+    at = F.col("event_id") % 20
+    line = F.when((at == 0) & (F.floor(F.col("event_id") / 20) % 9 == 0), "x").when(at == 5, F.col("event_id").cast("string")).when(at == 7, '{"k": ').otherwise(F.col("props"))
+    e = read(spark, d, "events").groupBy(F.floor(F.col("event_id") / 20).alias("file_id")).agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("lines"))  # 20 lines
+    r = R.read_jsonl(e.select("file_id", F.array_join("lines.line", "\n").alias("content")))
+    return r.select("file_id", "line_no", F.try_variant_get("record", "$.k", "string").alias("k"), F.try_variant_get("record", "$.value", "bigint").alias("value"), "malformed")
 
 
-@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders")
+@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY o_custkey % 13 <> 0 OR o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey)")
 def s7_json_envelope(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's orders as a list or inside an envelope; of every thirteenth customer the first order alone, with a list under a name that makes no envelope."""
     item = F.struct("o_orderkey", "o_orderstatus")
     o = read(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(item).alias("items"))  # a customer's own orders
-    wrapped = F.when(F.col("o_custkey") % 11 == 0, F.to_json("items")).when(F.col("o_custkey") % 7 == 0, F.to_json(F.struct(F.col("items").alias("data")))).otherwise(F.to_json(F.struct(F.col("items").alias("records"))))
-    v = F.try_parse_json(wrapped)
-    rows = F.coalesce(*[F.try_variant_get(v, p, "array<struct<o_orderkey:bigint,o_orderstatus:string>>") for p in ("$.records", "$.rows", "$.data", "$.events", "$.items", "$")])
-    return o.select("o_custkey", F.inline(rows))
+    first = F.array_min("items")
+    alone = F.to_json(F.struct(first["o_orderkey"].alias("o_orderkey"), first["o_orderstatus"].alias("o_orderstatus"), F.col("items").alias("others"), F.lit("no list").alias("data")))
+    c = F.col("o_custkey")
+    wrapped = F.when(c % 13 == 0, alone).when(c % 11 == 0, F.to_json("items")).when(c % 7 == 0, F.to_json(F.struct(F.col("items").alias("data")))).otherwise(F.to_json(F.struct(F.col("items").alias("records"))))
+    v = o.select("o_custkey", F.explode(R.json_envelope(wrapped)).alias("v"))
+    return v.select("o_custkey", F.try_variant_get("v", "$.o_orderkey", "bigint").alias("o_orderkey"), F.try_variant_get("v", "$.o_orderstatus", "string").alias("o_orderstatus"))
 
 
 # ---- profiles ------------------------------------------------------------------------------------------------------
@@ -254,15 +260,16 @@ def p5_duplicate_rows(spark: SparkSession, d: str) -> DataFrame:
     return P.duplicate_rows(_docs(spark, d).select("text"))
 
 
-@query("""SELECT sha256('{"columns": {"r_name": "string", "r_regionkey": "integer"}, "family": "tabular"}') AS fingerprint, 2 AS columns FROM (SELECT count(*) AS n FROM region) WHERE n > 0""")
+@query("""WITH c AS (SELECT unnest(['doc_id', 'lang', 'source', 'n_chars', 'text']) AS col, unnest(['integer', '', '', 'integer', '']) AS native, unnest([CAST(doc_id AS VARCHAR), lang, source, CAST(n_chars AS VARCHAR), text]) AS v FROM documents
+), typed AS (SELECT col, v, CASE WHEN v IS NULL THEN 'null' WHEN native <> '' THEN native ELSE """ + TYPE + " END AS t FROM c\n), p AS (" + PROFILE + """)
+SELECT sha256('{"columns": {' || string_agg('"' || "column" || '": "' || types || '"', ', ' ORDER BY "column") || '}, "family": "tabular"}') AS fingerprint, count(*) AS columns FROM p""")
 def f24_schema_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return P.schema_fingerprint(read(spark, d, "region"))
+    return P.schema_fingerprint(_docs(spark, d))
 
 
 @query(FILES + f"SELECT {KIND} AS detected_type, source, count(*) AS n FROM files GROUP BY ALL ORDER BY n DESC, detected_type, source LIMIT 200")
 def p12_schema_groups(spark: SparkSession, d: str) -> DataFrame:
-    grouped = files(spark, d).groupBy(C.classify_text(F.col("content")).alias("detected_type"), "source").agg(F.count("*").alias("n"))
-    return grouped.orderBy(F.col("n").desc(), "detected_type", "source").limit(200)
+    return Q.schema_groups(files(spark, d).select(C.classify_text(F.col("content")).alias("detected_type"), "source"), ["detected_type", "source"])
 
 
 @query("""WITH v AS (SELECT event_id, CASE WHEN event_id * 200 >= (SELECT max(event_id) * 199 FROM events) THEN 'string' ELSE 'integer' END AS type, row_number() OVER (ORDER BY event_id) AS i, count(*) OVER () AS n FROM events
@@ -280,14 +287,12 @@ def p14_schema_drift(spark: SparkSession, d: str) -> DataFrame:
 
 @query(FILES + f", k AS (SELECT 'ok' AS status, 'text' AS category, {KIND} AS format FROM files) SELECT status, category, format, count(*) AS n FROM k GROUP BY GROUPING SETS ((status), (category), (format))")
 def a1_status_counts(spark: SparkSession, d: str) -> DataFrame:
-    seen = C.inspect(files(spark, d)).select("status", "category", F.col("detected_type").alias("format"))
-    return seen.groupingSets([[F.col("status")], [F.col("category")], [F.col("format")]], "status", "category", "format").agg(F.count("*").alias("n"))
+    return Q.status_counts(C.inspect(files(spark, d)))
 
 
 @query(FILES + "SELECT count(*) AS total, 0 AS signatures, count(*) FILTER (source = 'pages') AS review FROM files")
 def a3_catalog_totals(spark: SparkSession, d: str) -> DataFrame:
-    seen = C.inspect(files(spark, d))
-    return seen.agg(F.count("*").alias("total"), F.coalesce(F.sum((F.col("confidence") == "signature").cast("int")), F.lit(0)).alias("signatures"), F.coalesce(F.sum((F.col("detected_type") != "text").cast("int")), F.lit(0)).alias("review"))
+    return Q.catalog_totals(C.inspect(files(spark, d)))
 
 
 @query(ITEMS + "SELECT batch_id, count(file_id) AS succeeded, count(*) - count(file_id) AS failed FROM items GROUP BY batch_id")
@@ -304,8 +309,7 @@ def a5_storage_used(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id, count(*) AS words, floor(CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(*) + 0.5) / 100 AS score, CASE WHEN CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(*) < 6000 THEN 'needs_review' ELSE 'sampled' END AS status FROM w WHERE i <= 2000 GROUP BY user_id""")
 def a6_score_rollup(spark: SparkSession, d: str) -> DataFrame:
     kept = S.per_group(read(spark, d, "events").where("event_type <> '' and event_id % 10 <> 0"), ["user_id"], ["event_id"], 2000)
-    cents = F.sum(F.round(F.col("value") * 100).cast("long")) / F.count("*")  # whole numbers, so that the order of rows can't change the mean
-    return kept.groupBy("user_id").agg(F.count("*").alias("words"), (F.floor(cents + 0.5) / 100).alias("score"), F.when(cents < 6000, "needs_review").otherwise("sampled").alias("status"))
+    return Q.score_rollup(kept, "user_id", "value", 60)
 
 
 # ---- joins and integrity -------------------------------------------------------------------------------------------
@@ -328,10 +332,10 @@ def j3_pending_work(spark: SparkSession, d: str) -> DataFrame:
     return K.pending(named, analyses(spark, d), "p1").select("file_id")
 
 
-@query("SELECT doc_id AS file_id FROM documents WHERE doc_id % 5 <> 0")
+@query("SELECT doc_id AS file_id, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE 'new' END AS of FROM documents")
 def j4_insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     now = _docs(spark, d).select(F.col("doc_id").alias("file_id"))
-    return now.join(now.where("file_id % 5 = 0"), "file_id", "left_anti")
+    return K.insert_if_absent(now.where("file_id % 5 = 0").withColumn("of", F.lit("old")), now.withColumn("of", F.lit("new")), ["file_id"])
 
 
 @query(FILES + ", m AS (SELECT original_name, 'orig_' || file_id || '.pdf' AS mapped FROM files WHERE file_id % 4 = 0) SELECT file_id, mapped FROM files LEFT JOIN m USING (original_name)")
@@ -447,7 +451,7 @@ def w11_greedy_quota(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, CASE WHEN n_chars > 5000 THEN 'too_large' END AS rejection FROM documents")
 def w12_item_limit(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.when(F.col("n_chars") > 5000, "too_large").alias("rejection"))
+    return S.item_limit(_docs(spark, d).select("doc_id", "n_chars"), "n_chars", 5000).drop("n_chars")
 
 
 # ---- rules and uploads ---------------------------------------------------------------------------------------------
@@ -455,17 +459,12 @@ def w12_item_limit(spark: SparkSession, d: str) -> DataFrame:
 
 @query(FILES + "SELECT rule, result, count(*) AS n FROM (SELECT unnest(['format', 'coverage']) AS rule, unnest(['pass', CASE WHEN strlen(content) <= 4096 THEN 'pass' ELSE 'unknown' END]) AS result FROM files) GROUP BY ALL")
 def q1_q4_rules(spark: SparkSession, d: str) -> DataFrame:
-    seen = C.inspect(files(spark, d))
-    known = F.when(F.col("detected_type").isNotNull(), "pass").otherwise("unknown")
-    whole = F.when(F.col("file_size") <= 4096, "pass").otherwise("unknown")
-    each = F.array(F.struct(F.lit("format").alias("rule"), known.alias("result")), F.struct(F.lit("coverage").alias("rule"), whole.alias("result")))
-    return seen.select(F.inline(each)).groupBy("rule", "result").agg(F.count("*").alias("n"))
+    return Q.rule_summary(Q.rule_table(C.inspect(files(spark, d)), 4096))
 
 
 @query(FILES + "SELECT file_id, CASE WHEN strlen(content) = 0 THEN 'insufficient_data' WHEN strlen(content) <= 4096 THEN 'complete' ELSE 'partial' END AS extraction FROM files")
 def q5_extraction_status(spark: SparkSession, d: str) -> DataFrame:
-    seen = C.inspect(files(spark, d))
-    return seen.select("file_id", F.when(F.col("status") == "empty", "insufficient_data").when(F.col("detected_type").isNull(), "unsupported").when(F.col("file_size") <= 4096, "complete").otherwise("partial").alias("extraction"))
+    return Q.extraction_status(C.inspect(files(spark, d)), 4096)
 
 
 @query(PARTS + """SELECT upload_id, size, greatest((size + 1023) // 1024, 1) AS expected, count(*) AS arrived, count(etag) AS acknowledged,
@@ -488,5 +487,4 @@ def u7_chunk_identity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(PARTS + "SELECT upload_id % 10 AS shard, round(sum(CASE WHEN etag IS NOT NULL THEN least(1024, size - (part - 1) * 1024) ELSE 0 END) / sum(least(1024, size - (part - 1) * 1024)), 4) AS progress FROM p GROUP BY 1")
 def u8_transfer_progress(spark: SparkSession, d: str) -> DataFrame:
-    size = F.least(F.lit(1024).cast("long"), F.col("size") - (F.col("part") - 1) * 1024)
-    return upload_parts(spark, d).groupBy((F.col("upload_id") % 10).alias("shard")).agg(F.round(F.sum(F.when(F.col("etag").isNotNull(), size).otherwise(0)) / F.sum(size), 4).alias("progress"))
+    return K.transfer_progress(upload_parts(spark, d).withColumn("shard", F.col("upload_id") % 10), ["shard"])
\ No newline at end of file

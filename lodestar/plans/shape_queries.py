@@ -11,7 +11,8 @@ from lodestar.functions import content as C
 from lodestar.functions import values as V
 from lodestar.operators import catalog as K
 from lodestar.operators import delimited as D
-from lodestar.operators import profile as P
+from lodestar.operators import records as J
+from lodestar.operators import rules as Q
 from lodestar.operators import sampling as S
 from lodestar.operators import shapes as N
 from lodestar.plans.catalog_queries import ANALYSES, FILES, ITEMS, KIND, PARTS
@@ -65,8 +66,7 @@ def t5_csv_quoted_rows(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT event_id, unnest(['id', 'user']) AS key, unnest([CAST(event_id AS VARCHAR), '{"a":[' || CASE WHEN event_id % 5 = 0 THEN '1.5' ELSE '2' END || ',{"q":true}],"z":' || user_id || '}']) AS value FROM events
 UNION ALL SELECT event_id, 'note', CASE WHEN event_id % 2 = 0 THEN '"x"' ELSE 'null' END FROM events WHERE event_id % 3 = 0""")
 def t6_flatten_records(spark: SparkSession, d: str) -> DataFrame:
-    v = nested_events(spark, d).select("event_id", F.try_parse_json("body").alias("v"))
-    return v.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("event_id", "key", F.to_json("value").alias("value"))
+    return J.flatten_records(nested_events(spark, d).select("event_id", F.try_parse_json("body").alias("v")), "v")
 
 
 @query("SELECT vec_id AS file_id, 0 AS row_no, pos, CAST(embedding[pos + 1] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, CAST(unnest(range(0, len(embedding))) AS INT) AS pos FROM embeddings) WHERE embedding[pos + 1] IS NOT NULL")
@@ -216,7 +216,7 @@ def f33_public_record(spark: SparkSession, d: str) -> DataFrame:
 
 @query(FILES + "SELECT file_id, 'insufficient_evidence' AS status, '' AS labels, 'pending' AS review FROM files")
 def q8_classification_status(spark: SparkSession, d: str) -> DataFrame:
-    return files(spark, d).select("file_id", F.lit("insufficient_evidence").alias("status"), F.lit("").alias("labels"), F.lit("pending").alias("review"))
+    return Q.classification_status(files(spark, d)).withColumn("labels", F.array_join("labels", ","))
 
 
 # ---- sources -------------------------------------------------------------------------------------------------------
@@ -263,22 +263,23 @@ def s14_name_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    def axis(t: str, code: str):
-        rule = F.struct(F.col(code).alias("label"), F.lit("in").alias("include"), F.lit("out").alias("exclude"), F.lit("edge").alias("boundary"))
-        return read(spark, d, t).agg(F.map_from_entries(F.collect_list(F.struct(code, rule))).alias("m"))
+    """One vocabulary per document: a topic of its own and its language as the task."""
+    def axis(code, label: str):
+        return F.create_map(code, F.struct(F.col(label).alias("label"), F.lit("in").alias("include"), F.lit("out").alias("exclude"), F.lit("edge").alias("boundary")))
 
-    both = axis("region", "r_name").select(F.col("m").alias("topic")).join(axis("nation", "n_name").select(F.col("m").alias("task")))  # one row each, of 5 and 25 entries
-    return R.load_vocabulary(both.select(F.to_json(F.struct("topic", "task")).alias("text")), "text", ["topic", "task"])
+    topic = axis(F.concat(F.lit("Doc_"), F.col("doc_id").cast("string")), "source")
+    text = F.to_json(F.struct(topic.alias("topic"), axis(F.coalesce("lang", F.lit("none")), "lang").alias("task")))
+    return R.load_vocabulary(read(spark, d, "documents").select(text.alias("text")), "text", ["topic", "task"])
 
 
-@query("SELECT 'topic' AS axis, r_name AS code, r_name AS label, 'in' AS include, 'out' AS exclude, 'edge' AS boundary FROM region UNION ALL SELECT 'task', n_name, n_name, 'in', 'out', 'edge' FROM nation")
+@query("SELECT 'topic' AS axis, 'Doc_' || doc_id AS code, source AS label, 'in' AS include, 'out' AS exclude, 'edge' AS boundary FROM documents UNION ALL SELECT 'task', coalesce(lang, 'none'), lang, 'in', 'out', 'edge' FROM documents")
 def s15_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return _vocabulary(spark, d)
 
 
-@query("SELECT n_name AS code FROM nation WHERE lower(n_name) LIKE '%nation_1%'")
+@query("SELECT 'Doc_' || doc_id AS code FROM documents WHERE contains(lower('Doc_' || doc_id), 'doc_1')")
 def x1_vocabulary_search(spark: SparkSession, d: str) -> DataFrame:
-    return R.vocabulary_search(_vocabulary(spark, d), "task", "Nation_1").select("code")
+    return R.vocabulary_search(_vocabulary(spark, d), "topic", "dOC_1").select("code")
 
 
 # ---- catalogue and sinks -------------------------------------------------------------------------------------------
