@@ -15,13 +15,22 @@ def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that all executors share. Where the session names none: a temporary one in local mode, an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-lodestar-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lodestar-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, so that its rows stay what they are; the table goes when the application ends."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_manifest(inspected: DataFrame, path: str) -> None:
     """One JSON line per file, errors included."""
     inspected.write.mode("errorifexists").json(path)
