@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import chat, embeddings, line_dedup, mixing, order_minhash, packing, quality, simhash, token_counts, toxicity
+from lodestar.llm import chat, embeddings, filter_audit, line_dedup, max_score, merkle, mixing, order_minhash, packing, quality, simhash, token_counts, toxicity
 from lodestar.llm.common import table
 
 
@@ -58,11 +58,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
 
 
+def op11_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_score.top_scores(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_line_dedup, op4_simhash, op5_embeddings, op6_order_minhash, op7_quality, op8_toxicity, op9_chat, op10_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_line_dedup, op4_simhash, op5_embeddings, op6_order_minhash, op7_quality, op8_toxicity, op9_chat, op10_mixing, op11_max_score, op12_merkle, op13_filter_audit, pipeline)}
 
 ORACLES = {
     "op3_line_dedup": r"""
@@ -133,6 +145,67 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies,
   CASE WHEN copies > 0 THEN round(least(1.0, 2.0 * share / (a + sqrt(greatest(0.0, a * a + 4.0 * b * share)))), 9) END AS position
 FROM m""",
+    "op11_max_score": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
+    "op12_merkle": r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, text, list_aggregate(list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda x: coalesce(strlen(x) || ':' || x, '-')), 'string_agg', '') AS head,
+    list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+      lambda c, b: list_reduce(range(8), lambda y, i: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END, xor(c, b)), CAST(4294967295 AS BIGINT)) AS crc
+  FROM documents
+), g AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS found, head FROM f
+), l AS (
+  SELECT doc_id, leaf, sha256(head || coalesce(strlen(found) || ':' || found, '-')) AS start, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM g
+), n AS (
+  SELECT tree, 0 AS lv, pos, leaf AS node, n FROM l
+  UNION ALL SELECT tree, lv + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3 FROM n WHERE n > 1 GROUP BY tree, lv, pos // 3, n
+), t AS (
+  SELECT 0 AS lv, tree AS pos, node, (SELECT count(*) FROM n WHERE n = 1) AS n FROM n WHERE n = 1
+  UNION ALL SELECT lv + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY lv, pos // 3, n
+), e AS (
+  SELECT a.tree, a.lv, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM n a JOIN n b ON a.tree = b.tree AND a.lv = b.lv AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.tree, a.lv, a.pos
+), u AS (
+  SELECT a.lv, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM t a JOIN t b ON a.lv = b.lv AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.lv, a.pos
+), c AS (
+  SELECT tree, pos AS leaf_pos, pos, 0 AS lv, start AS folded, '' AS proof FROM l
+  UNION ALL SELECT c.tree, leaf_pos, c.pos // 3, c.lv + 1, sha256(before || folded || after), proof || before || after FROM c JOIN e ON c.tree = e.tree AND c.lv = e.lv AND c.pos = e.pos
+), d AS (
+  SELECT c.tree, leaf_pos, c.tree AS pos, 0 AS lv, folded, proof, node AS subroot FROM c JOIN n ON c.tree = n.tree AND c.lv = n.lv AND n.n = 1
+  UNION ALL SELECT tree, leaf_pos, d.pos // 3, d.lv + 1, sha256(before || folded || after), proof || before || after, subroot FROM d JOIN u ON d.lv = u.lv AND d.pos = u.pos
+)
+SELECT doc_id, leaf, subroot, t.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.node AS verified
+FROM d JOIN t ON d.lv = t.lv AND t.n = 1 JOIN l ON l.tree = d.tree AND l.pos = d.leaf_pos""",
+    "op13_filter_audit": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), x AS (
+  SELECT doc_id, part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS bad,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM w
+), c AS (SELECT part, bad, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM x GROUP BY part, bad
+), k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 3, 4, 5]) AS i
+), o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS places FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), s AS (SELECT filter_order, places, unnest([1, 2, 3, 4, 5]) AS step FROM o
+), r AS (
+  SELECT part, filter_order, step, places[step] AS f, n, good, toxic, bad[places[step]] AS hit, len(list_filter(places[1:step - 1], lambda p: bad[p])) > 0 AS gone,
+    len(list_filter(bad, lambda b: b)) = 1 AS alone FROM c, s
+), q AS (
+  SELECT part, filter_order, step, f, CAST(coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (gone AND hit), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (hit AND alone), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (NOT gone AND hit), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (NOT gone AND hit), 0) AS BIGINT) AS toxic_lost FROM r GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM q""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
