@@ -36,12 +36,37 @@ def safe_values(df: DataFrame) -> DataFrame:
     return df.select(*[safe_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
+@F.pandas_udf(T.StringType())
+def _compatible(names: pd.Series) -> pd.Series:
+    return names.map(lambda n: None if n is None else unicodedata.normalize("NFKC", n))
+
+
 def normalized_name(name: Column) -> Column:
-    """Lower case, runs of other than letters, marks, digits and _ become one _, none at the ends; column if nothing is left."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[^\p{L}\p{M}\p{N}_]+", "_"), "^_+|_+$", "")
+    """Compatibility form, lower case, runs of other than letters, marks, digits and _ become one _, none at the ends; column if nothing is left. Only names with characters beyond ASCII leave the JVM."""
+    plain = F.when(F.regexp_like(name, F.lit(r"^\p{ASCII}*\z")), name).otherwise(_compatible(F.when(~F.regexp_like(name, F.lit(r"^\p{ASCII}*\z")), name)))
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(plain)), r"[^\p{L}\p{M}\p{N}_]+", "_"), "^_+|_+$", "")
     return F.coalesce(F.nullif(bare, F.lit("")), F.lit("column"))
 
 
+def distinct_normalized_names(df: DataFrame, group: list[str], name: str, order: str) -> DataFrame:
+    """Adds proposed: the normalised name, distinct inside the group; repeats get _2, _3, ... until they are free, in order of `order`.
+
+    A group is the header of one file: its names meet in one list.
+    """
+    each = df.withColumn("_n", normalized_name(F.col(name)))
+
+    def add(acc: Column, named: Column) -> Column:
+        free = F.filter(F.transform(F.sequence(F.lit(2), F.size(acc) + 2), lambda k: F.concat(named, F.lit("_"), k.cast("string"))), lambda x: ~F.array_contains(acc, x))
+        return F.array_append(acc, F.when(F.array_contains(acc, named), F.get(free, 0)).otherwise(named))
+
+    rest = [c for c in df.columns if c not in group]
+    listed = each.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), "_n", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(rest)]))).alias("_l"))
+    names = F.aggregate(F.transform("_l", lambda x: x["_n"]), F.array().cast("array<string>"), add)
+    paired = F.arrays_zip(F.col("_l").alias("row"), names.alias("proposed"))
+    out = listed.select(*group, F.inline(paired).alias("_row", "proposed"))
+    return out.select(*group, *[F.col(f"_row._c{i}").alias(c) for i, c in enumerate(rest)], "proposed")
+
+
 def normalized_names(names: list[str]) -> list[str]:
     """Column names in compatibility form, plain and distinct: repeats get _2, _3, ..."""
     out: list[str] = []

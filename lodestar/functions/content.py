@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import html5, name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,12 +123,22 @@ def is_readable(text: Column) -> Column:
     return (F.length(text) == 0) | (odd < F.length(text) * 0.01)
 
 
+def is_xml(text: Column) -> Column:
+    """Whether a text is one well-formed element, by Spark's XML parser; a document type declaration is refused. Null: false.
+
+    The text is parsed inside an element of ours, whose only content must be one child: what stands before or behind
+    a root element shows there.
+    """
+    inside = F.concat(F.lit("<w>"), F.regexp_replace(text, r"(?s)^\s*<\?xml\b.*?\?>", ""), F.lit("</w>"))
+    parsed = F.from_xml(inside, F.lit("xs_any array<string>, _VALUE string, _corrupt_record string"), {"mode": "PERMISSIVE", "rowTag": "w", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return F.coalesce(parsed["_corrupt_record"].isNull() & (F.size(parsed["xs_any"]) == 1) & parsed["_VALUE"].isNull(), F.lit(False))
+
+
 def classify_text(text: Column) -> Column:
-    """json, html, xml or text, for completely read content. XML is told by its opening and closing tag, not parsed."""
+    """json, html, xml or text, for completely read content; JSON and XML are told by parsers."""
     t = F.regexp_replace(text, r"^\s+", "")
     json = t.startswith("{") | t.startswith("[")
-    xml = F.regexp_like(t, F.lit(r"(?s)^(<\?xml.*?\?>\s*)?<([A-Za-z_][\w.-]*)[^<>]*>.*</\2\s*>\s*$"))
-    return F.when(json, F.when(F.try_parse_json(t).isNotNull(), "json").otherwise("text")).when(F.regexp_like(t, F.lit(r"(?is)^(<!doctype\s+html|<html\b)")), "html").when(t.startswith("<") & xml, "xml").otherwise("text")
+    return F.when(json, F.when(F.try_parse_json(t).isNotNull(), "json").otherwise("text")).when(F.regexp_like(t, F.lit(r"(?is)^(<!doctype\s+html|<html\b)")), "html").when(t.startswith("<"), F.when(is_xml(t), "xml").otherwise("text")).otherwise("text")
 
 
 def category_of(fmt: Column) -> Column:
@@ -155,14 +165,19 @@ def inspect(files: DataFrame, limit: int = 65536) -> DataFrame:
     mime is that of the signature or of the text format, encoding that of readable text, error says why a file has no type.
 
     Null content is an empty file: status empty, no type. A bad file becomes a row with a status, never a failure.
-    Content beyond `limit` bytes is plain text whatever its start, since a part of a document proves no format.
+    Only the first `limit` bytes are looked at, but for size and hash: ratio and readability are those of the prefix (a
+    character cut by its end left out). Content beyond it is plain text whatever its start, since a part of a document
+    proves no format.
     """
     text = F.coalesce("content", F.lit(""))
     raw = F.encode(text, "UTF-8")
-    size = F.length(raw)
-    named = detect_format(raw)
+    size = F.octet_length(text)
+    prefix = F.substring(raw, 1, limit)
+    uncut = F.coalesce(*[F.try_validate_utf8(F.substring(raw, 1, limit - k).cast("string")) for k in range(4)])
+    text = F.when(size <= limit, text).otherwise(uncut)
+    named = detect_format(prefix)
     found = F.when(size == 0, F.lit(None)).when(named.isNotNull(), named["name"]).when(~is_readable(text), F.lit(None)).when(size > limit, "text").otherwise(classify_text(text))
-    done = files.select("file_id", "original_name", size.cast("long").alias("file_size"), magic_bytes(raw).alias("magic_bytes"), printable_ratio_bytes(raw).alias("printable_ratio"), found.alias("detected_type"), coverage(size, limit).alias("coverage"), F.sha2(raw, 256).alias("sha256"), named["mime"].alias("_mime"))
+    done = files.select("file_id", "original_name", size.cast("long").alias("file_size"), magic_bytes(prefix).alias("magic_bytes"), printable_ratio_bytes(prefix).alias("printable_ratio"), found.alias("detected_type"), coverage(size, limit).alias("coverage"), F.sha2(raw, 256).alias("sha256"), named["mime"].alias("_mime"))
     status = F.when(F.col("file_size") == 0, "empty").when(F.col("detected_type").isNull(), "unsupported").otherwise("ok")
     confidence = F.when(F.col("detected_type").isNull(), "unknown").when(F.col("detected_type").isin("text", "json", "xml", "html"), "heuristic").otherwise("signature")
     textual = F.col("detected_type").isin(CATEGORIES["text"])
@@ -199,34 +214,50 @@ def xor_image_key(content: Column) -> Column:
 
 #: Names that count without a semicolon, too; longer ones first.
 _OLD_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+#: Numbers that stand for the characters of Windows-1252.
+_WINDOWS = {i: bytes([i]).decode("cp1252") for i in range(0x80, 0xA0) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _numbered(code: Column) -> Column:
+    """The character of a reference's number: 0, surrogates and what lies beyond Unicode are U+FFFD, control characters and non-characters vanish."""
+    windows = F.create_map(*[F.lit(x) for pair in _WINDOWS.items() for x in pair])
+    bad = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    none = code.between(1, 8) | (code == 0x0B) | code.between(0x0E, 0x1F) | (code == 0x7F) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(~bad, code)), 8, "0")), "UTF-32")
+    return F.when(bad, F.lit("\ufffd")).when(F.try_element_at(windows, code).isNotNull(), F.try_element_at(windows, code)).when(none, F.lit("")).otherwise(char)
 
 
 def unescape_html(text: Column) -> Column:
-    """Character references decoded once: numbers, the names of HTML 4, and the old names that need no semicolon. Anything else stays."""
-    chars = F.create_map(*[F.lit(x) for n, i in name2codepoint.items() for x in (n, chr(i))])
+    """Character references decoded once, as HTML 5 parsers do: numbers, names, and the old names that need no semicolon. Anything else stays."""
+    named = {n.removesuffix(";"): c for n, c in html5.items() if n.endswith(";")}
+    chars = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
 
     def decoded(p: Column) -> Column:
-        hexa, deci = F.regexp_extract(p, r"^#[xX]([0-9A-Fa-f]{1,6});?", 1), F.regexp_extract(p, r"^#([0-9]{1,7});?", 1)
-        code = F.when(hexa != "", F.conv(hexa, 16, 10).cast("int")).when(deci != "", deci.try_cast("int"))
-        fine = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(F.when(fine, code)), 8, "0")), "UTF-32")
+        hexa, deci = F.regexp_extract(p, r"^#[xX]0*([0-9A-Fa-f]+);?", 1), F.regexp_extract(p, r"^#0*([0-9]+);?", 1)
+        beyond = F.lit(0x110000)
+        code = F.when(F.regexp_like(p, F.lit("^#[xX][0-9A-Fa-f]")), F.when(F.length(hexa) > 6, beyond).when(hexa == "", 0).otherwise(F.conv(hexa, 16, 10).cast("int"))).when(F.regexp_like(p, F.lit("^#[0-9]")), F.when(F.length(deci) > 7, beyond).when(deci == "", 0).otherwise(deci.cast("int")))
         name, old = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);", 1), F.regexp_extract(p, "^(" + "|".join(_OLD_NAMES) + ")", 1)
-        known, known_old = F.try_element_at(chars, name), F.try_element_at(chars, old)
+        known, known_old = F.try_element_at(chars, name), F.try_element_at(chars, F.nullif(old, F.lit("")))
         after = lambda n: F.substring(p, n, F.length(p))
-        numbered = F.concat(char, F.regexp_replace(p, r"^#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?", ""))
+        numbered = F.concat(_numbered(code), F.regexp_replace(p, r"^#(?:[xX][0-9A-Fa-f]+|[0-9]+);?", ""))
         return F.coalesce(numbered, F.concat(known, after(F.length(name) + 2)), F.concat(known_old, after(F.length(old) + 1)), F.concat(F.lit("&"), p))
 
     pieces = F.split(text, "&", -1)
-    return F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded), ""))
+    whole = F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded), ""))
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+
+#: A tag: in it, a quoted value behind an equals sign may hold >.
+_TAG = r"""</?[a-zA-Z](?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+>|<[!?][^>]*>"""
 
 
 def html_title(html: Column) -> Column:
     """The first title's text, empty if there is none."""
-    return unescape_html(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return unescape_html(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1))
 
 
 def html_text(html: Column, limit: int = 2048) -> Column:
     """Text outside of tags, scripts, styles and comments: pieces joined by a blank, character references decoded, cut to `limit` characters, runs of blanks folded."""
-    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<!doctype[^>]*>", "<->")
-    pieces = F.filter(F.split(bare, r"<[^>]+>", -1), lambda x: x != "")
+    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<!doctype[^>]*>", "<!>")
+    pieces = F.filter(F.split(bare, _TAG, -1), lambda x: x != "")
     return F.trim(F.regexp_replace(F.substring(F.array_join(F.transform(pieces, unescape_html), " "), 1, limit), r"[ \t\n\r\f]+", " "))

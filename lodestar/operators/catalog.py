@@ -69,12 +69,13 @@ def apply_names(files: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def corpus_gate(items: DataFrame, verdicts: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
-    """One row: rejected items, files that fail their check, jobs (state) that are not done, and ok if there are none of either."""
+    """One row: rejected items, files whose check isn't ok (a missing verdict included), unfinished and failed jobs (state; reader_error is a failure, any other state but done is unfinished), and ok if there are none of all."""
     rejected = items.agg(F.count_if(F.col("file_id").isNull()).alias("rejected"))
-    bad = verdicts.agg(F.count_if(F.col("verdict") != "ok").alias("bad"))
+    bad = verdicts.agg(F.count_if(~F.col("verdict").eqNullSafe(F.lit("ok"))).alias("bad"))
     if jobs is None:
         return rejected.join(bad).withColumn("ok", (F.col("rejected") == 0) & (F.col("bad") == 0))  # one row each
-    left = jobs.agg(F.count_if(F.col("state").isin("pending", "running")).alias("unfinished"), F.count_if(F.col("state") == "failed").alias("failed"))
+    state = F.coalesce("state", F.lit(""))
+    left = jobs.agg(F.count_if(~state.isin("done", "failed", "reader_error")).alias("unfinished"), F.count_if(state.isin("failed", "reader_error")).alias("failed"))
     none = (F.col("rejected") == 0) & (F.col("bad") == 0) & (F.col("unfinished") == 0) & (F.col("failed") == 0)
     return rejected.join(bad).join(left).withColumn("ok", none)
 
@@ -110,11 +111,16 @@ def verify_integrity(catalogue: DataFrame, actual: DataFrame) -> DataFrame:
     return catalogue.join(seen, F.col("file_id") == F.col("_id"), "left").select("file_id", verdict.alias("verdict"))
 
 
+def acknowledged(etag: str = "etag") -> Column:
+    """Whether a part has a tag that isn't blank."""
+    return F.coalesce(F.trim(etag) != "", F.lit(False))
+
+
 def upload_status(parts: DataFrame, chunk: int = 1024) -> DataFrame:
-    """(upload_id, size, part, etag, bytes): complete if numbers run 1..n, every part has an etag and the parts' own bytes add up to the size. Of a part that arrived twice, the larger counts."""
+    """(upload_id, size, part, etag, bytes): complete if numbers run 1..n, every part has an etag that isn't blank and the parts' own bytes add up to the size. Of a part that arrived twice, the larger counts."""
     n = F.greatest(F.ceil(F.col("size") / chunk), F.lit(1)).cast("long")
-    once = parts.groupBy("upload_id", "size", "part").agg(F.max("etag").alias("etag"), F.max("bytes").alias("_bytes"))
-    got = once.groupBy("upload_id", "size").agg(F.count("*").alias("arrived"), F.max("part").alias("last"), F.count("etag").alias("acknowledged"), F.sum(F.when(F.col("etag").isNotNull(), F.col("_bytes")).otherwise(0)).alias("bytes"))
+    once = parts.groupBy("upload_id", "size", "part").agg(F.bool_or(acknowledged()).alias("_ok"), F.max("bytes").alias("_bytes"))
+    got = once.groupBy("upload_id", "size").agg(F.count("*").alias("arrived"), F.max("part").alias("last"), F.count_if("_ok").alias("acknowledged"), F.sum(F.when(F.col("_ok"), F.col("_bytes")).otherwise(0)).alias("bytes"))
     whole = (F.col("arrived") == n) & (F.col("last") == n) & (F.col("acknowledged") == n) & (F.col("bytes") == F.col("size"))
     return got.select("upload_id", "size", n.alias("expected"), "arrived", "acknowledged", "bytes", whole.alias("complete"))
 
@@ -123,17 +129,27 @@ def missing_parts(parts: DataFrame, sessions: DataFrame, chunk: int = 1024) -> D
     """(upload_id, part) still to be sent: expected without an acknowledged part."""
     n = F.greatest(F.ceil(F.col("size") / chunk), F.lit(1)).cast("long")
     expected = sessions.select("upload_id", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("part"))
-    return expected.join(parts.where("etag is not null").select("upload_id", "part"), ["upload_id", "part"], "left_anti")
+    return expected.join(parts.where(acknowledged()).select("upload_id", "part"), ["upload_id", "part"], "left_anti")
+
 
+def chunk_identity(parts: DataFrame, files: DataFrame) -> DataFrame:
+    """Parts (upload_id, part, sha256) and files (upload_id, path, size, modified, mapped_name, occurrence) -> upload_id, identity.
 
-def chunk_identity(parts: DataFrame) -> DataFrame:
-    """SHA-256 over an upload's etags in part order; a list per upload, bounded by its own parts."""
-    listed = F.array_sort(F.collect_list(F.struct("part", F.coalesce("etag", F.lit("")).alias("etag"))))
-    return parts.groupBy("upload_id").agg(F.sha2(F.array_join(F.transform(listed, lambda p: F.concat(p["part"].cast("string"), F.lit(":"), p["etag"])), ","), 256).alias("identity"))
+    SHA-256 of the JSON list of path, size, modification time, mapped name (null if none), occurrence and the chunks'
+    hashes in their order; equal contents under another name, time or occurrence are others. A file without chunks has
+    an empty list. Lists are bounded by a file's own chunks.
+    """
+    listed = parts.groupBy("upload_id").agg(F.array_sort(F.collect_list(F.struct("part", F.coalesce("sha256", F.lit("")).alias("sha256")))).alias("_l"))
+    out = files.join(listed, "upload_id", "left")
+    text = lambda c: F.coalesce(F.regexp_replace(F.to_json(F.array(c)), r"(?s)^\[|\]$", ""), F.lit("null"))
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    hashes = F.coalesce(F.to_json(F.transform("_l", lambda p: p["sha256"])), F.lit("[]"))
+    whole = F.concat(F.lit("["), F.concat_ws(",", text("path"), number("size"), number("modified"), text("mapped_name"), number("occurrence"), hashes), F.lit("]"))
+    return out.select("upload_id", F.sha2(whole, 256).alias("identity"))
 
 
 def transfer_progress(parts: DataFrame, by: list[str], chunk: int = 1024) -> DataFrame:
     """Acknowledged bytes over all bytes of the parts (size, part, etag), per group, to four places; nothing to send counts as done."""
     size = F.least(F.lit(chunk).cast("long"), F.col("size") - (F.col("part") - 1) * chunk)
-    done, of = F.sum(F.when(F.col("etag").isNotNull(), size).otherwise(0)), F.sum(size)
+    done, of = F.sum(F.when(acknowledged(), size).otherwise(0)), F.sum(size)
     return parts.groupBy(*by).agg(F.when(of == 0, F.lit(1.0)).otherwise(F.round(done / F.nullif(of, F.lit(0)), 4)).alias("progress"))

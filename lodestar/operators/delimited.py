@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.values import numeric_cell
+from lodestar.operators.ordered import ranged, sum_in_ranges
+from lodestar.sources.sinks import kept
 
 # Delimiters in order of preference.
 DELIMITERS = [",", "\t", ";", "|"]
+#: Headers, one a file, that are broadcast at most.
+HEADERS = 10_000
 
 
 def sniff_delimiter(content: Column, lines: int = 20) -> Column:
-    """The delimiter of the first line that at least half of the first lines hold, and two; null if none does.
+    """The delimiter by which the first rows agree best; null if none stands in the first row and in at least half of the first rows, and two.
 
-    The most frequent one in the first line wins, ties by the order of DELIMITERS. Null and empty texts have none.
+    Delimiters inside quotes don't count. Of the candidates, the one with the most rows of its most common width wins,
+    then the one that is most frequent in the first row, then the order of DELIMITERS. Null and empty texts have none.
     """
-    head = F.slice(F.filter(F.split(content, r"\r?\n", lines + 1), lambda x: F.trim(x) != ""), 1, lines)
+    head = F.filter(F.slice(split_rows(F.substring(content, 1, 65536)), 1, lines), lambda x: F.trim(x) != "")
     least = F.greatest(F.lit(2), F.ceil(F.size(head) / 2))
 
     def score(rank: int, d: str) -> Column:
-        first = F.length(F.get(head, 0)) - F.length(F.replace(F.get(head, 0), F.lit(d), F.lit("")))
-        hits = F.size(F.filter(head, lambda x: F.contains(x, F.lit(d))))
-        return F.when((first > 0) & (hits >= least), F.struct(first.alias("n"), F.lit(-rank).alias("rank"), F.lit(d).alias("delimiter")))
+        counts = F.transform(head, lambda row: F.size(split_cells(row, F.lit(d))) - 1)
+        hits = F.filter(counts, lambda n: n > 0)
+        agree = F.array_max(F.transform(F.array_distinct(hits), lambda n: F.size(F.filter(hits, lambda m: m == n))))
+        return F.when((F.get(counts, 0) > 0) & (F.size(hits) >= least), F.struct(agree.alias("agree"), F.get(counts, 0).alias("n"), F.lit(-rank).alias("rank"), F.lit(d).alias("delimiter")))
 
     return F.array_max(F.array_compact(F.array(*[score(i, d) for i, d in enumerate(DELIMITERS)])))["delimiter"]
 
@@ -85,6 +91,55 @@ def read_delimited(files: DataFrame, complete: Column | None = None, delimiter:
     return out.select("file_id", "delimiter", "header", "names", "row_no", "cells", F.map_from_arrays(F.slice("header", 1, both), F.slice("cells", 1, both)).alias("record"), F.when(n > width, F.slice("cells", width + 1, n)).alias("extra_cells"), (n != width).alias("ragged"))
 
 
+def split_records(lines: DataFrame, file: str, order: list[str], line: str) -> DataFrame:
+    """Lines of files of any size -> file, record_no (from 0), record: rows of delimited text, whose quoted cells may hold line ends.
+
+    A line begins inside quotes if an odd number of quotes stands before it in its file. Quotes are summed up by ranges of
+    the lines' order, ranges by a scan over their sums, so one file is spread over all tasks, and a range knows how it
+    begins without reading the ones before. A second sum over the lines that begin outside numbers the records. Rows
+    of blanks are left out, a return before a line's end goes, quotes left open at the end of a file close with it.
+    """
+    quotes = F.length(line) - F.length(F.replace(F.col(line), F.lit('"'), F.lit("")))
+    rows = ranged(lines.select(file, *order, F.col(line).alias("_line"), quotes.alias("_quotes")), [file, *order])
+    told = sum_in_ranges(rows, [file], order, "_quotes", "_sum")
+    inside = (F.col("_sum") - F.col("_quotes")) % 2 == 1
+    starts = ~inside & (F.trim(F.regexp_replace("_line", r"\r$", "")) != "")
+    told = told.withColumn("_starts", starts.cast("int")).withColumn("_part", starts | inside).drop("_quotes", "_sum")
+    placed = sum_in_ranges(told, [file], order, "_starts", "_no").where("_part")
+    joined = placed.groupBy(file, "_no").agg(F.array_sort(F.collect_list(F.struct(*order, "_line"))).alias("_l"))  # one record
+    text = F.array_join(F.transform("_l", lambda x: x["_line"]), "\n")
+    return joined.select(file, (F.col("_no") - 1).cast("long").alias("record_no"), F.regexp_replace(text, r"\r$", "").alias("record"))
+
+
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """Text files below a path as lines: file, block (where the range of the file that held it begins), i (rises inside a block), value."""
+    read = spark.read.option("lineSep", "\n").text(path)
+    return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), "value")
+
+
+def read_large_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+    """Delimited files below a path -> file, row_no, header, cells, record (map), extra_cells, ragged: read_delimited() for files of any size.
+
+    Spark cuts files into ranges of lines; split_records() puts rows together over the cuts. The first row of a file is its
+    header unless it holds numbers only. The delimiter is sniffed from the first rows of each file unless given; files
+    without one give no rows.
+    """
+    records = kept(split_records(lines_of(spark, path), "file", ["block", "i"], "value"))
+    heads = records.where("record_no < 20").groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("record_no", "record"))), lambda x: x["record"]).alias("_h"))  # 20 rows
+    told = F.lit(delimiter) if delimiter else sniff_delimiter(F.array_join("_h", "\n"))
+    heads = heads.select("file", told.alias("delimiter"), F.get("_h", 0).alias("_first")).where("delimiter is not null")
+    first = heads.withColumn("_first", split_cells(F.col("_first"), F.col("delimiter"))).withColumn("_named", has_header(F.col("_first")))
+    unnamed = F.transform("_first", lambda c, i: F.concat(F.lit("column_"), (i + 1).cast("string")))
+    named = first.select("file", "delimiter", "_named", F.when(F.col("_named"), distinct_headers(F.col("_first"))).otherwise(unnamed).alias("header"))
+    named = kept(named)
+    named = F.broadcast(named) if named.count() <= HEADERS else named
+    out = records.join(named, "file").where(~F.col("_named") | (F.col("record_no") > 0)).withColumn("cells", split_cells(F.col("record"), F.col("delimiter")))
+    width, n = F.size("header"), F.size("cells")
+    both = F.least(width, n)
+    row_no = F.col("record_no") - F.col("_named").cast("int")
+    return out.select("file", row_no.alias("row_no"), "header", "cells", F.map_from_arrays(F.slice("header", 1, both), F.slice("cells", 1, both)).alias("record"), F.when(n > width, F.slice("cells", width + 1, n)).alias("extra_cells"), (n != width).alias("ragged"))
+
+
 def numeric_matrix(files: DataFrame) -> DataFrame:
     """(file_id, content) of blank-separated numbers -> file_id, row_no, pos, value; rows with any other cell are left out."""
     rows = files.select("file_id", F.posexplode(F.split("content", r"\r?\n")).alias("row_no", "line")).withColumn("cells", F.split(F.trim("line"), r"\s+"))
@@ -97,12 +152,23 @@ def tabular_rule(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file_id").agg(F.when(F.bool_and(unique) & ~F.bool_or("ragged"), "pass").otherwise("fail").alias("result"))
 
 
-def quality_summary(rows: DataFrame) -> DataFrame:
-    """read_delimited rows -> file_id, row_count, duplicate_rows, ragged_rows, warnings (sorted list).
+def quality_summary(rows: DataFrame, malformed: DataFrame | None = None) -> DataFrame:
+    """read_delimited rows -> file_id, row_count, duplicate_rows, ragged_rows, malformed_lines, warnings (sorted list).
+
+    malformed: rows (file_id, malformed) of JSON lines, whose bad lines are counted; files that only stand there have
+    their good lines as rows, which are not compared.
 
     Two aggregates, the first on (file, row hash), so that the rows of a large file never meet before they are distinct.
     """
     key = F.sha2(F.to_json("cells"), 256)
     once = rows.groupBy("file_id", key.alias("_k")).agg(F.count("*").alias("n"), F.count_if("ragged").alias("r"), F.bool_or(F.coalesce(F.col("names") != F.col("header"), F.lit(False))).alias("named"))
     out = once.groupBy("file_id").agg(F.bool_or("named").alias("_renamed"), F.sum("n").alias("row_count"), (F.sum("n") - F.count("*")).alias("duplicate_rows"), F.sum("r").alias("ragged_rows"))
-    return out.withColumn("warnings", F.array_compact(F.array(F.when(F.col("duplicate_rows") > 0, "duplicate_rows"), F.when(F.col("ragged_rows") > 0, "ragged_rows"), F.when(F.col("_renamed"), "renamed_headers")))).drop("_renamed")
+    if malformed is None:
+        out = out.withColumn("malformed_lines", F.lit(0).cast("long"))
+    else:
+        lines = malformed.groupBy(F.col("file_id").alias("_f")).agg(F.count_if("malformed").alias("malformed_lines"), F.count_if(~F.col("malformed")).alias("_good"))
+        met = out.join(lines, F.col("file_id") == F.col("_f"), "full").withColumn("file_id", F.coalesce("file_id", "_f"))
+        zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        out = met.select("file_id", F.coalesce("_renamed", F.lit(False)).alias("_renamed"), F.coalesce("row_count", "_good").alias("row_count"), zero("duplicate_rows"), zero("ragged_rows"), zero("malformed_lines"))
+    named = [F.when(F.col(c) > 0, c) for c in ("duplicate_rows", "malformed_lines", "ragged_rows")]
+    return out.withColumn("warnings", F.array_compact(F.array(*named, F.when(F.col("_renamed"), "renamed_headers")))).drop("_renamed")

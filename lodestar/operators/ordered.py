@@ -61,10 +61,14 @@ def numbered(df: DataFrame, group: list[str], order: list[str], number: str = "_
 
 def running_sum(df: DataFrame, group: list[str], order: list[str], size: str, name: str = "_sum", ranges: int | None = None) -> DataFrame:
     """Adds the sum of `size` over a group's rows up to this one, this one included; null sizes count as 0."""
-    rows = ranged(df, [*group, *order], ranges)
+    return sum_in_ranges(ranged(df, [*group, *order], ranges), group, order, size, name).drop("_range")
+
+
+def sum_in_ranges(rows: DataFrame, group: list[str], order: list[str], size: str, name: str) -> DataFrame:
+    """running_sum() over rows that are ranged() by group and order already; _range stays, so that more sums may follow."""
     inside = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = F.coalesce(F.sum(size).over(inside), F.lit(0))
-    return _with_offsets(rows, group, F.col(size)).withColumn(name, here + F.coalesce("_before", F.lit(0))).drop("_range", "_before", "_total")
+    return _with_offsets(rows, group, F.col(size)).withColumn(name, here + F.coalesce("_before", F.lit(0))).drop("_before", "_total")
 
 
 def _fold(sizes: list, left: int, ok: list) -> int:
@@ -117,6 +121,7 @@ def quota_entries(rows: DataFrame, owner: str, order: str, size: str, quota: int
         left = F.aggregate("l", F.col("_left"), lambda a, x: F.when(x["s"] <= a, a - x["s"]).otherwise(a))
         for o, r, rest in listed.select("_o", "_r", left).collect():
             state[o] = (r, rest)
+        state = {o: s for o, s in state.items() if s[0] < max(places[o])}
     return entries, rounds
 
 

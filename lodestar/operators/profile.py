@@ -1,21 +1,36 @@
-"""Column profiles, exact over all rows."""
+"""Column profiles: exact over all rows, or from states that are kept and merged."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.bounded import normalized_names
 from lodestar.functions.values import KEY_NAME, analytical_type, native_type, type_union
 
+#: Of the distinct-count sketches: 2 ** 12 registers, a relative standard error of 1.04 / 2 ** 6 = 1.6 %.
+SKETCH_BITS = 12
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
 
 def cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Wide rows -> (column, native, value): one row per cell, the value as a string. One scan, no shuffle."""
     names = columns or df.columns
     native = {f.name: native_type(f.dataType) for f in df.schema.fields}
-    each = [F.struct(F.lit(c).alias("column"), F.when(F.col(c).isNull(), "null").otherwise(native[c]).alias("native"), F.col(c).cast("string").alias("value")) for c in names]
+    each = [F.struct(F.lit(c).alias("column"), F.when(quoted(c).isNull() | _not_finite(quoted(c), native[c]), "null").otherwise(native[c]).alias("native"), quoted(c).cast("string").alias("value")) for c in names]
     return df.select(F.inline(F.array(*each)))
 
 
+def _not_finite(value: Column, native: str) -> Column:
+    return value.cast("double").isin(float("nan"), float("inf"), float("-inf")) if native == "number" else F.lit(False)
+
+
 def observed_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return cells(df, columns).groupBy("column", "native").agg(F.count("*").alias("n"))
 
@@ -30,25 +45,78 @@ def interpreted(native: Column, value: Column) -> Column:
     return F.when(native == "string", analytical_type(value)).otherwise(native)
 
 
-def column_profile(df: DataFrame, columns: list[str] | None = None, family: str = "tabular") -> DataFrame:
+def proposed_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column, types (union of the interpreted types), format: date or date-time where every value that isn't null has it, else null."""
+    seen = interpreted_types(df, columns).groupBy("column").agg(F.collect_set("type").alias("seen"))
+    values = F.array_remove("seen", "null")
+    dated = F.when((F.size(values) == 1) & F.get(values, 0).isin("date", "date-time"), F.get(values, 0))
+    return seen.select("column", type_union(_plain("seen")).alias("types"), dated.alias("format"))
+
+
+def _plain(seen: str) -> Column:
+    """Dates and times are strings with a format."""
+    return F.transform(seen, lambda t: F.when(t.isin("date", "date-time"), "string").otherwise(t))
+
+
+def _per_name(names: list[str]) -> Column:
+    """The normalised name of a column."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in zip(names, normalized_names(names)) for x in pair]), F.col("column"))
+
+
+def _judged(out: DataFrame, names: list[str], family: str) -> DataFrame:
+    """column, row_count, null_count, distinct_count, seen (types) -> the profile. Roles and keys go by normalised names."""
+    name = _per_name(names)
+    other = F.array_remove(type_union(_plain("seen")), "null")
+    dated = F.exists("seen", lambda t: t.isin("date", "date-time"))
+    keyed = F.regexp_like(name, F.lit(KEY_NAME))
+    measure = F.size(F.array_except(other, F.array(F.lit("integer"), F.lit("number")))) == 0
+    role = F.when(keyed, "identifier").when(dated, "time").when(measure, "measure").when(F.lit(family in ("document", "media_asset")) & F.contains(name, F.lit("text")), "text").otherwise("dimension")
+    candidate = keyed & (F.col("null_count") == 0) & (F.col("distinct_count") == F.col("row_count"))
+    rate = F.round(F.col("null_count") / F.col("row_count"), 4)
+    return out.select("column", "row_count", "null_count", rate.alias("null_rate"), "distinct_count", F.array_join(type_union(_plain("seen")), ",").alias("types"), role.alias("role"), candidate.alias("candidate_key"))
+
+
+def column_profile(df: DataFrame, columns: list[str] | None = None, family: str = "tabular", approximate: bool = False) -> DataFrame:
     """One row per column: count, nulls (null words included), null rate, distinct, type union, role, candidate key.
 
     An empty table has no rows here; an all-null column has type null and is a measure. Plan: one scan and a two-level
     aggregate, first on (column, type, value), so that no column's values meet in one task before they are distinct.
+    With `approximate`, distinct counts come from sketches (see column_states): one aggregate of a row a column and task.
     """
+    if approximate:
+        return profile_of_states(column_states(df, [], columns), columns or df.columns, family)
     typed = cells(df, columns).select("column", interpreted(F.col("native"), F.col("value")).alias("type"), "value")
     per_value = typed.groupBy("column", "type", F.when(F.col("type") != "null", F.sha2("value", 256)).alias("v")).agg(F.count("*").alias("n"))
     per_type = per_value.groupBy("column", "type").agg(F.sum("n").alias("n"), F.count("v").alias("distinct"))
     out = per_type.groupBy("column").agg(F.sum("n").alias("row_count"), F.coalesce(F.sum(F.when(F.col("type") == "null", F.col("n"))), F.lit(0)).alias("null_count"), F.sum("distinct").alias("distinct_count"), F.collect_set("type").alias("seen"))
-    kinds = F.transform("seen", lambda t: F.when(t.isin("date", "date-time"), "string").otherwise(t))
-    other = F.array_remove(type_union(kinds), "null")
-    dated = F.exists("seen", lambda t: t.isin("date", "date-time"))
-    keyed = F.regexp_like("column", F.lit(KEY_NAME))
-    measure = F.size(F.array_except(other, F.array(F.lit("integer"), F.lit("number")))) == 0
-    role = F.when(keyed, "identifier").when(dated, "time").when(measure, "measure").when(F.lit(family in ("document", "media_asset")) & F.contains("column", F.lit("text")), "text").otherwise("dimension")
-    types = F.array_join(type_union(kinds), ",")
-    candidate = keyed & (F.col("null_count") == 0) & (F.col("distinct_count") == F.col("row_count"))
-    return out.select("column", "row_count", "null_count", F.round(F.col("null_count") / F.col("row_count"), 4).alias("null_rate"), "distinct_count", types.alias("types"), role.alias("role"), candidate.alias("candidate_key"))
+    return _judged(out, columns or df.columns, family)
+
+
+def column_states(df: DataFrame, key: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Profile states to keep: key columns, column, row_count, null_count, seen (types), sketch. One row a key and column.
+
+    States add up: those of two tables, merged, are those of their union. Distinct values are counted by type and value
+    in a HyperLogLog sketch, whose union loses nothing.
+    """
+    names = [c for c in (columns or df.columns) if c not in key]
+    native = {f.name: native_type(f.dataType) for f in df.schema.fields}
+    each = [F.struct(F.lit(c).alias("column"), F.when(quoted(c).isNull() | _not_finite(quoted(c), native[c]), "null").otherwise(native[c]).alias("native"), quoted(c).cast("string").alias("value")) for c in names]
+    keys = [quoted(k) for k in key]
+    typed = df.select(*keys, F.inline(F.array(*each))).select(*keys, "column", interpreted(F.col("native"), F.col("value")).alias("type"), "value")
+    counted = F.when(F.col("type") != "null", F.xxhash64("type", "value"))
+    return typed.groupBy(*keys, "column").agg(F.count("*").alias("row_count"), F.count_if(F.col("type") == "null").alias("null_count"), F.array_sort(F.collect_set("type")).alias("seen"), F.hll_sketch_agg(counted, F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def merged_states(states: DataFrame, key: list[str]) -> DataFrame:
+    """States merged to one row per key and column; without key, to one per column."""
+    merged = states.groupBy(*key, "column").agg(F.sum("row_count").alias("row_count"), F.sum("null_count").alias("null_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("seen")))).alias("seen"), F.hll_union_agg("sketch").alias("sketch"))
+    return merged
+
+
+def profile_of_states(states: DataFrame, columns: list[str], family: str = "tabular") -> DataFrame:
+    """The profile of all rows whose states are given, without reading them again. Distinct counts, and so candidate keys, are estimates: within 5 % in 99.7 of 100 cases."""
+    every = merged_states(states, [])
+    return _judged(every.withColumn("distinct_count", F.hll_sketch_estimate("sketch")), columns, family)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -58,7 +126,14 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def schema_fingerprint(df: DataFrame, family: str = "tabular") -> DataFrame:
-    """One row: SHA-256 of the columns and their types, independent of rows and names of files."""
-    pairs = F.array_sort(F.collect_list(F.concat(F.lit('"'), F.col("column"), F.lit('": "'), F.col("types"), F.lit('"'))))
-    text = F.concat(F.lit('{"columns": {'), F.array_join(pairs, ", "), F.lit(f'}}, "family": "{family}"}}'))
-    return column_profile(df, family=family).agg(F.sha2(text, 256).alias("fingerprint"), F.count("*").alias("columns"))
+    """One row: SHA-256 of the columns and their observed native types, independent of rows and names of files.
+
+    The text is JSON with sorted names, blanks behind commas and colons and non-ASCII characters escaped; a column of one
+    type has it as a string, others have a sorted list, null included. A table without rows has no columns.
+    """
+    native = observed_types(df).groupBy("column").agg(type_union(F.collect_set("native")).alias("types"))
+    text = F.when(F.size("types") == 1, F.concat(F.lit('"'), F.get("types", 0), F.lit('"'))).otherwise(F.concat(F.lit('["'), F.array_join("types", '", "'), F.lit('"]')))
+    found = native.agg(F.map_from_entries(F.collect_list(F.struct("column", text))).alias("m"), F.count("*").alias("columns"))
+    each = [F.concat(F.lit(json.dumps(c) + ": "), F.try_element_at("m", F.lit(c))) for c in sorted(df.columns)]
+    whole = F.concat(F.lit('{"columns": {'), F.concat_ws(", ", *each), F.lit('}, "family": ' + json.dumps(family) + "}"))
+    return found.select(F.sha2(whole, 256).alias("fingerprint"), "columns")

@@ -5,30 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.ordered import greedy_quota, numbered, running_sum  # noqa: F401  greedy_quota is one of them
+
 
 def spread(n: Column, budget: int) -> Column:
-    """Indices of a systematic sample of n items: round(i (n - 1) / (budget - 1)), half to even; all if n <= budget; the middle one if budget is 1."""
+    """Indices of a systematic sample of n items: round(i (n - 1) / (budget - 1)), half to even; all if n <= budget; the middle one if budget is 1. No items: none; null: null."""
+    none = F.when(n.isNull(), F.lit(None)).when(n <= 0, F.array().cast("array<bigint>"))
     if budget == 1:
-        return F.array((n / 2).cast("long"))
+        return none.otherwise(F.array((n / 2).cast("long")))
     picks = F.transform(F.sequence(F.lit(0), F.lit(budget - 1)), lambda i: F.rint(i * (n - 1) / (budget - 1)).cast("long"))
-    return F.when(n <= budget, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(picks)
+    return none.when(n <= budget, F.sequence(F.lit(0).cast("long"), F.greatest(n.cast("long") - 1, F.lit(0)))).otherwise(picks)
 
 
 def systematic_sample(df: DataFrame, group: list[str], order: list[str], budget: int) -> DataFrame:
-    """Of each group, the rows whose index in `order` is in spread(count, budget)."""
-    w = Window.partitionBy(*group)
-    numbered = df.withColumn("_i", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn("_n", F.count("*").over(w))
-    return numbered.where(F.array_contains(spread(F.col("_n"), budget), F.col("_i"))).drop("_i", "_n")
+    """Of each group, the rows whose index in `order` is in spread(count, budget). Groups may be of any size."""
+    return numbered(df, group, order, "_i", "_n").where(F.array_contains(spread(F.col("_n"), budget), F.col("_i"))).drop("_i", "_n")
 
 
 def zones(df: DataFrame, group: list[str], order: list[str], head: float = 0.5, middle: float = 0.25) -> DataFrame:
     """Adds zone: head, middle, tail or rest. With budget b of n rows: the first b/2, a centred b/4 and the last b/4, b being half of n."""
-    w = Window.partitionBy(*group)
-    i, n = F.row_number().over(w.orderBy(*order)) - 1, F.count("*").over(w)
+    i, n = F.col("_i"), F.col("_n")
     budget = F.floor(n / 2)
     h, q = F.floor(budget * head), F.floor(budget * middle)
     start = F.floor((n - q) / 2)
-    return df.withColumn("_i", i).withColumn("_n", n).withColumn("zone", F.when(i < h, "head").when(i >= n - q, "tail").when((i >= start) & (i < start + q), "middle").otherwise("rest")).drop("_i", "_n")
+    return numbered(df, group, order, "_i", "_n").withColumn("zone", F.when(i < h, "head").when(i >= n - q, "tail").when((i >= start) & (i < start + q), "middle").otherwise("rest")).drop("_i", "_n")
 
 
 def kth_largest(df: DataFrame, key: str, k: int, parts: int = 4096, small: int = 10_000) -> int | None:
@@ -100,36 +100,10 @@ def table_quota(tables: dict[str, DataFrame], rows: int, key: str) -> DataFrame:
 
 
 def occurrence_index(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    return df.withColumn("occurrence", (F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1).cast("long"))
+    """Adds occurrence: how many rows of the same key come before, by `order`. A key may hold all rows."""
+    return numbered(df, key, order, "occurrence")
 
 
 def running_budget(df: DataFrame, group: list[str], order: list[str], size: str, budget: int) -> DataFrame:
-    """Adds accepted: whether the running total, this row included, is still within the budget. Once over, all later rows are out."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("accepted", F.sum(size).over(w) <= budget)
-
-
-def greedy_quota(df: DataFrame, owner: str, order: str, size: str, quota: int) -> DataFrame:
-    """(owner, order, size) -> with accepted: rows in order, each accepted if it still fits; a rejected row uses nothing.
-
-    A true fold, since a running sum can't express it. State is one number per owner, and rows stream through: the
-    group is sorted and read batch by batch.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-
-    def run(batches):
-        of, used = object(), 0
-        for rb in batches:
-            ok = np.zeros(rb.num_rows, bool)
-            for i, (o, s) in enumerate(zip(rb.column(0).to_pylist(), rb.column(2).to_pylist())):
-                if o != of:
-                    of, used = o, 0
-                if used + (s or 0) <= quota:
-                    used += s or 0
-                    ok[i] = True
-            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(ok)], names=[owner, order, size, "accepted"])
-
-    return df.select(owner, order, size).repartition(owner).sortWithinPartitions(owner, order).mapInArrow(run, f"{owner} {kinds[owner]}, {order} {kinds[order]}, {size} {kinds[size]}, accepted boolean")
+    """Adds accepted: whether the running total, this row included, is still within the budget. Once over, all later rows are out. A group may hold all rows."""
+    return running_sum(df, group, order, size, "_sum").withColumn("accepted", F.col("_sum") <= budget).drop("_sum")

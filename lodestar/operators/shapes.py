@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.bounded import normalized_names
 from lodestar.functions.values import type_union
-from lodestar.operators.profile import column_profile, interpreted_types, observed_types
-
-#: A key inside a path stands in quotes if it holds a character that means something there.
-_QUOTED = r'"(?:[^"\\]|\\.)*"'
-
+from lodestar.operators.profile import column_profile, observed_types, proposed_types
+from lodestar.sources.sinks import kept
+
+# The schemas' dialect, and what the three candidates are for.
+DIALECT = "https://json-schema.org/draft/2020-12/schema"
+PURPOSES = {
+    "faithful": "Preserve source columns and observed native types",
+    "analytics": "Propose tidy columns, typed measures, missing-value and date handling",
+    "semantic": "Describe the unit of observation and analytical field roles",
+}
+INFERENCE = "sampled hypothesis; not an enforced data contract"
+TRANSFORM = "proposed; originals and sample values are unchanged"
 
 def json_type(value: Column) -> Column:
     """null, boolean, integer, number, string, object or array of a VARIANT; a missing value (SQL null) has none."""
@@ -27,19 +34,21 @@ def canonical_json(value: Column) -> Column:
 
 
 def paths(df: DataFrame, value: str, depth: int = 5) -> DataFrame:
-    """One row per (path, parent, key, type) with n, over all records of a VARIANT column.
+    """One row per (path, parent, key, steps, level, type) with n, over all records of a VARIANT column.
 
     One scan: every level is exploded beside its parent, and a node is counted on its first descendant's row only. The
-    counts are combined before the only shuffle. `[]` marks array items; `$` is the root; keys that
-    hold a dot, bracket, quote or backslash are quoted as in JSON; null records are left out.
-    Levels below `depth` are not entered.
+    counts are combined before the only shuffle. `[]` marks array items; `$` is the root; keys that are empty or
+    hold a dot, bracket, quote or backslash are quoted as in JSON; null records are left out. steps are the keys from
+    the root, in order, those of array items behind all names. Levels below `depth` are not entered.
     """
     spark = df.sparkSession
-    cur = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v0"), F.lit("$").alias("_p0"))
+    cur = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v0"), F.lit("$").alias("_p0"), F.array().cast("array<struct<item:boolean,key:string>>").alias("_s0"))
     for i in range(1, depth + 1):
         step = spark.tvf.variant_explode_outer(F.col(f"_v{i - 1}").outer()).toDF("_pos", "_key", "_value")
-        name = F.when(F.col("_pos").isNull(), F.lit(None)).when(F.col("_key").isNull(), F.concat(f"_p{i - 1}", F.lit("[]"))).otherwise(F.concat(f"_p{i - 1}", F.lit("."), F.when(F.regexp_like("_key", F.lit(r'[.\[\]"\\]')), _quoted(F.col("_key"))).otherwise(F.col("_key"))))
-        cur = cur.lateralJoin(step, how="left").select(*[c for c in cur.columns if c != f"_v{i - 1}"], json_type(F.col(f"_v{i - 1}")).alias(f"_t{i - 1}"), F.col("_pos").alias(f"_i{i}"), F.col("_key").alias(f"_k{i}"), name.alias(f"_p{i}"), F.col("_value").alias(f"_v{i}"))
+        special = (F.col("_key") == "") | F.regexp_like("_key", F.lit(r'[.\[\]"\\]'))
+        name = F.when(F.col("_pos").isNull(), F.lit(None)).when(F.col("_key").isNull(), F.concat(f"_p{i - 1}", F.lit("[]"))).otherwise(F.concat(f"_p{i - 1}", F.lit("."), F.when(special, _quoted(F.col("_key"))).otherwise(F.col("_key"))))
+        steps = F.array_append(f"_s{i - 1}", F.struct(F.col("_key").isNull().alias("item"), F.coalesce("_key", F.lit("")).alias("key")))
+        cur = cur.lateralJoin(step, how="left").select(*[c for c in cur.columns if c != f"_v{i - 1}"], json_type(F.col(f"_v{i - 1}")).alias(f"_t{i - 1}"), F.col("_pos").alias(f"_i{i}"), F.col("_key").alias(f"_k{i}"), name.alias(f"_p{i}"), F.col("_value").alias(f"_v{i}"), F.when(F.col("_pos").isNotNull(), steps).alias(f"_s{i}"))
     cur = cur.withColumn(f"_t{depth}", json_type(F.col(f"_v{depth}")))
     nodes = []
     for i in range(depth + 1):
@@ -47,42 +56,77 @@ def paths(df: DataFrame, value: str, depth: int = 5) -> DataFrame:
         for j in range(i + 1, depth + 1):
             first = first & (F.coalesce(f"_i{j}", F.lit(0)) == 0)
         parent, key = (F.col(f"_p{i - 1}"), F.col(f"_k{i}")) if i else (F.lit(None).cast("string"), F.lit(None).cast("string"))
-        nodes.append(F.when(first, F.struct(F.col(f"_p{i}").alias("path"), parent.alias("parent"), key.alias("key"), F.col(f"_t{i}").alias("type"))))
-    return cur.select(F.inline(F.array_compact(F.array(*nodes)))).groupBy("path", "parent", "key", "type").agg(F.count("*").alias("n"))
+        nodes.append(F.when(first, F.struct(F.col(f"_p{i}").alias("path"), parent.alias("parent"), key.alias("key"), F.col(f"_s{i}").alias("steps"), F.lit(i).alias("level"), F.col(f"_t{i}").alias("type"))))
+    return cur.select(F.inline(F.array_compact(F.array(*nodes)))).groupBy("path", "parent", "key", "steps", "level", "type").agg(F.count("*").alias("n"))
+
+
+def path_table(df: DataFrame, value: str, depth: int = 5) -> DataFrame:
+    """paths() written down, one row per path: types (sorted, number absorbs integer), n, objects (how many of the n are objects), counts (by type).
+
+    The records are read once, however often what is made of the table is used; it is as large as the schema.
+    """
+    found = paths(df, value, depth).groupBy("path", "parent", "key", "steps", "level")
+    return kept(found.agg(type_union(F.collect_set("type")).alias("types"), F.sum("n").alias("n"), F.sum(F.when(F.col("type") == "object", F.col("n")).otherwise(0)).alias("objects"), F.array_sort(F.collect_list(F.struct("type", "n"))).alias("counts")))
 
 
 def nested_schema(df: DataFrame, value: str, depth: int = 5) -> DataFrame:
-    """path, types (sorted, number absorbs integer), n, required: whether every object at the parent path has the key."""
-    found = paths(df, value, depth)
-    merged = found.groupBy("path", "parent", "key").agg(type_union(F.collect_set("type")).alias("types"), F.sum("n").alias("n"), F.sum(F.when(F.col("type") == "object", F.col("n")).otherwise(0)).alias("objects"))
-    owners = merged.select(F.col("path").alias("parent"), F.col("objects").alias("_of"))
-    out = merged.join(owners, "parent", "left")
-    return out.select("path", "types", "n", (F.col("key").isNotNull() & (F.col("n") == F.col("_of"))).alias("required"))
+    """path, types (sorted, number absorbs integer), n, required: whether every object at the parent path has the key; with steps and level. Runs a job while it is built."""
+    return _required(path_table(df, value, depth)).select("path", "types", "n", "required", "steps", "level")
+
+
+def _required(table: DataFrame) -> DataFrame:
+    owners = table.select(F.col("path").alias("_owner"), F.col("objects").alias("_of"))
+    out = table.join(owners, F.col("parent") == F.col("_owner"), "left")
+    return out.withColumn("required", F.col("key").isNotNull() & (F.col("n") == F.coalesce("_of", F.lit(-1)))).drop("_owner", "_of")
 
 
-def nested_fingerprint(schema: DataFrame) -> DataFrame:
-    """One row: SHA-256 of the schema's sorted paths, types and required marks; the schema's size is that of a schema."""
-    line = F.to_json(F.struct("path", "types", "required"))
-    return schema.agg(F.sha2(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(line)), ","), F.lit("]")), 256).alias("fingerprint"), F.count("*").alias("fields"))
+def nested_document(df: DataFrame, value: str, depth: int = 5) -> DataFrame:
+    """One row: schema (canonical compact JSON: keys sorted at every level), fields, and fingerprint, its SHA-256.
+
+    A node has its type (a sorted list if there are several), an object's properties, required keys (if any) and
+    additionalProperties, an array's items, merged over all arrays ({} if none has any). What lies deeper than `depth`
+    levels is {}. The path table is folded from the deepest level up: each level's nodes are joined into their parents'
+    documents by one grouping of schema-sized rows. No records: no row. Runs a job while it is built.
+    """
+    table = _required(path_table(df, value, depth + 1))
+    docs = table.where(F.col("level") == depth + 1).select("parent", "key", "required", F.lit("{}").alias("doc"))
+    for level in range(depth, -1, -1):
+        entry = F.struct("key", F.concat(_quoted(F.col("key")), F.lit(":"), F.col("doc")).alias("text"))
+        inside = docs.groupBy(F.col("parent").alias("_path")).agg(
+            F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), entry))).alias("_keys"),
+            F.array_sort(F.collect_list(F.when(F.col("required"), F.col("key")))).alias("_needed"),
+            F.max(F.when(F.col("key").isNull(), F.col("doc"))).alias("_items"),
+        )
+        here = table.where(F.col("level") == level).join(inside, F.col("path") == F.col("_path"), "left")
+        is_object, is_array = F.col("objects") > 0, F.array_contains("types", "array")
+        properties = F.concat(F.lit('"properties":{'), F.array_join(F.transform(F.coalesce("_keys", F.array().cast("array<struct<key:string,text:string>>")), lambda x: x["text"]), ","), F.lit("}"))
+        needed = F.when(F.size("_needed") > 0, F.concat(F.lit('"required":'), F.to_json("_needed")))
+        parts = [F.when(is_object, F.lit('"additionalProperties":true')), F.when(is_array, F.concat(F.lit('"items":'), F.coalesce("_items", F.lit("{}")))), F.when(is_object, properties), F.when(is_object, needed), F.concat(F.lit('"type":'), _type_of(F.col("types")))]
+        if level == 0:
+            parts = [F.concat(F.lit('"$schema":'), F.lit(json.dumps(DIALECT))), *parts]
+        docs = here.select("parent", "key", "required", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("doc"))
+    fields = table.where(F.col("level") <= depth).agg(F.count("*").alias("fields"))
+    return docs.select(F.col("doc").alias("schema"), F.sha2("doc", 256).alias("fingerprint")).join(F.broadcast(fields))  # one row each
 
 
 def field_tree(schema: DataFrame, depth: int = 8, limit: int = 250) -> DataFrame:
-    """A schema's fields depth first, at most `limit`: path, level, type text, required."""
-    level = F.regexp_count(F.regexp_replace("path", _QUOTED, "k"), F.lit(r"\.|\[\]"))
+    """nested_schema() rows depth first, keys in order, array items behind them, at most `limit`: path, level, type text, required."""
     text = F.when(F.size("types") == 1, F.col("types")[0]).otherwise(F.array_join("types", " | "))
-    return schema.select("path", level.alias("level"), text.alias("type"), "required").where(F.col("level") <= depth).orderBy("path").limit(limit)
+    return schema.where(F.col("level") <= depth).orderBy("steps").limit(limit).select("path", "level", text.alias("type"), "required")
 
 
 def violations(df: DataFrame, value: str, schema: DataFrame, depth: int = 5) -> DataFrame:
-    """path, problem, n: value types the schema doesn't declare and required keys that objects lack; none if all fits."""
-    found = paths(df, value, depth)
-    declared = schema.select("path", F.col("types").alias("_types"), "required")
+    """path, problem, n: value types the schema doesn't declare and required keys that objects lack; none if all fits. Runs a job while it is built."""
+    table = path_table(df, value, depth)
+    found = table.select("path", F.inline("counts"))
+    declared = schema.select("path", F.col("types").alias("_types"))
     seen = found.join(declared, "path", "left")
     fits = F.array_contains("_types", F.col("type")) | ((F.col("type") == "integer") & F.array_contains("_types", "number"))
     bad = seen.where(F.col("_types").isNull() | ~fits).select("path", F.when(F.col("_types").isNull(), "undeclared").otherwise(F.concat(F.lit("type "), "type")).alias("problem"), "n")
-    objects = found.where("type = 'object'").groupBy(F.col("path").alias("_owner")).agg(F.sum("n").alias("_of"))
-    present = found.groupBy("path").agg(F.sum("n").alias("_has"))
-    need = schema.where("required").select("path", F.regexp_replace("path", rf'\.(?:{_QUOTED}|[^."]*)$', "").alias("_owner")).join(objects, "_owner").join(present, "path", "left")
+    objects = table.where("objects > 0").select(F.col("steps").alias("_owner"), F.col("objects").alias("_of"))
+    present = table.select(F.col("path").alias("_path"), F.col("n").alias("_has"))
+    need = schema.where("required").select("path", F.slice("steps", 1, F.greatest(F.size("steps") - 1, F.lit(0))).alias("_at"))
+    need = need.join(objects, F.col("_at") == F.col("_owner")).join(present, F.col("path") == F.col("_path"), "left")
     lacking = (F.col("_of") - F.coalesce("_has", F.lit(0))).alias("n")
     return bad.unionByName(need.select("path", F.lit("missing").alias("problem"), lacking).where("n > 0"))
 
@@ -97,7 +141,7 @@ def _type_of(types: Column) -> Column:
 
 
 def schema_candidates(df: DataFrame, columns: list[str] | None = None, family: str = "tabular") -> DataFrame:
-    """candidate, schema: three JSON Schemas of a table.
+    """candidate, purpose, schema: three JSON Schemas of a table.
 
     faithful keeps source names and native types with their counts; analytics has plain distinct names, types read from
     the values and the format of dates; semantic adds each field's role and whether it may be a key. Fields are in the
@@ -106,19 +150,19 @@ def schema_candidates(df: DataFrame, columns: list[str] | None = None, family: s
     names = columns or df.columns
     proposed = F.create_map(*[F.lit(x) for pair in zip(names, normalized_names(names)) for x in pair])
     native = observed_types(df, names).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("native", "n"))).alias("native"))
-    kinds = interpreted_types(df, names).groupBy("column").agg(F.array_remove(F.collect_set("type"), "null").alias("kinds"))
-    each = column_profile(df, names, family).join(native, "column").join(kinds, "column")
+    each = column_profile(df, names, family).join(native, "column").join(proposed_types(df, names).drop("types"), "column")
     counts = F.array_join(F.transform("native", lambda x: F.concat(_quoted(x["native"]), F.lit(":"), x["n"].cast("string"))), ",")
-    dated = F.when((F.size("kinds") == 1) & F.get("kinds", 0).isin("date", "date-time"), F.concat(F.lit(',"format":'), _quoted(F.get("kinds", 0)))).otherwise("")
+    dated = F.when(F.col("format").isNotNull(), F.concat(F.lit(',"format":'), _quoted(F.col("format")))).otherwise("")
     faithful = F.concat(_quoted(F.col("column")), F.lit(':{"type":'), _type_of(type_union(F.transform("native", lambda x: x["native"]))), F.lit(',"x-observed-types":{'), counts, F.lit("}}"))
-    tidy = F.concat(_quoted(F.element_at(proposed, F.col("column"))), F.lit(':{"type":'), _type_of(F.split("types", ",")), F.lit(',"x-source-column":'), _quoted(F.col("column")), dated, F.lit("}"))
+    tidy = F.concat(_quoted(F.element_at(proposed, F.col("column"))), F.lit(':{"type":'), _type_of(F.split("types", ",")), F.lit(',"x-source-column":'), _quoted(F.col("column")), F.lit(f',"x-transform":{json.dumps(TRANSFORM)}'), dated, F.lit("}"))
     role = F.concat(_quoted(F.col("column")), F.lit(':{"role":'), _quoted(F.col("role")), F.lit(',"candidate_key":'), F.col("candidate_key").cast("string"), F.lit("}"))
     listed = lambda text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", text.alias("t")))), lambda x: x["t"]), ",")
     one = each.agg(listed(faithful).alias("f"), listed(tidy).alias("a"), listed(role).alias("r"))
-    head = '{"$schema":"https://json-schema.org/draft/2020-12/schema","type":"object","additionalProperties":true,"required":[],"properties":{'
+    head = json.dumps({"$schema": DIALECT, "type": "object", "additionalProperties": True, "required": [], "x-inference": INFERENCE}, separators=(",", ":"))[:-1] + ',"properties":{'
     semantic = F.concat(F.lit(head), "f", F.lit('},"x-content-family":'), _quoted(F.lit(family)), F.lit(',"x-field-roles":{'), "r", F.lit("}}"))
     out = one.select(F.concat(F.lit(head), "f", F.lit("}}")).alias("faithful"), F.concat(F.lit(head), "a", F.lit("}}")).alias("analytics"), semantic.alias("semantic"))
-    return out.unpivot([], ["faithful", "analytics", "semantic"], "candidate", "schema")
+    purpose = F.element_at(F.create_map(*[F.lit(x) for pair in PURPOSES.items() for x in pair]), F.col("candidate"))
+    return out.unpivot([], list(PURPOSES), "candidate", "schema").select("candidate", purpose.alias("purpose"), "schema")
 
 
 def schema_catalog(files: DataFrame, shapes: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:

@@ -26,7 +26,8 @@ KIND = """CASE WHEN strlen(content) = 0 THEN NULL WHEN regexp_matches(trim(conte
 PARTS = """WITH sized AS (SELECT doc_id AS upload_id, CAST(strlen(text) AS BIGINT) AS size FROM documents
 ), parts AS (
   SELECT * FROM (SELECT upload_id, size, unnest(range(1, greatest((size + 1023) // 1024, 1) + 1)) AS part FROM sized) WHERE (upload_id + part) % 17 <> 0
-), p AS (SELECT *, greatest(0, least(1024, size - (part - 1) * 1024) - CASE WHEN (upload_id + part) % 23 = 0 THEN 1 ELSE 0 END) AS bytes, CASE WHEN (upload_id + part) % 19 <> 0 THEN 'e' || part END AS etag FROM parts)
+), p AS (SELECT *, greatest(0, least(1024, size - (part - 1) * 1024) - CASE WHEN (upload_id + part) % 23 = 0 THEN 1 ELSE 0 END) AS bytes, CASE WHEN (upload_id + part) % 37 = 0 THEN ' ' WHEN (upload_id + part) % 19 <> 0 THEN 'e' || part END AS etag FROM parts
+), ok AS (SELECT *, coalesce(trim(etag) <> '', false) AS good FROM p)
 """
 ITEMS = """WITH items AS (SELECT source AS batch_id, doc_id AS sequence, CASE WHEN doc_id % 13 <> 0 THEN doc_id END AS file_id, CASE WHEN doc_id % 13 = 0 THEN '{"code":"quota"}' END AS rejection FROM documents)
 """
@@ -74,7 +75,8 @@ def f8_classify_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(FILES + f"""SELECT file_id, original_name, CAST(strlen(content) AS BIGINT) AS file_size, left(lower(hex(encode(content))), 64) AS magic_bytes,
-  round(length(regexp_replace(content, '[^\\t\\n\\r\\x20-\\x7e]', '', 'g')) / strlen(content), 4) AS printable_ratio, {KIND} AS detected_type,
+  round(CASE WHEN strlen(content) <= 65536 THEN length(regexp_replace(content, '[^\\t\\n\\r\\x20-\\x7e]', '', 'g')) / strlen(content)
+    ELSE 1 - length(regexp_replace(regexp_replace(left(hex(encode(content)), 131072), '(..)', '\\1 ', 'g'), '(0[9AD]|[2-6].|7[0-9A-E]) ', '', 'g')) / 3 / 65536 END, 4) AS printable_ratio, {KIND} AS detected_type,
   CASE WHEN strlen(content) <= 65536 THEN 'whole_file' ELSE 'prefix_only' END AS coverage, sha256(content) AS sha256, 'text' AS category, 'ok' AS status, 'heuristic' AS confidence, CASE {KIND} WHEN 'html' THEN 'text/html' ELSE 'text/plain' END AS mime, 'utf-8' AS encoding, NULL AS error FROM files""")
 def f10_inspect(spark: SparkSession, d: str) -> DataFrame:
     return C.inspect(files(spark, d))
@@ -225,9 +227,20 @@ def p1_observed_types(spark: SparkSession, d: str) -> DataFrame:
     return P.observed_types(read(spark, d, "orders"), ORDER_COLUMNS)
 
 
-@query(CELLS + f"SELECT 'v' AS \"column\", {TYPE} AS type, count(*) AS n FROM cells GROUP BY ALL")
+PROPOSED = f"""WITH c AS (SELECT unnest(['cell', 'day', 'moment', 'status', 'none']) AS col, unnest([CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 19 = 0 THEN '00' || o_orderkey WHEN o_orderkey % 3 = 0 THEN '.5' ELSE CAST(o_custkey AS VARCHAR) END,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%Y-%m-%d') END, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END, o_orderstatus, NULL]) AS v FROM orders
+), t AS (SELECT col, {TYPE} AS t FROM c)
+"""
+
+
+@query(PROPOSED + """SELECT col AS "column", array_to_string(list_sort(list_filter(list_distinct(list(CASE WHEN t IN ('date', 'date-time') THEN 'string' ELSE t END)), lambda x: NOT (x = 'integer' AND list_contains(list(t), 'number')))), ',') AS types,
+  CASE WHEN count(DISTINCT t) FILTER (t <> 'null') = 1 AND bool_and(t IN ('date', 'date-time', 'null')) THEN min(t) FILTER (t <> 'null') END AS format FROM t GROUP BY col""")
 def p2_interpreted_types(spark: SparkSession, d: str) -> DataFrame:
-    return P.interpreted_types(_cells(spark, d), ["v"])
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    cell = F.when(k % 13 == 0, "").when(k % 19 == 0, F.concat(F.lit("00"), k.cast("string"))).when(k % 3 == 0, ".5").otherwise(F.col("o_custkey").cast("string"))
+    moment = F.when(k % 2 == 0, day).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    o = read(spark, d, "orders").select(cell.alias("cell"), F.when(k % 7 == 0, "n/a").otherwise(day).alias("day"), moment.alias("moment"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("none"))
+    return P.proposed_types(o).withColumn("types", F.array_join("types", ","))
 
 
 PROFILE = """SELECT col AS "column", count(*) AS row_count, count(*) FILTER (t = 'null') AS null_count, round(count(*) FILTER (t = 'null') / count(*), 4) AS null_rate,
@@ -255,16 +268,43 @@ def p3_p7_dirty_profile(spark: SparkSession, d: str) -> DataFrame:
     return P.column_profile(_cells(spark, d), ["v"])
 
 
+NAMED = """WITH c AS (SELECT unnest(['Order ID', 'User-Key', 'a.b', 'day', 'kid']) AS col, unnest(['order_id', 'user_key', 'a_b', 'day', 'kid']) AS plain, unnest([CAST(o_orderkey AS VARCHAR), o_orderstatus, CAST(o_custkey AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d'), CAST(o_custkey AS VARCHAR)]) AS v, unnest(['integer', '', 'integer', '', 'integer']) AS native FROM orders
+), typed AS (SELECT col, plain, v, CASE WHEN v IS NULL THEN 'null' WHEN native <> '' THEN native ELSE """ + TYPE + " END AS t FROM c)\n"
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("Order ID"), F.col("o_orderstatus").alias("User-Key"), F.col("o_custkey").alias("a.b"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_custkey").alias("kid"))
+
+
+@query(NAMED + PROFILE.replace("regexp_matches(col,", "regexp_matches(plain,").replace("GROUP BY col", "GROUP BY col, plain"))
+def p6_p7_names(spark: SparkSession, d: str) -> DataFrame:
+    """Roles and keys go by the normalised names; names hold blanks and dots."""
+    return P.column_profile(_named(spark, d))
+
+
+@query(NAMED + "SELECT col AS \"column\", count(*) AS row_count, count(*) FILTER (t = 'null') AS null_count, array_to_string(list_sort(list(DISTINCT t)), ',') AS seen, true AS near FROM typed GROUP BY col")
+def p4_mergeable_profile(spark: SparkSession, d: str) -> DataFrame:
+    """States of orders by status, merged; near: whether the estimate of distinct values is within 5 % of the exact count."""
+    o = _named(spark, d)
+    merged = P.merged_states(P.column_states(o.withColumn("status", F.col("User-Key")), ["status"], o.columns), [])
+    exact = P.column_profile(o).select("column", "distinct_count")
+    close = F.abs(F.hll_sketch_estimate("sketch") - F.col("distinct_count")) <= 0.05 * F.col("distinct_count")
+    return merged.join(exact, "column").select("column", "row_count", "null_count", F.array_join("seen", ",").alias("seen"), close.alias("near"))
+
+
 @query("SELECT count(*) AS row_count, count(DISTINCT text) AS distinct_rows, count(*) - count(DISTINCT text) AS duplicate_rows FROM documents")
 def p5_duplicate_rows(spark: SparkSession, d: str) -> DataFrame:
     return P.duplicate_rows(_docs(spark, d).select("text"))
 
 
-@query("""WITH c AS (SELECT unnest(['doc_id', 'lang', 'source', 'n_chars', 'text']) AS col, unnest(['integer', '', '', 'integer', '']) AS native, unnest([CAST(doc_id AS VARCHAR), lang, source, CAST(n_chars AS VARCHAR), text]) AS v FROM documents
-), typed AS (SELECT col, v, CASE WHEN v IS NULL THEN 'null' WHEN native <> '' THEN native ELSE """ + TYPE + " END AS t FROM c\n), p AS (" + PROFILE + """)
-SELECT sha256('{"columns": {' || string_agg('"' || "column" || '": "' || types || '"', ', ' ORDER BY "column") || '}, "family": "tabular"}') AS fingerprint, count(*) AS columns FROM p""")
+@query("""WITH d AS (SELECT doc_id, text, lang, source, n_chars, CAST(doc_id AS VARCHAR) AS digits, CASE WHEN doc_id % 2 = 0 THEN 1.5 END AS half FROM documents
+), c AS (SELECT unnest(['digits', 'doc_id', 'gr\\u00f6\\u00dfe', 'lang', 'n_chars', 'source', 'text']) AS name, unnest(['string', 'integer', 'number', 'string', 'integer', 'string', 'string']) AS native, unnest([digits IS NULL, doc_id IS NULL, half IS NULL, lang IS NULL, n_chars IS NULL, source IS NULL, text IS NULL]) AS missing FROM d
+), t AS (SELECT name, CASE WHEN NOT bool_or(missing) THEN '"' || min(native) || '"' WHEN bool_and(missing) THEN '"null"' ELSE '["' || array_to_string(list_sort(['null', min(native)]), '", "') || '"]' END AS types FROM c GROUP BY name)
+SELECT sha256('{"columns": {' || string_agg('"' || name || '": ' || types, ', ' ORDER BY name) || '}, "family": "tabular"}') AS fingerprint, count(*) AS columns FROM t""")
 def f24_schema_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return P.schema_fingerprint(_docs(spark, d))
+    """Native types: digits in strings stay strings, a column with nulls has two types; names beyond ASCII are escaped."""
+    half = F.when(F.col("doc_id") % 2 == 0, F.lit(1.5))
+    return P.schema_fingerprint(_docs(spark, d).withColumn("digits", F.col("doc_id").cast("string")).withColumn("größe", half))
 
 
 @query(FILES + f"SELECT {KIND} AS detected_type, source, count(*) AS n FROM files GROUP BY ALL ORDER BY n DESC, detected_type, source LIMIT 200")
@@ -404,10 +444,16 @@ def w3_window_sample(spark: SparkSession, d: str) -> DataFrame:
     return S.zones(read(spark, d, "events").select("user_id", "event_id"), ["user_id"], ["event_id"]).select("event_id", "zone")
 
 
-@query("SELECT vec_id, pos, CAST(embedding[pos + 1] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, unnest([0, 9, 18, 27, 36, 45, 54, 63]) AS pos FROM embeddings)")
+@query("""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 7 = 1 THEN [] WHEN vec_id % 7 = 2 THEN embedding[1:5] ELSE embedding END AS v FROM embeddings
+), p AS (SELECT vec_id, v, unnest(CASE WHEN len(v) <= 8 THEN range(len(v)) ELSE list_transform(range(8), lambda i: CAST(round_even(i * (len(v) - 1) / 7, 0) AS BIGINT)) END) AS pos FROM e WHERE v IS NOT NULL)
+SELECT vec_id, CAST(pos AS INT) AS pos, CAST(v[pos + 1] AS DOUBLE) AS value FROM p""")
 def w4_array_positions(spark: SparkSession, d: str) -> DataFrame:
-    at = read(spark, d, "embeddings").select("vec_id", "embedding", F.explode(S.spread(F.size("embedding"), 8)).alias("pos"))
-    return at.select("vec_id", F.col("pos").cast("int").alias("pos"), F.get("embedding", F.col("pos").cast("int")).cast("double").alias("value"))
+    """Some vectors are null, empty or short."""
+    m = F.col("vec_id") % 7
+    v = F.when(m == 0, F.lit(None)).when(m == 1, F.array().cast("array<float>")).when(m == 2, F.slice("embedding", 1, 5)).otherwise(F.col("embedding"))
+    e = read(spark, d, "embeddings").select("vec_id", v.alias("v"))
+    at = e.select("vec_id", "v", F.explode(S.spread(F.when(F.col("v").isNotNull(), F.size("v")), 8)).alias("pos"))
+    return at.select("vec_id", F.col("pos").cast("int").alias("pos"), F.get("v", F.col("pos").cast("int")).cast("double").alias("value"))
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5")
@@ -449,6 +495,14 @@ def w11_greedy_quota(spark: SparkSession, d: str) -> DataFrame:
     return S.greedy_quota(_docs(spark, d), "source", "doc_id", "n_chars", 20000).select("doc_id", "accepted")
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS nth, sum(user_id) OVER (ORDER BY event_id) <= 100000 AS accepted FROM events")
+def w9_w10_one_group(spark: SparkSession, d: str) -> DataFrame:
+    """All events are one group: numbered and summed up in ranges of their order."""
+    e = read(spark, d, "events").select("event_id", "user_id", F.lit("all").alias("of"))
+    summed = S.running_budget(e, ["of"], ["event_id"], "user_id", 100000).select("event_id", "accepted")
+    return S.occurrence_index(e, ["of"], ["event_id"]).select("event_id", F.col("occurrence").alias("nth")).join(summed, "event_id")
+
+
 @query("SELECT doc_id, CASE WHEN n_chars > 5000 THEN 'too_large' END AS rejection FROM documents")
 def w12_item_limit(spark: SparkSession, d: str) -> DataFrame:
     return S.item_limit(_docs(spark, d).select("doc_id", "n_chars"), "n_chars", 5000).drop("n_chars")
@@ -467,24 +521,28 @@ def q5_extraction_status(spark: SparkSession, d: str) -> DataFrame:
     return Q.extraction_status(C.inspect(files(spark, d)), 4096)
 
 
-@query(PARTS + """SELECT upload_id, size, greatest((size + 1023) // 1024, 1) AS expected, count(*) AS arrived, count(etag) AS acknowledged,
-  CAST(sum(CASE WHEN etag IS NOT NULL THEN bytes ELSE 0 END) AS BIGINT) AS bytes,
-  count(*) = greatest((size + 1023) // 1024, 1) AND count(etag) = count(*) AND max(part) = count(*) AND sum(bytes) = size AS complete FROM p GROUP BY upload_id, size""")
+@query(PARTS + """SELECT upload_id, size, greatest((size + 1023) // 1024, 1) AS expected, count(*) AS arrived, count(*) FILTER (good) AS acknowledged,
+  CAST(coalesce(sum(bytes) FILTER (good), 0) AS BIGINT) AS bytes,
+  count(*) = greatest((size + 1023) // 1024, 1) AND bool_and(good) AND max(part) = count(*) AND sum(bytes) = size AS complete FROM ok GROUP BY upload_id, size""")
 def u4_upload_complete(spark: SparkSession, d: str) -> DataFrame:
     return K.upload_status(upload_parts(spark, d))
 
 
-@query(PARTS + ", e AS (SELECT upload_id, unnest(range(1, greatest((size + 1023) // 1024, 1) + 1)) AS part FROM sized) SELECT upload_id, part FROM e ANTI JOIN (SELECT * FROM p WHERE etag IS NOT NULL) a USING (upload_id, part)")
+@query(PARTS + ", e AS (SELECT upload_id, unnest(range(1, greatest((size + 1023) // 1024, 1) + 1)) AS part FROM sized) SELECT upload_id, part FROM e ANTI JOIN (SELECT * FROM ok WHERE good) a USING (upload_id, part)")
 def u6_resume_plan(spark: SparkSession, d: str) -> DataFrame:
     sessions = _docs(spark, d).select(F.col("doc_id").alias("upload_id"), F.octet_length("text").cast("long").alias("size"))
     return K.missing_parts(upload_parts(spark, d), sessions)
 
 
-@query(PARTS + "SELECT upload_id, sha256(string_agg(part || ':' || coalesce(etag, ''), ',' ORDER BY part)) AS identity FROM p GROUP BY upload_id")
+@query(PARTS + """, h AS (SELECT upload_id, '["' || string_agg(sha256(upload_id || ':' || part), '","' ORDER BY part) || '"]' AS hashes FROM p GROUP BY upload_id)
+SELECT doc_id AS upload_id, sha256('["' || source || '/' || doc_id || '",' || strlen(text) || ',' || doc_id * 1000 || ',' || CASE WHEN doc_id % 2 = 0 THEN '"m' || doc_id || '"' ELSE 'null' END || ',' || doc_id % 3 || ',' || coalesce(hashes, '[]') || ']') AS identity FROM documents LEFT JOIN h ON doc_id = upload_id""")
 def u7_chunk_identity(spark: SparkSession, d: str) -> DataFrame:
-    return K.chunk_identity(upload_parts(spark, d))
+    i = F.col("doc_id")
+    f = _docs(spark, d).select(i.alias("upload_id"), F.concat_ws("/", "source", i.cast("string")).alias("path"), F.octet_length("text").cast("long").alias("size"), (i * 1000).alias("modified"), F.when(i % 2 == 0, F.concat(F.lit("m"), i.cast("string"))).alias("mapped_name"), (i % 3).alias("occurrence"))
+    parts = upload_parts(spark, d).select("upload_id", "part", F.sha2(F.concat_ws(":", "upload_id", "part"), 256).alias("sha256"))
+    return K.chunk_identity(parts, f)
 
 
-@query(PARTS + "SELECT upload_id % 10 AS shard, round(sum(CASE WHEN etag IS NOT NULL THEN least(1024, size - (part - 1) * 1024) ELSE 0 END) / sum(least(1024, size - (part - 1) * 1024)), 4) AS progress FROM p GROUP BY 1")
+@query(PARTS + "SELECT upload_id % 10 AS shard, round(sum(CASE WHEN good THEN least(1024, size - (part - 1) * 1024) ELSE 0 END) / sum(least(1024, size - (part - 1) * 1024)), 4) AS progress FROM ok GROUP BY 1")
 def u8_transfer_progress(spark: SparkSession, d: str) -> DataFrame:
     return K.transfer_progress(upload_parts(spark, d).withColumn("shard", F.col("upload_id") % 10), ["shard"])
\ No newline at end of file

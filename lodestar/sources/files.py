@@ -4,17 +4,41 @@ from __future__ import annotations
 
 import io
 import zipfile
+from pathlib import Path
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lodestar.functions.content import is_xml
 from lodestar.functions.values import unsafe_member
 
 
-def scan_files(spark: SparkSession, folder: str, pattern: str = "*.[dD][aA][tT]") -> DataFrame:
-    """Files below a folder whose name fits: path, length, modificationTime, content. Dropping content reads no bytes."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+def scan_files(spark: SparkSession, source: str, pattern: str = "*.[dD][aA][tT]", output: str | None = None) -> DataFrame:
+    """Files below a folder whose name fits, or one file named directly, whatever its name: path, length, modificationTime, content, in order of path.
+
+    Files below `output`, a folder of results inside the source, are left out, and symbolic links to folders are not
+    followed. Dropping content reads no bytes.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if not store.getFileStatus(path).isFile():
+        reader = reader.option("pathGlobFilter", pattern)
+    found = reader.load(source)
+    for inside in [*([store.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(output)).toString()] if output else []), *_linked(spark, source)]:
+        found = found.where(~F.startswith(F.col("path"), F.lit(inside.rstrip("/") + "/")))
+    return found.orderBy("path")
+
+
+def _linked(spark: SparkSession, source: str) -> list[str]:
+    """Symbolic links to folders below a local one; other stores have none."""
+    if not spark._jvm.org.apache.hadoop.fs.Path(source).getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file":
+        return []
+    top = Path(source.removeprefix("file://"))
+    return [f"file:{d / n}" for d, names, others in top.walk() for n in (*names, *others) if (d / n).is_symlink() and (d / n).is_dir()] if top.is_dir() else []
 
 
 def archive_members(archives: DataFrame) -> DataFrame:
@@ -48,6 +72,37 @@ def xml_rows(files: DataFrame, row_tag: str, fields: str) -> DataFrame:
     return files.select("file_id", F.inline(parsed[row_tag]))
 
 
+@F.pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
+def _children(texts: pd.Series) -> pd.Series:
+    """Children of the root as maps; of a root without children, one map with all of its text."""
+
+    def one(text: str | None):
+        if text is None:
+            return None
+        root = ElementTree.fromstring(text)
+        found = []
+        for child in root:
+            record = {"tag": child.tag, **child.attrib, **{node.tag: (node.text or "").strip() for node in child}}
+            if not len(child):
+                record["text"] = child.text or ""
+            found.append(record)
+        return found or [{"text": " ".join(root.itertext())[:2048]}]
+
+    return texts.map(one)
+
+
+def xml_records(files: DataFrame) -> DataFrame:
+    """(file_id, content) of any XML -> file_id, row_no, record (map): a row per child of the root, in order; no schema is needed.
+
+    A record has the child's tag, its attributes and the trimmed text of each of its own children by their tags, the last
+    of a tag counting; a child without children has its text instead. A root without children is one record with its
+    text, cut to 2,048 characters. What is no XML by Spark's parser, and null, gives no rows. Values stay texts: 001 is
+    not 1, which is why this isn't Spark's own conversion to VARIANT.
+    """
+    told = files.select("file_id", F.when(is_xml(F.col("content")), F.regexp_replace("content", r"^\s+", "")).alias("content")).where("content is not null")
+    return told.select("file_id", F.posexplode(_children("content")).alias("row_no", "record"))
+
+
 def load_name_map(texts: Column) -> Column:
     """JSON texts -> map of names to non-blank names of at most 1,000 characters; null unless every pair is valid."""
     pairs = F.from_json(texts, "map<string,string>")

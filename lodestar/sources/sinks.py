@@ -66,12 +66,24 @@ def first_per_shape(schemas: DataFrame, order: str) -> DataFrame:
 
 
 def write_schema_per_shape(schemas: DataFrame, order: str, path: str) -> None:
+    """One JSON document per fingerprint, the first by `order`; an existing path is refused."""
     first_per_shape(schemas, order).write.mode("errorifexists").json(path)
 
 
-def append_items(items: DataFrame, path: str, last: int = -1) -> None:
-    """Append items with a sequence that rises beyond `last`: gaps are allowed, and no task sees all rows."""
-    items.withColumn("sequence", F.lit(last + 1).cast("long") + F.monotonically_increasing_id()).write.mode("append").parquet(path)
+def append_items(items: DataFrame, path: str, order: list[str]) -> None:
+    """Append items with a sequence that goes on without a gap from what is there, in the order of arrival given by the columns `order`.
+
+    Rows are numbered inside ranges of their order, each range behind the rows counted before it; no task sees all of
+    them. One writer at a time, as for any appended Parquet table.
+    """
+    from lodestar.operators.ordered import numbered
+
+    spark = items.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    last = spark.read.parquet(path).agg(F.coalesce(F.max("sequence"), F.lit(-1))).first()[0] if there else -1
+    placed = numbered(items, [], order, "sequence")
+    placed.withColumn("sequence", F.col("sequence") + F.lit(last + 1).cast("long")).write.mode("append").parquet(path)
 
 
 def backup(catalogue: DataFrame, originals: DataFrame, path: str) -> DataFrame:

@@ -32,13 +32,14 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upload_parts(spark: SparkSession, sf_dir: str, chunk: int = 1024) -> DataFrame:
-    """upload_id, size, part, etag (null: none), bytes (its own size) of the parts that arrived; some are a byte short."""
+    """upload_id, size, part, etag (null or blank: none), bytes (its own size) of the parts that arrived; some are a byte short."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("upload_id"), F.octet_length("text").cast("long").alias("size"))
     short = F.when((F.col("upload_id") + F.col("part")) % 23 == 0, 1).otherwise(0)
     n = F.greatest(F.ceil(F.col("size") / chunk), F.lit(1))
     parts = d.select("*", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long"))).alias("part")).where((F.col("upload_id") + F.col("part")) % 17 != 0)
     parts = parts.withColumn("bytes", F.greatest(F.lit(0).cast("long"), F.least(F.lit(chunk).cast("long"), F.col("size") - (F.col("part") - 1) * chunk) - short))
-    return parts.withColumn("etag", F.when((F.col("upload_id") + F.col("part")) % 19 != 0, F.concat(F.lit("e"), F.col("part").cast("string"))))
+    at = F.col("upload_id") + F.col("part")
+    return parts.withColumn("etag", F.when(at % 37 == 0, " ").when(at % 19 != 0, F.concat(F.lit("e"), F.col("part").cast("string"))))
 
 
 def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,51 @@ def register(stream: DataFrame, shape: Callable[[DataFrame], DataFrame], path: s
     return spark.read.schema(out.schema).parquet(f"{path}/table")
 
 
+def register_batches(stream: DataFrame, shape: Callable[[DataFrame], DataFrame], batch_id: str, path: str, failed: str = "false") -> None:
+    """Register a stream's records micro-batch by micro-batch into an open batch.
+
+    Each micro-batch writes its records to a folder of its own, named by Spark's number for it, and then its counters:
+    finished rows, and broken ones (the SQL condition `failed` on the shaped rows). A micro-batch that fails leaves the
+    batch interrupted and raises; run again from the checkpoint, it has the same number and the same records and
+    overwrites both, so nothing counts twice. Read with registered() and batch_progress().
+    """
+    spark = stream.sparkSession
+
+    def note(epoch: int, state: str, finished: int, broken: int) -> None:
+        row = spark.createDataFrame([(batch_id, epoch, state, finished, broken)], PROGRESS)
+        row.drop("epoch").coalesce(1).write.mode("overwrite").parquet(f"{path}/counters/epoch={epoch}")
+
+    def write(df: DataFrame, epoch: int) -> None:
+        try:
+            shape(df).write.mode("overwrite").parquet(f"{path}/table/epoch={epoch}")
+            there = spark.read.parquet(f"{path}/table/epoch={epoch}")
+            finished, broken = there.agg(F.count_if(~F.coalesce(F.expr(failed), F.lit(False))), F.count_if(F.expr(failed))).first()
+        except Exception:
+            note(epoch, "interrupted", 0, 0)
+            raise
+        note(epoch, "open", finished, broken)
+
+    run = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+
+
+PROGRESS = "batch_id string, epoch long, state string, finished long, broken long"
+
+
+def registered(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all micro-batches that were counted; those of an interrupted one are left out until it is repeated."""
+    counted = spark.read.option("basePath", f"{path}/counters").parquet(f"{path}/counters").where("state = 'open'").select("epoch")
+    table = spark.read.option("basePath", f"{path}/table").parquet(f"{path}/table")
+    return table.join(counted, "epoch", "left_semi").drop("epoch")
+
+
+def batch_progress(spark: SparkSession, path: str) -> DataFrame:
+    """One row per batch: micro-batches, finished, broken, state: interrupted while one of its micro-batches is, else completed."""
+    seen = spark.read.option("basePath", f"{path}/counters").parquet(f"{path}/counters")
+    out = seen.groupBy("batch_id").agg(F.count_if(F.col("state") == "open").alias("micro_batches"), F.sum("finished").alias("finished"), F.sum("broken").alias("broken"), F.count_if(F.col("state") == "interrupted").alias("_cut"))
+    return out.withColumn("state", F.when(F.col("_cut") > 0, "interrupted").otherwise("completed")).drop("_cut")
+
+
 def batch_state(registered: DataFrame) -> DataFrame:
     """Registered items (batch_id, status) -> batch_id, finished, broken, state: interrupted if any broke, else completed."""
     out = registered.groupBy("batch_id").agg(F.count_if(F.col("status") == "ok").alias("finished"), F.count_if(F.col("status") != "ok").alias("broken"))

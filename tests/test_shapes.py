@@ -164,11 +164,11 @@ def test_written_tables(spark, tmp_path):
     W.write_by_category(files.join(seen.select("file_id", "category"), "file_id"), str(tmp_path / "c"))
     assert (tmp_path / "c" / "category=text" / "source=s").is_dir()
     items = spark.createDataFrame([("b", 1), ("b", 2)], "batch_id string, file_id int")
-    W.append_items(items, str(tmp_path / "i"))
-    top = spark.read.parquet(str(tmp_path / "i")).agg(F.max("sequence")).first()[0]
-    W.append_items(items, str(tmp_path / "i"), top)
-    seq = [r[0] for r in spark.read.parquet(str(tmp_path / "i")).select("sequence").collect()]
-    assert len(set(seq)) == 4 and sum(x > top for x in seq) == 2
+    W.append_items(items, str(tmp_path / "i"), ["file_id"])
+    W.append_items(items, str(tmp_path / "i"), ["file_id"])
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "i")).select("sequence", "file_id").collect()) == [(0, 1), (1, 2), (2, 1), (3, 2)]
+    W.write_schema_per_shape(spark.createDataFrame([(2, "x"), (1, "x"), (3, None)], "file_id int, fingerprint string"), "file_id", str(tmp_path / "s"))
+    assert [(r["fingerprint"], r["file_id"]) for r in spark.read.json(str(tmp_path / "s")).collect()] == [("x", 1)]
 
 
 def test_incremental(spark):
@@ -238,7 +238,7 @@ def test_schema_candidates(spark):
     assert got["faithful"]["properties"]["User Key"] == {"type": "integer", "x-observed-types": {"integer": 2}}
     assert got["faithful"]["properties"]["none"]["type"] == "null"
     tidy = got["analytics"]["properties"]
-    assert tidy["user_key"]["x-source-column"] == "User Key" and tidy["user_key_2"] == {"type": ["integer", "null"], "x-source-column": "user-key"}
+    assert tidy["user_key"]["x-source-column"] == "User Key" and tidy["user_key_2"] == {"type": ["integer", "null"], "x-source-column": "user-key", "x-transform": "proposed; originals and sample values are unchanged"}
     assert tidy["day"]["format"] == "date" and "format" not in tidy["none"]
     assert got["semantic"]["x-field-roles"]["day"]["role"] == "time" and got["semantic"]["required"] == []
     assert all(s["properties"] == {} for s in (json.loads(r["schema"]) for r in N.schema_candidates(df.limit(0)).collect()))
