@@ -42,7 +42,7 @@ def build(items: DataFrame, fan: int = 3, levels: int = LEVELS, scratch: Scratch
     """(tree, pos, node, n) -> (nodes, roots): the trees over items in order of pos, from 0 without gaps; n is the items of the tree.
 
     nodes: tree, step, pos, parent (place of the ancestor `levels` up, or of the tree's root if nearer) and path: for
-    every level in between, the texts of the run's siblings before and after. roots: tree, height, steps (node rows
+    every level in between, the digests (bytes) of the run's siblings before and after. roots: tree, height, steps (node rows
     from an item to the root), node. Nodes of one step group fan ** levels items, so a group is bounded and the passes
     are few; the last run of a level may be shorter, down to one node, which is hashed like any other.
     """
@@ -64,8 +64,8 @@ def build(items: DataFrame, fan: int = 3, levels: int = LEVELS, scratch: Scratch
         def link(j: Column, level: int) -> Column:
             """Siblings of the item's ancestor at a level: j is the item's place in its group."""
             own, from_ = F.floor(j / fan**level).cast("int"), F.floor(j / fan ** (level + 1)).cast("int") * fan
-            before = F.array_join(F.slice(f"l{level}", from_ + 1, own - from_), "")
-            after = F.array_join(F.slice(f"l{level}", own + 2, from_ + fan - 1 - own), "")
+            before = F.unhex(F.array_join(F.slice(f"l{level}", from_ + 1, own - from_), ""))
+            after = F.unhex(F.array_join(F.slice(f"l{level}", own + 2, from_ + fan - 1 - own), ""))
             return F.when(rise > level, F.struct(before.alias("before"), after.alias("after")))
 
         linked = lambda j: F.struct((F.col("up") * block + j).alias("pos"), F.col("up").alias("parent"), F.array_compact(F.array(*[link(j, i) for i in range(levels)])).alias("path"))
@@ -75,33 +75,40 @@ def build(items: DataFrame, fan: int = 3, levels: int = LEVELS, scratch: Scratch
         now = scratch(top.select("tree", F.col("up").alias("pos"), "node", "height"))
         step += 1
     union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
-    return union(nodes) if nodes else spark.createDataFrame([], "tree long, step int, pos long, parent long, path array<struct<before:string,after:string>>"), union(roots)
+    return union(nodes) if nodes else spark.createDataFrame([], "tree long, step int, pos long, parent long, path array<struct<before:binary,after:binary>>"), union(roots)
 
 
 CLIMB = """
 WITH RECURSIVE climb (tree, leaf_pos, block, last, step, pos, folded, proof) AS (
-  SELECT tree, leaf_pos, block, last, 0, pos, start, X'' FROM {leaves}
+  SELECT l.tree, l.leaf_pos, l.block, l.last, if(n.path IS NULL, 0, 1), coalesce(n.parent, l.pos), {fold_leaf}, {siblings}
+  FROM {{leaves}} l LEFT JOIN {{first}} n ON l.tree = n.tree AND l.leaf_pos = n.pos
   UNION ALL
-  SELECT c.tree, c.leaf_pos, c.block, c.last, c.step + 1, n.parent,
-    aggregate(n.path, c.folded, (own, s) -> sha2(concat(s.before, own, s.after), 256)),
-    concat(c.proof, unhex(array_join(transform(n.path, s -> concat(s.before, s.after)), '')))
-  FROM climb c JOIN {nodes} n ON c.tree = n.tree AND c.block = n.block AND c.step = n.step AND c.pos = n.pos
+  SELECT {hint} c.tree, c.leaf_pos, c.block, c.last, c.step + 1, n.parent, {fold}, concat(c.proof, {siblings})
+  FROM climb c JOIN {{upper}} n ON c.tree = n.tree AND c.block = n.block AND c.step = n.step AND c.pos = n.pos
 )
 SELECT tree, leaf_pos, folded AS folded_root, sha2(lower(hex(proof)), 256) AS proof_sha256 FROM climb WHERE step = last"""
+_FOLD = "aggregate(coalesce(n.path, array()), {own}, (own, s) -> sha2(concat(lower(hex(s.before)), own, lower(hex(s.after))), 256))"
+_SIBLINGS = "aggregate(coalesce(n.path, array()), X'', (all, s) -> concat(all, s.before, s.after))"
+#: Node rows above the leaves that are broadcast at most: some 60 MB.
+UPPER_ROWS = 100_000
 
 
-def climb(leaves: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def climb(leaves: DataFrame, first: DataFrame, upper: DataFrame, scratch: Scratch) -> DataFrame:
     """(tree, leaf_pos, pos, block, last, start) -> (tree, leaf_pos, folded_root, proof_sha256): a recursive query that ascends from each leaf.
 
-    Every step joins the climbing rows with their parent-linked node rows, folds `start` with the siblings and appends
-    them to the proof. Node rows that many leaves pass are there once for every block of leaves, so that no key of the
-    join has more than a block of them. Spark's row limit of recursions, a million by default, is lifted meanwhile.
+    first: the leaves' own node rows (tree, pos); upper: those above (tree, block, step, pos), kept. Every step joins the
+    climbing rows with their parent-linked node rows, folds `start` with the siblings and appends them to the proof.
+    Node rows that many leaves pass are there once for every block of leaves, so that no key of the join has more than
+    a block of them; there are a few of them to several hundred leaves. Up to UPPER_ROWS are broadcast, so that the
+    climbing rows are not shuffled; beyond that they are. Spark's row limit of recursions, a million by default, is lifted meanwhile.
     """
     spark, limit = leaves.sparkSession, "spark.sql.cteRecursionRowLimit"
+    hint = "/*+ BROADCAST(n) */" if upper.count() <= UPPER_ROWS else ""
+    text = CLIMB.format(hint=hint, fold_leaf=_FOLD.format(own="l.start"), fold=_FOLD.format(own="c.folded"), siblings=_SIBLINGS)
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")
     try:
-        return scratch(spark.sql(CLIMB, leaves=leaves, nodes=nodes))
+        return scratch(spark.sql(text, leaves=leaves, first=first, upper=upper))
     finally:
         spark.conf.set(limit, before)
 
@@ -137,16 +144,17 @@ def manifest(docs: DataFrame, leaf: Column, tampered: Column, group_col: str = "
     inner = blocks.where("steps > 1").withColumn("step", F.explode(F.sequence(F.lit(1), F.col("steps") - 1)))
     inner = inner.select("tree", "block", "step", F.floor(F.col("block") / power(F.col("step") - 1)).cast("long").alias("pos")).join(nodes.where("step > 0"), ["tree", "step", "pos"])
     columns = ["tree", "block", "step", "pos", "parent", "path"]
-    inside = nodes.where("step = 0").withColumn("block", of_block).select(*columns).unionByName(inner.select(*columns)).join(ends.select("tree", "steps"), "tree")
-    turned = F.when(F.col("step") == F.col("steps") - 1, F.col("tree")).otherwise(F.col("parent"))  # a subroot is the tree's place in the tree above
-    ladder = inside.withColumn("parent", turned).select(*columns)
+    turned = F.when(F.col("step") == F.col("steps") - 1, F.col("tree")).otherwise(F.col("parent"))  # a subroot's place is that of its tree
+    turn = lambda rows: rows.join(ends.select("tree", "steps"), "tree").withColumn("parent", turned)
+    upper = turn(inner).select(*columns)
     if top_steps:
         outer = blocks.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(top_steps - 1)))).withColumn("pos", F.floor(F.col("tree") / power(F.col("_step"))).cast("long"))
         outer = outer.join(above.select(F.col("step").alias("_step"), "pos", "parent", "path"), ["_step", "pos"])
-        ladder = ladder.unionByName(outer.withColumn("step", F.col("steps") + F.col("_step")).select(*columns))
+        upper = upper.unionByName(outer.withColumn("step", F.col("steps") + F.col("_step")).select(*columns))
+    first = turn(nodes.where("step = 0")).select("tree", "pos", "parent", "path")
     start = leaves.select("tree", "pos", "block", F.coalesce("start", "node").alias("start")).join(ends, "tree")
     start = start.select("tree", F.col("pos").alias("leaf_pos"), F.when(F.col("steps") == 0, F.col("tree")).otherwise(F.col("pos")).alias("pos"), "block", "last", "start")
-    climbed = climb(start, scratch(ladder), scratch)
+    climbed = climb(start, first, scratch(upper), scratch)
     joined = leaves.select("tree", F.col("pos").alias("leaf_pos"), "id", F.col("node").alias("leaf")).join(climbed, ["tree", "leaf_pos"]).join(ends.select("tree", "subroot"), "tree")
     done, _ = keep(joined.select(F.col("id").alias(id_col), "leaf", "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == F.lit(root)).alias("verified")))
     scratch.clear()
