@@ -30,32 +30,37 @@ def net(points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     return np.array(centres, np.int64), owner
 
 
-def _covers(points: np.ndarray, radius: float) -> bool:
-    """Whether, of some evenly spread points, a quarter lies within `radius` of another: elsewhere a level would have nearly every point as a node and prune nothing."""
-    some = points[:: max(1, len(points) // 256)]
-    return len(net(some, radius)[0]) <= 0.75 * len(some)
-
-
 def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y.T)))
 
 
+def _nearest_first(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """net() of points whose pairs within the radius are known."""
+    owner, centres = np.full(len(near), -1), []
+    for i in range(len(near)):
+        if owner[i] < 0:
+            owner[near[i] & (owner < 0)] = len(centres)
+            centres.append(i)
+    return np.array(centres, np.int64), owner
+
+
 class Tree:
     """Nested levels with halving radii over unit vectors: each level's nodes are points, each covers its children.
 
-    levels[i] = (points, parent place in the level above, covering radius of all that lies below). Radii at which the
-    points hardly cover each other give no level.
+    levels[i] = (points, parent place in the level above, covering radius of all that lies below). Radii go down from one
+    at which a single node covers all to `smallest`, each half of the one above; the leaves are the points. No level is
+    left out, whatever the points.
     """
 
     def __init__(self, x: np.ndarray, smallest: float):
         n = len(x)
         chain, radius = [], smallest
-        points = np.arange(n)
-        while len(points) > 1 and radius < 2.0:
-            if _covers(x[points], radius):
-                centres, owner = net(x[points], radius)
-                chain.append((points, owner))
-                points = points[centres]
+        points, apart = np.arange(n), _distance(x, x)
+        np.fill_diagonal(apart, 0.0)
+        while len(points) > 1:
+            centres, owner = _nearest_first(apart <= radius)
+            chain.append((points, owner))
+            points, apart = points[centres], apart[np.ix_(centres, centres)]
             radius *= 2
         chain.append((points, np.zeros(len(points), np.int64)))
         self.levels = []
