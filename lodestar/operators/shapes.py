@@ -24,8 +24,8 @@ TRANSFORM = "proposed; originals and sample values are unchanged"
 
 def json_type(value: Column) -> Column:
     """null, boolean, integer, number, string, object or array of a VARIANT; a missing value (SQL null) has none."""
-    kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-    return F.when(value.isNull(), F.lit(None)).when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(kind == "BIGINT", "integer").when(kind.isin("DECIMAL", "DOUBLE", "FLOAT"), "number").when(kind == "OBJECT", "object").when(kind == "ARRAY", "array").otherwise("string")
+    kind = F.substring(F.schema_of_variant(value), 1, 3)
+    return F.when(value.isNull(), F.lit(None)).when(kind == "BIG", "integer").when(kind == "STR", "string").when(kind == "OBJ", "object").when(kind == "ARR", "array").when(kind == "VOI", "null").when(kind == "BOO", "boolean").when(kind.isin("DEC", "DOU", "FLO"), "number").otherwise("string")
 
 
 def canonical_json(value: Column) -> Column:
@@ -34,21 +34,20 @@ def canonical_json(value: Column) -> Column:
 
 
 def paths(df: DataFrame, value: str, depth: int = 5) -> DataFrame:
-    """One row per (path, parent, key, steps, level, type) with n, over all records of a VARIANT column.
+    """One row per (path, parent, key, level, type) with n, over all records of a VARIANT column.
 
     One scan: every level is exploded beside its parent, and a node is counted on its first descendant's row only. The
     counts are combined before the only shuffle. `[]` marks array items; `$` is the root; keys that are empty or
-    hold a dot, bracket, quote or backslash are quoted as in JSON; null records are left out. steps are the keys from
-    the root, in order, those of array items behind all names. Levels below `depth` are not entered.
+    hold a dot, bracket, quote or backslash are quoted as in JSON; null records are left out. Levels below
+    `depth` are not entered.
     """
     spark = df.sparkSession
-    cur = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v0"), F.lit("$").alias("_p0"), F.array().cast("array<struct<item:boolean,key:string>>").alias("_s0"))
+    cur = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v0"), F.lit("$").alias("_p0"))
     for i in range(1, depth + 1):
         step = spark.tvf.variant_explode_outer(F.col(f"_v{i - 1}").outer()).toDF("_pos", "_key", "_value")
         special = (F.col("_key") == "") | F.regexp_like("_key", F.lit(r'[.\[\]"\\]'))
         name = F.when(F.col("_pos").isNull(), F.lit(None)).when(F.col("_key").isNull(), F.concat(f"_p{i - 1}", F.lit("[]"))).otherwise(F.concat(f"_p{i - 1}", F.lit("."), F.when(special, _quoted(F.col("_key"))).otherwise(F.col("_key"))))
-        steps = F.array_append(f"_s{i - 1}", F.struct(F.col("_key").isNull().alias("item"), F.coalesce("_key", F.lit("")).alias("key")))
-        cur = cur.lateralJoin(step, how="left").select(*[c for c in cur.columns if c != f"_v{i - 1}"], json_type(F.col(f"_v{i - 1}")).alias(f"_t{i - 1}"), F.col("_pos").alias(f"_i{i}"), F.col("_key").alias(f"_k{i}"), name.alias(f"_p{i}"), F.col("_value").alias(f"_v{i}"), F.when(F.col("_pos").isNotNull(), steps).alias(f"_s{i}"))
+        cur = cur.lateralJoin(step, how="left").select(*[c for c in cur.columns if c != f"_v{i - 1}"], json_type(F.col(f"_v{i - 1}")).alias(f"_t{i - 1}"), F.col("_pos").alias(f"_i{i}"), F.col("_key").alias(f"_k{i}"), name.alias(f"_p{i}"), F.col("_value").alias(f"_v{i}"))
     cur = cur.withColumn(f"_t{depth}", json_type(F.col(f"_v{depth}")))
     nodes = []
     for i in range(depth + 1):
@@ -56,17 +55,21 @@ def paths(df: DataFrame, value: str, depth: int = 5) -> DataFrame:
         for j in range(i + 1, depth + 1):
             first = first & (F.coalesce(f"_i{j}", F.lit(0)) == 0)
         parent, key = (F.col(f"_p{i - 1}"), F.col(f"_k{i}")) if i else (F.lit(None).cast("string"), F.lit(None).cast("string"))
-        nodes.append(F.when(first, F.struct(F.col(f"_p{i}").alias("path"), parent.alias("parent"), key.alias("key"), F.col(f"_s{i}").alias("steps"), F.lit(i).alias("level"), F.col(f"_t{i}").alias("type"))))
-    return cur.select(F.inline(F.array_compact(F.array(*nodes)))).groupBy("path", "parent", "key", "steps", "level", "type").agg(F.count("*").alias("n"))
+        nodes.append(F.when(first, F.struct(F.col(f"_p{i}").alias("path"), parent.alias("parent"), key.alias("key"), F.lit(i).alias("level"), F.col(f"_t{i}").alias("type"))))
+    return cur.select(F.inline(F.array_compact(F.array(*nodes)))).groupBy("path", "parent", "key", "level", "type").agg(F.count("*").alias("n"))
 
 
 def path_table(df: DataFrame, value: str, depth: int = 5) -> DataFrame:
-    """paths() written down, one row per path: types (sorted, number absorbs integer), n, objects (how many of the n are objects), counts (by type).
+    """paths() written down, one row per path: steps, types (sorted, number absorbs integer), n, objects (how many of the n are objects), counts (by type).
 
-    The records are read once, however often what is made of the table is used; it is as large as the schema.
+    steps are the keys from the root, in order, those of array items behind all names. The records are read once, however often what is made of the table is used; it is as large as the schema.
     """
-    found = paths(df, value, depth).groupBy("path", "parent", "key", "steps", "level")
-    return kept(found.agg(type_union(F.collect_set("type")).alias("types"), F.sum("n").alias("n"), F.sum(F.when(F.col("type") == "object", F.col("n")).otherwise(0)).alias("objects"), F.array_sort(F.collect_list(F.struct("type", "n"))).alias("counts")))
+    found = paths(df, value, depth).groupBy("path", "parent", "key", "level")
+    tokens = F.regexp_extract_all("path", F.lit(r'\[\]|\.("(?:[^"\\]|\\.)*"|[^.\[]*)'), F.lit(0))
+    plain = lambda t: F.when(t.startswith('."'), F.get(F.from_json(F.concat(F.lit("["), F.substring(t, 2, F.length(t)), F.lit("]")), "array<string>"), 0)).otherwise(F.substring(t, 2, F.length(t)))
+    steps = F.transform(tokens, lambda t: F.struct((t == "[]").alias("item"), F.when(t == "[]", "").otherwise(plain(t)).alias("key"))).alias("steps")
+    each = found.agg(type_union(F.collect_set("type")).alias("types"), F.sum("n").alias("n"), F.sum(F.when(F.col("type") == "object", F.col("n")).otherwise(0)).alias("objects"), F.array_sort(F.collect_list(F.struct("type", "n"))).alias("counts"))
+    return kept(each.select("*", steps))
 
 
 def nested_schema(df: DataFrame, value: str, depth: int = 5) -> DataFrame:

@@ -32,7 +32,6 @@ PARTS = """WITH sized AS (SELECT doc_id AS upload_id, CAST(strlen(text) AS BIGIN
 ITEMS = """WITH items AS (SELECT source AS batch_id, doc_id AS sequence, CASE WHEN doc_id % 13 <> 0 THEN doc_id END AS file_id, CASE WHEN doc_id % 13 = 0 THEN '{"code":"quota"}' END AS rejection FROM documents)
 """
 ANALYSES = "SELECT DISTINCT sha256(text) AS sha256, 'p1' AS policy_key FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"
-ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -219,12 +218,12 @@ def s7_json_envelope(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- profiles ------------------------------------------------------------------------------------------------------
 
-ORDER_CELLS = "WITH c AS (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority']) AS col, unnest(['integer', 'integer', 'string', 'string']) AS native, unnest([CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority]) AS v FROM orders)\n"
-
-
-@query(ORDER_CELLS + 'SELECT col AS "column", native, count(*) AS n FROM c GROUP BY ALL')
+@query("""WITH c AS (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority', 'odd']) AS col, unnest(['integer', 'integer', 'string', 'number', 'string', 'string', 'boolean']) AS native,
+  unnest([o_orderkey IS NULL, o_custkey IS NULL, o_orderstatus IS NULL, o_totalprice IS NULL, o_orderdate IS NULL, o_orderpriority IS NULL, o_orderkey % 5 = 0]) AS missing FROM orders)
+SELECT col AS "column", CASE WHEN missing THEN 'null' ELSE native END AS native, count(*) AS n FROM c GROUP BY ALL""")
 def p1_observed_types(spark: SparkSession, d: str) -> DataFrame:
-    return P.observed_types(read(spark, d, "orders"), ORDER_COLUMNS)
+    k = F.col("o_orderkey")
+    return P.observed_types(read(spark, d, "orders").withColumn("odd", F.when(k % 5 != 0, k % 2 == 1)))
 
 
 PROPOSED = f"""WITH c AS (SELECT unnest(['cell', 'day', 'moment', 'status', 'none']) AS col, unnest([CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 19 = 0 THEN '00' || o_orderkey WHEN o_orderkey % 3 = 0 THEN '.5' ELSE CAST(o_custkey AS VARCHAR) END,
@@ -257,10 +256,15 @@ def p8_column_profile(spark: SparkSession, d: str) -> DataFrame:
     return P.column_profile(_docs(spark, d), ["doc_id", "lang", "source", "n_chars", "text"])
 
 
-@query("""WITH c AS (SELECT unnest(['l_orderkey', 'l_quantity', 'l_returnflag', 'l_linestatus']) AS col, unnest(['integer', 'number', '', '']) AS native, unnest([CAST(l_orderkey AS VARCHAR), CAST(l_quantity AS VARCHAR), l_returnflag, l_linestatus]) AS v FROM lineitem
-), typed AS (SELECT col, v, CASE WHEN v IS NULL THEN 'null' WHEN native <> '' THEN native ELSE """ + TYPE + " END AS t FROM c)\n" + PROFILE)
+LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+LINE_NATIVE = ["integer"] * 4 + ["number"] * 4 + [""] * 3
+
+
+@query(f"""WITH c AS (SELECT unnest({LINE_COLUMNS}) AS col, unnest({LINE_NATIVE}) AS native, unnest([{", ".join(f"CAST({c} AS VARCHAR)" for c in LINE_COLUMNS)}]) AS v FROM lineitem
+), typed AS (SELECT col, v, CASE WHEN v IS NULL THEN 'null' WHEN native <> '' THEN native ELSE {TYPE} END AS t FROM c)
+""" + PROFILE)
 def p8_lineitem_profile(spark: SparkSession, d: str) -> DataFrame:
-    return P.column_profile(read(spark, d, "lineitem"), ["l_orderkey", "l_quantity", "l_returnflag", "l_linestatus"])
+    return P.column_profile(read(spark, d, "lineitem"))
 
 
 @query(CELLS + f", typed AS (SELECT 'v' AS col, v, {TYPE} AS t FROM cells)\n" + PROFILE)
