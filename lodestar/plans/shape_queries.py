@@ -263,7 +263,7 @@ def s8_xml_records(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", "row_no", at("tag").alias("tag"), at("id").alias("id"), at("source").alias("source"), at("text").alias("leaf"))
 
 
-@query("SELECT doc_id, sha256(text) AS text_sha256, false AS ragged FROM documents")
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, false AS ragged FROM documents")
 def t5_large_files(spark: SparkSession, d: str) -> DataFrame:
     """All documents as one quoted column of written files, read as delimited text by ranges: line ends inside quotes fall on both sides of cuts."""
     path, i = W.shared_folder(spark), F.col("doc_id").cast("string")
