@@ -71,6 +71,10 @@ def sum_in_ranges(rows: DataFrame, group: list[str], order: list[str], size: str
     return _with_offsets(rows, group, F.col(size)).withColumn(name, here + F.coalesce("_before", F.lit(0))).drop("_before", "_total")
 
 
+#: Rows of an owner that still fit into what is left of its quota, from which on they are folded at once.
+FINISH = 50_000
+
+
 def _fold(sizes: list, left: int, ok: list) -> int:
     for s in sizes:
         fits = (s or 0) <= left
@@ -79,13 +83,14 @@ def _fold(sizes: list, left: int, ok: list) -> int:
     return left
 
 
-def quota_entries(rows: DataFrame, owner: str, order: str, size: str, quota: int) -> tuple[list[tuple], int]:
+def quota_entries(rows: DataFrame, owner: str, order: str, size: str, quota: int, finish: int = FINISH) -> tuple[list[tuple], int]:
     """ranged() rows -> (owner, range, what is left of the quota where the range begins) of owners that reach over several ranges, and the rounds it took.
 
     A round takes, for every owner, the rows behind the last settled range that still fit into what is left. Their sums
     by range tell the first range in which they overflow; before it all of them are accepted, so that range's entry and
     those before are known. Only that range is folded row by row. Each round settles at least one more range of every
-    owner; owners all of whose remaining rows fit, or none, are done. The lists hold a few numbers a range.
+    owner; owners all of whose remaining rows fit, or none, are done. An owner of whose rows no more than `finish` still
+    fit, which a filled quota soon brings about, has these folded at once. The lists hold a few numbers a range.
     """
     spark = rows.sparkSession
     wide = _offsets(rows, [owner], F.lit(1)).select(F.col("_g0").alias("o"), F.col("_at").alias("r")).collect()
@@ -99,9 +104,24 @@ def quota_entries(rows: DataFrame, owner: str, order: str, size: str, quota: int
         rounds += 1
         now = F.broadcast(spark.createDataFrame([(o, r, left) for o, (r, left) in state.items()], f"_o {kind}, _done int, _left long"))
         live = rows.join(now, F.col(owner).eqNullSafe(F.col("_o"))).where((F.col("_range") > F.col("_done")) & (F.coalesce(size, F.lit(0)) <= F.col("_left")))
-        sums: dict = {}
-        for o, r, s in live.groupBy(owner, "_range").agg(F.sum(F.coalesce(size, F.lit(0))).alias("s")).collect():
+        sums, fitting = {}, {}
+        for o, r, s, n in live.groupBy(owner, "_range").agg(F.sum(F.coalesce(size, F.lit(0))).alias("s"), F.count("*").alias("n")).collect():
             sums.setdefault(o, {})[r] = s
+            fitting[o] = fitting.get(o, 0) + n
+        few = [o for o in state if fitting.get(o, 0) <= finish and sum(sums.get(o, {}).values()) > state[o][1]]
+        if few:
+            these = F.broadcast(spark.createDataFrame([(o,) for o in few], f"_f {kind}"))
+            item = F.struct(F.col("_range").alias("r"), F.col(order).alias("k"), F.coalesce(size, F.lit(0)).cast("long").alias("s"))
+            listed = live.join(these, F.col(owner).eqNullSafe(F.col("_f"))).groupBy("_o", "_left").agg(F.array_sort(F.collect_list(item)).alias("l"))  # at most `finish` rows
+            start = F.struct(F.col("_left").alias("left"), F.array().cast("array<struct<r:int,left:bigint>>").alias("ends"))
+            after = lambda a, x: F.when(x["s"] <= a["left"], a["left"] - x["s"]).otherwise(a["left"])
+            used = F.aggregate("l", start, lambda a, x: F.struct(after(a, x).alias("left"), F.when(x["s"] <= a["left"], F.array_append(a["ends"], F.struct(x["r"].alias("r"), after(a, x).alias("left")))).otherwise(a["ends"]).alias("ends")))
+            last = F.map_from_entries(F.transform(F.array_distinct(F.transform("e", lambda x: x["r"])), lambda r: F.struct(r.alias("r"), F.array_min(F.transform(F.filter("e", lambda x: x["r"] == r), lambda x: x["left"])).alias("left"))))
+            for o, ends in listed.select("_o", used["ends"].alias("e")).select("_o", last).collect():
+                done, left = state.pop(o)
+                for r in sorted(x for x in places[o] if x > done):
+                    entries.append((o, r, left))
+                    left = ends.get(r, left)
         broken = {}
         for o, (done, left) in list(state.items()):
             at = left

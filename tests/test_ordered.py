@@ -63,8 +63,10 @@ def test_greedy_quota_over_ranges(spark):
     falling = [("o", i, 100 - i // 2 if i % 2 else 1) for i in range(180)]  # a row that no longer fits after every row that does
     df = spark.createDataFrame(falling, "g string, k long, s long")
     ranged = O.ranged(df, ["g", "k"], 6)
-    entries, rounds = O.quota_entries(ranged, "g", "k", "s", 100)
+    entries, rounds = O.quota_entries(ranged, "g", "k", "s", 100, finish=0)
     assert 1 < rounds <= 6 and len(entries) == 6
+    at_once, one = O.quota_entries(ranged, "g", "k", "s", 100)
+    assert one == 1 and sorted(at_once) == sorted(entries)
     got = {r["k"]: r["accepted"] for r in O.greedy_quota(df, "g", "k", "s", 100, ranges=6).collect()}
     assert got == dict(fold([(k, s) for _, k, s in falling], 100))
     assert O.greedy_quota(df.limit(0), "g", "k", "s", 5).count() == 0
