@@ -31,3 +31,7 @@ def long_pages(spark, folder, name):
 def test_long_pages_are_html(spark, tmp_path):
     got = {r[0]: r[5] for r in long_pages(spark, tmp_path, "f10_inspect")}
     assert [got[1000000 + i] for i in range(5)] == ["html", "html", "html", "text", "text"]
+
+
+def test_status_counts_with_long_pages(spark, tmp_path):
+    assert (None, None, "html", 3.0) in [(*r[:3], float(r[3])) for r in long_pages(spark, tmp_path, "a1_status_counts")]
