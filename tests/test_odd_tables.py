@@ -41,3 +41,7 @@ def test_catalog_totals_with_long_pages(spark, tmp_path):
     """Every page of the SQL's is to review; so these all open like HTML."""
     pages = [(i, f"http://x/{i}", "<html>" + "x" * n) for i, n in enumerate([10, 65530, 65531, 200000])]
     assert agree(spark, tmp_path, "a3_catalog_totals", documents=([(1, "a text", "en", "web", 6)], DOCUMENTS), pages=(pages, PAGES)) == [(5, 0, 4)]
+
+
+def test_summary_with_long_pages(spark, tmp_path):
+    assert long_pages(spark, tmp_path, "k2_summary") == [("ok:6", "text:6", "html:3,text:3")]
