@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,7 +15,10 @@ from lodestar.sources.sinks import shared_folder
 EVENTS = "upload_id long, kind string, size long, part long, bytes long, etag string"
 #: The state store that such processors need.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_STATE = "size long, told boolean, parts array<long>, sizes array<long>, acknowledged array<boolean>"
+#: Uploads whose ids differ in their last bits only share a state, which is read and written once for all of them: 2 ** 5 at most.
+GROUP_BITS = 5
+#: Of a group: id, size, told, due time of a timer and number of parts of each upload; then the parts of all, one upload after the other.
+_STATE = "ids array<long>, of array<long>, told array<boolean>, due array<long>, counts array<int>, parts array<long>, sizes array<long>, acknowledged array<boolean>"
 _TOLD = "upload_id long, event string, size long"
 
 
@@ -23,41 +26,63 @@ def uploads(chunk: int, stale_seconds: int) -> StatefulProcessor:
     """The processor; its class is made here so that it travels to workers by value, which need not have this package."""
 
     class Uploads(StatefulProcessor):
-        """State of one upload: its size, the parts that arrived, whether it is complete, and a timer while it is finalizing."""
+        """State of a group of uploads: of each its size, the parts that arrived, whether it is complete, and when it is stale while it is finalizing."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle, self.state = handle, handle.getValueState("upload", _STATE)
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            size, told, *kept = self.state.get() if self.state.exists() else (None, False, [], [], [])
-            parts = {p: (n, ok) for p, n, ok in zip(*kept)}
-            for frame in rows:
-                for kind, of, part, n, etag in zip(frame["kind"], frame["size"], frame["part"], frame["bytes"], frame["etag"]):
-                    if kind == "open" and not pd.isna(of):
-                        size = int(of) if size is None else size
-                    elif kind == "part" and not told and not pd.isna(part):
-                        if not parts.get(int(part), (0, False))[1]:
-                            parts[int(part)] = (0 if pd.isna(n) else int(n), isinstance(etag, str) and bool(etag.strip()))
-                    elif kind in ("finalizing", "completed"):
-                        for at in list(self.handle.listTimers()):
-                            self.handle.deleteTimer(at)
-                        if kind == "finalizing":
-                            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + stale_seconds * 1000)
-            whole = not told and size is not None and self._whole(size, parts)
-            if told or whole:
-                parts = {}
-            numbers = sorted(parts)
-            self.state.update((size, told or whole, numbers, [parts[p][0] for p in numbers], [parts[p][1] for p in numbers]))
-            if whole:
-                yield pd.DataFrame({"upload_id": [key[0]], "event": ["complete"], "size": [size]})
+            self.handle, self.state = handle, handle.getValueState("uploads", _STATE)
+
+        def _load(self) -> dict:
+            """Per upload: [size, told, due, {part: (bytes, acknowledged)}]."""
+            found = self.state.get()
+            if not found:
+                return {}
+            parts = iter(zip(*found[5:]))
+            return {i: [size, told, due, {p: (n, ok) for p, n, ok in islice(parts, count)}] for i, size, told, due, count in zip(*found[:5])}
+
+        def _save(self, group: dict) -> None:
+            sizes, told, due, kept = zip(*group.values())
+            parts = [(p, n, ok) for of in kept for p, (n, ok) in of.items()]
+            columns = [list(c) for c in zip(*parts)] if parts else [[], [], []]
+            self.state.update((list(group), list(sizes), list(told), list(due), [len(of) for of in kept], *columns))
+
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            group, touched, timer = self._load(), {}, None
+            for i, kind, of, part, n, etag, _ in rows:
+                if i not in touched:
+                    touched[i] = group.setdefault(i, [None, False, None, {}])
+                one = touched[i]
+                if kind == "open" and of is not None:
+                    one[0] = of if one[0] is None else one[0]
+                elif kind == "part" and not one[1] and part is not None:
+                    if not one[3].get(part, (0, False))[1]:
+                        one[3][part] = (n or 0, bool(etag and etag.strip()))
+                elif kind == "finalizing":
+                    one[2] = timer = timerValues.getCurrentProcessingTimeInMs() + stale_seconds * 1000
+                elif kind == "completed":
+                    one[2] = None
+            if timer is not None:
+                self.handle.registerTimer(timer)
+            whole = [i for i, (size, told, _, parts) in touched.items() if not told and size is not None and self._whole(size, parts)]
+            for i in whole:
+                group[i][1], group[i][3] = True, {}
+            self._save(group)
+            for i in whole:
+                yield Row(upload_id=i, event="complete", size=group[i][0])
 
         def _whole(self, size: int, parts: dict) -> bool:
             n = -(-size // chunk)
-            return set(parts) == set(range(1, n + 1)) and all(ok for _, ok in parts.values()) and sum(b for b, _ in parts.values()) == size
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            size = self.state.get()[0] if self.state.exists() else None
-            yield pd.DataFrame({"upload_id": [key[0]], "event": ["stale"], "size": pd.array([size], "Int64")})
+            return len(parts) == n and set(parts) == set(range(1, n + 1)) and all(ok for _, ok in parts.values()) and sum(b for b, _ in parts.values()) == size
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            """Tells those that are due; a timer of an upload that was completed or claimed again since finds none."""
+            group, at = self._load(), expiredTimerInfo.getExpiryTimeInMs()
+            stale = [i for i, one in group.items() if one[2] is not None and one[2] <= at]
+            for i in stale:
+                group[i][2] = None
+            if stale:
+                self._save(group)
+            for i in stale:
+                yield Row(upload_id=i, event="stale", size=group[i][0])
 
         def close(self) -> None:
             pass
@@ -73,7 +98,8 @@ def upload_events(events: DataFrame, chunk: int, stale_seconds: int = 120) -> Da
     may come in any order, again, or before the upload is opened. A finalizer that isn't completed within stale_seconds
     of processing time is told stale by a timer, and its upload may be claimed again. Needs STORE as the state store.
     """
-    return events.groupBy("upload_id").transformWithStateInPandas(uploads(chunk, stale_seconds), _TOLD, "Append", "ProcessingTime")
+    rows = events.select("upload_id", "kind", "size", "part", "bytes", "etag", F.shiftright("upload_id", GROUP_BITS).alias("group"))
+    return rows.groupBy("group").transformWithState(uploads(chunk, stale_seconds), _TOLD, "Append", "ProcessingTime")
 
 
 def run_uploads(events: DataFrame, chunk: int, path: str | None = None, stale_seconds: int = 120) -> DataFrame:

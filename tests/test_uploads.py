@@ -88,3 +88,51 @@ def test_gate_counts_every_other_state(spark):
     ok = lambda v, j: K.corpus_gate(items, v, j).first()["ok"]
     assert ok(verdicts("ok"), jobs("done")) and not ok(verdicts("ok", None), jobs("done"))
     assert not any(ok(verdicts("ok"), jobs("done", s)) for s in ("reader_error", "failed", "running", "new", None))
+
+
+def test_neighbouring_uploads_share_a_state(spark, tmp_path):
+    """Three runs over random parts against a loop; state is kept by groups of ids, so it is read and written seldom."""
+    import random
+
+    deal, src, out = random.Random(7), str(tmp_path / "in"), f"file://{tmp_path}/out"
+    ids = [*range(-20, 180), 10**12, 10**12 + 1]
+    size = {i: deal.randrange(0, 41) for i in ids}
+    kept, opened, want = {i: {} for i in ids}, set(), []
+    for _ in range(3):
+        sent, once = [], set()
+        for i in deal.sample(ids, 150):
+            for part in range(1, -(-size[i] // 10) + 1):
+                if deal.random() < 0.8:
+                    sent.append((i, "part", None, part, min(10, size[i] - part * 10 + 10) - (deal.random() < 0.05), deal.choice(["t", "u", "v", " ", None])))
+            if deal.random() < 0.7:
+                sent.append((i, "open", size[i]))
+        deal.shuffle(sent)
+        sent = [e for e in sent if (e[0], e[1:2], e[3:4]) not in once and not once.add((e[0], e[1:2], e[3:4]))]
+        send(spark, src, *sent)
+        for i, kind, *more in sent:
+            if kind == "open":
+                opened.add(i)
+            elif not kept[i].get(more[1], (0, False))[1]:
+                kept[i][more[1]] = (more[2], bool((more[3] or "").strip()))
+        for i in {e[0] for e in sent} & opened - set(want):
+            if sorted(kept[i]) == list(range(1, -(-size[i] // 10) + 1)) and all(ok for _, ok in kept[i].values()) and sum(n for n, _ in kept[i].values()) == size[i]:
+                want.append(i)
+        got = U.run_uploads(spark.readStream.schema(U.EVENTS).parquet(src), 10, out)
+        assert sorted(map(tuple, got.collect())) == sorted((i, "complete", size[i]) for i in want)
+    assert 50 < len(want) < len(ids)
+    states = spark.read.format("statestore").option("stateVarName", "uploads").load(f"{out}/progress")
+    assert states.count() == len({i >> U.GROUP_BITS for i in ids}) == 8
+
+
+def test_timers_of_uploads_in_a_group(spark, tmp_path):
+    """One upload is stale, its neighbours are not: one never finalized, one completed, one began later."""
+    src, out = str(tmp_path / "in"), f"file://{tmp_path}/out"
+    run = lambda s: U.run_uploads(spark.readStream.schema(U.EVENTS).parquet(src), 10, out, stale_seconds=s)
+    send(spark, src, *[(i, "open", 10) for i in range(4)], (0, "finalizing"), (1, "finalizing"))
+    run(1)
+    send(spark, src, (1, "completed"))
+    time.sleep(1.5)
+    send(spark, src, (3, "finalizing"))
+    assert [tuple(r) for r in run(600).collect()] == [(0, "stale", 10)]
+    send(spark, src, (2, "open", 10))
+    assert run(600).count() == 1
