@@ -12,6 +12,8 @@ from lodestar.functions.values import KEY_NAME, analytical_type, native_type, ty
 
 #: Of the distinct-count sketches: 2 ** 12 registers, a relative standard error of 1.04 / 2 ** 6 = 1.6 %.
 SKETCH_BITS = 12
+#: All types of values, native ones and interpreted ones.
+TYPES = ["null", "boolean", "integer", "number", "date", "date-time", "string", "object", "array"]
 
 
 def quoted(name: str) -> Column:
@@ -22,9 +24,13 @@ def quoted(name: str) -> Column:
 def cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Wide rows -> (column, native, value): one row per cell, the value as a string. One scan, no shuffle."""
     names = columns or df.columns
-    native = {f.name: native_type(f.dataType) for f in df.schema.fields}
-    each = [F.struct(F.lit(c).alias("column"), F.when(quoted(c).isNull() | _not_finite(quoted(c), native[c]), "null").otherwise(native[c]).alias("native"), quoted(c).cast("string").alias("value")) for c in names]
-    return df.select(F.inline(F.array(*each)))
+    return df.select(F.inline(F.array(*[_cell(df, c, F.lit(c)) for c in names])))
+
+
+def _cell(df: DataFrame, name: str, label: Column) -> Column:
+    native = native_type(df.schema[name].dataType)
+    missing = quoted(name).isNull() | _not_finite(quoted(name), native)
+    return F.struct(label.alias("column"), F.when(missing, "null").otherwise(native).alias("native"), quoted(name).cast("string").alias("value"))
 
 
 def _not_finite(value: Column, native: str) -> Column:
@@ -81,15 +87,27 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, family: str
 
     An empty table has no rows here; an all-null column has type null and is a measure. Plan: one scan and a two-level
     aggregate, first on (column, type, value), so that no column's values meet in one task before they are distinct.
+    Columns and types travel as one number and short values as they are, so that few bytes are shuffled.
     With `approximate`, distinct counts come from sketches (see column_states): one aggregate of a row a column and task.
     """
     if approximate:
         return profile_of_states(column_states(df, [], columns), columns or df.columns, family)
-    typed = cells(df, columns).select("column", interpreted(F.col("native"), F.col("value")).alias("type"), "value")
-    per_value = typed.groupBy("column", "type", F.when(F.col("type") != "null", F.sha2("value", 256)).alias("v")).agg(F.count("*").alias("n"))
-    per_type = per_value.groupBy("column", "type").agg(F.sum("n").alias("n"), F.count("v").alias("distinct"))
+    names = columns or df.columns
+    each = df.select(F.inline(F.array(*[_cell(df, c, F.lit(i)) for i, c in enumerate(names)])))
+    types = F.array(*map(F.lit, TYPES))
+    typed = each.select("column", (F.array_position(types, interpreted(F.col("native"), F.col("value"))) - 1).cast("int").alias("type"), "value")
+    kind = F.col("column") * len(TYPES) + F.col("type")
+    per_value = typed.groupBy(kind.alias("kind"), F.when(F.col("type") != TYPES.index("null"), distinct_key(F.col("value"))).alias("v")).agg(F.count("*").alias("n"))
+    per_kind = per_value.groupBy("kind").agg(F.sum("n").alias("n"), F.count("v").alias("distinct"))
+    column = F.get(F.array(*map(F.lit, names)), F.floor(F.col("kind") / len(TYPES)).cast("int"))
+    per_type = per_kind.select(column.alias("column"), F.get(types, F.col("kind") % len(TYPES)).alias("type"), "n", "distinct")
     out = per_type.groupBy("column").agg(F.sum("n").alias("row_count"), F.coalesce(F.sum(F.when(F.col("type") == "null", F.col("n"))), F.lit(0)).alias("null_count"), F.sum("distinct").alias("distinct_count"), F.collect_set("type").alias("seen"))
-    return _judged(out, columns or df.columns, family)
+    return _judged(out, names, family)
+
+
+def distinct_key(value: Column) -> Column:
+    """Bytes that differ where values do: those of a value of up to 31 bytes, the SHA-256 of a longer one, which has 32."""
+    return F.when(F.octet_length(value) < 32, value.cast("binary")).otherwise(F.unhex(F.sha2(value, 256)))
 
 
 def column_states(df: DataFrame, key: list[str], columns: list[str] | None = None) -> DataFrame:
@@ -99,8 +117,7 @@ def column_states(df: DataFrame, key: list[str], columns: list[str] | None = Non
     in a HyperLogLog sketch, whose union loses nothing.
     """
     names = [c for c in (columns or df.columns) if c not in key]
-    native = {f.name: native_type(f.dataType) for f in df.schema.fields}
-    each = [F.struct(F.lit(c).alias("column"), F.when(quoted(c).isNull() | _not_finite(quoted(c), native[c]), "null").otherwise(native[c]).alias("native"), quoted(c).cast("string").alias("value")) for c in names]
+    each = [_cell(df, c, F.lit(c)) for c in names]
     keys = [quoted(k) for k in key]
     typed = df.select(*keys, F.inline(F.array(*each))).select(*keys, "column", interpreted(F.col("native"), F.col("value")).alias("type"), "value")
     counted = F.when(F.col("type") != "null", F.xxhash64("type", "value"))

@@ -91,3 +91,21 @@ def test_cursor(spark):
     got = S.cursor_page(spark.range(10), "id", 3, 4).collect()
     assert [(r["id"], r["truncated"], r["next_cursor"]) for r in got] == [(i, True, 7) for i in (4, 5, 6, 7)]
     assert [r["next_cursor"] for r in S.cursor_page(spark.range(10), "id", 7, 4).collect()] == [None, None]
+
+
+def test_profile_shuffles_few_bytes(spark):
+    """Short values and one number a value travel, no digests and no names; long values that differ stay different."""
+    from hashlib import sha256
+
+    def written():
+        jvm, gateway = spark._jvm, spark.sparkContext._gateway
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    df = spark.range(40000).selectExpr("id AS a_long_name_of_a_key", "id * 7.25D AS another_long_name", "string(id % 3 = 0) AS flag")
+    start = written()
+    got = {r["column"]: tuple(r)[1:] for r in P.column_profile(df).collect()}
+    assert got == {"a_long_name_of_a_key": (40000, 0, 0.0, 40000, "integer", "identifier", True), "another_long_name": (40000, 0, 0.0, 40000, "number", "measure", False), "flag": (40000, 0, 0.0, 2, "boolean", "dimension", False)}
+    assert 0 < written() - start < 40 * 80000
+    long = ["x" * 31, "x" * 32, "x" * 33, "é" * 15, "é" * 16, sha256(b"x" * 32).hexdigest(), sha256(b"x" * 32).hexdigest()]
+    assert P.column_profile(spark.createDataFrame([(v,) for v in long], "v string")).first()["distinct_count"] == 6
