@@ -78,6 +78,11 @@ def small(kept: DataFrame) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A table marked against broadcast: of what was exploded, Spark takes each row for one as before, and files that repeat values are far smaller than their rows in memory."""
+    return df.hint("merge")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Undirected edges of longs -> (node, component): component is the smallest node reachable.
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Scratch, connected_components, keep, own_exchange, small
+from lodestar.llm.common import Scratch, connected_components, keep, own_exchange, shuffled, small
 
 SEED = 42
 #: Fingerprints link at this many differing bits or fewer.
@@ -83,11 +83,11 @@ def links(fps: DataFrame) -> DataFrame:
     key = lambda i, c: F.xxhash64(F.lit(i), *[F.get("t", F.lit(s)) for s in c])
     keyed = fps.select("fp", "node", table.alias("t")).select("fp", "node", F.explode(F.array(*[key(i, c) for i, c in enumerate(chosen)])).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(own_exchange(F.col("key")).alias("k2"))
-    shared, _ = keep(keyed.join(sizes, F.col("key") == F.col("k2")).drop("k2"))
+    shared, _ = keep(keyed.join(shuffled(sizes), F.col("key") == F.col("k2")).drop("k2"))
     x, y = shared.select("key", F.col("fp").alias("x"), F.col("node").alias("a")), shared.select("key", F.col("fp").alias("y"), F.col("node").alias("b"))
     whole = lambda c, p: F.bit_count(F.col(c).bitwiseXOR(F.lit(p)))
     near = F.greatest(*[F.abs(whole("x", p) - whole("y", p)) for p in PIVOTS]) <= RADIUS
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & near & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS))
+    met = x.join(shuffled(y), (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & near & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS))
     return met.select("a", "b").distinct()
 
 
@@ -190,7 +190,7 @@ def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     may = lambda a, b: fits(F.col(f"n{a}"), F.col(f"n{b}")) & room(F.col(f"n{a}"), F.col(f"at{a}"), F.col(f"n{b}"), F.col(f"at{b}"))
     leads = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node"), "node", "n", "at")).alias("l")).where("m > 1")
     leads = leads.select(own_exchange(F.col("key")).alias("k2"), F.col("l.node").alias("lead"), F.col("l.n").alias("n0"), F.col("l.at").alias("at0"))
-    met = scratch(keyed.join(leads, F.col("key") == F.col("k2")).drop("k2"))
+    met = scratch(keyed.join(shuffled(leads), F.col("key") == F.col("k2")).drop("k2"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         own = lambda side, names: each.select(F.col("node").alias(f"node{side}"), *[F.col(c).alias(f"{c}{side}") for c in names])
@@ -214,7 +214,7 @@ def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     told = told.join(at, F.col("lead") == F.col("c_node"), "left").withColumn("main", where("component", "lead")).select("key", "node", "n", "at", "c", "main")
     x, y = (told.select("key", *[F.col(v).alias(v + i) for v in ("node", "n", "at", "c", "main")]) for i in "12")
     apart = (F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main1")) | (F.col("node1") < F.col("node2")))
-    rest = x.where("c1 <> main1").join(y, (x["key"] == y["key"]) & apart & may("1", "2"))
+    rest = x.where("c1 <> main1").join(shuffled(y), (x["key"] == y["key"]) & apart & may("1", "2"))
     more = linked(rest.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")))
     done, _ = keep(connected_components(equal.unionByName(stars).unionByName(more)))
     scratch.clear()

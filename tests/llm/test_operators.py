@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat, embeddings, line_dedup, mixing, order_minhash, packing, quality, simhash, token_counts, toxicity
+from lodestar.llm import chat, common, embeddings, line_dedup, mixing, order_minhash, packing, quality, simhash, token_counts, toxicity
 from lodestar.llm.common import connected_components
 from lodestar.llm.tokens import open_vocabulary, vocabulary_path
 
@@ -237,6 +237,28 @@ def test_near_copies_by_brute_force(spark):
     assert simhash.near_copies(docs.limit(0)).count() == 0
 
 
+def test_exploded_tables_are_not_broadcast(docs, monkeypatch):
+    """Spark sizes a table after an explode as before it; at the size where it then broadcasts, the driver holds every row."""
+    plans, keep = [], common.keep
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(simhash, "keep", watched)
+    monkeypatch.setattr(common, "keep", watched)
+    nodes = simhash.fingerprints(docs).groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("node"))
+    met = simhash.links(nodes)
+    simhash.near_classes(docs)
+    joined = [p.split("\n") for p in plans if "Generate" in p and "Join" in p]
+    assert len(joined) == 2 and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    for lines in joined:
+        depth = [re.search(r"\w", x + "x").start() for x in lines]
+        for i in (i for i, x in enumerate(lines) if "BroadcastExchange" in x):
+            below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            assert not any("Generate" in x for x in lines[i:below])
+
+
 def test_simhash_odd(odd):
     got = {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.simhash_classes(odd).collect()}
     by = {i: c for i, _, c in got}
