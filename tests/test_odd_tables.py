@@ -47,6 +47,18 @@ def test_summary_with_long_pages(spark, tmp_path):
     assert long_pages(spark, tmp_path, "k2_summary") == [("ok:6", "text:6", "html:3,text:3")]
 
 
+def empty_texts(spark, folder, name):
+    """Empty texts beside others of their source, and in a source without others."""
+    texts = [("a text", "web"), ("", "web"), ("b", "web"), ("", "bare"), ("c", "s1"), ("d", "s2"), ("e", "s3"), ("f", "s4")]
+    docs = [(1 + i + i // 2, t, "en", s, len(t)) for i, (t, s) in enumerate(texts)]  # no multiple of 3: each has a shape
+    events = [(1, '{"k": 1}'), (2, None), (3, "")]
+    return agree(spark, folder, name, documents=(docs, DOCUMENTS), pages=([(1, "http://x/1", "<html>x")], PAGES), events=(events, "event_id long, props string"))
+
+
+def test_status_counts_with_empty_texts(spark, tmp_path):
+    assert ("ok", None, None, 9.0) in [(*r[:3], float(r[3])) for r in empty_texts(spark, tmp_path, "a1_status_counts")]
+
+
 def test_images_around_short_texts(spark, tmp_path):
     """Texts of 0 to 3 bytes, and none, in each of the five images."""
     docs = [(64 * kind + i + 1, t, "en", "web", len(t or "")) for kind in range(5) for i, t in enumerate(["", "A", "A.", "Re.", None])]
