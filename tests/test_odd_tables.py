@@ -59,6 +59,11 @@ def test_status_counts_with_empty_texts(spark, tmp_path):
     assert ("ok", None, None, 9.0) in [(*r[:3], float(r[3])) for r in empty_texts(spark, tmp_path, "a1_status_counts")]
 
 
+def test_inspections_of_empty_texts(spark, tmp_path):
+    got = {r[0]: r for r in empty_texts(spark, tmp_path, "f10_inspect")}
+    assert [got[i][4:7] for i in (2, 5)] == [(None, None, "whole_file")] * 2 and got[2][9] == "ok"
+
+
 def test_images_around_short_texts(spark, tmp_path):
     """Texts of 0 to 3 bytes, and none, in each of the five images."""
     docs = [(64 * kind + i + 1, t, "en", "web", len(t or "")) for kind in range(5) for i, t in enumerate(["", "A", "A.", "Re.", None])]
