@@ -64,6 +64,11 @@ def test_inspections_of_empty_texts(spark, tmp_path):
     assert [got[i][4:7] for i in (2, 5)] == [(None, None, "whole_file")] * 2 and got[2][9] == "ok"
 
 
+def test_formats_of_empty_texts(spark, tmp_path):
+    got = dict(empty_texts(spark, tmp_path, "f8_classify_text"))
+    assert [got[i] for i in (1, 2, 5, 2000001, 2000002, 2000003)] == ["text", None, None, "json", None, "text"]
+
+
 def test_images_around_short_texts(spark, tmp_path):
     """Texts of 0 to 3 bytes, and none, in each of the five images."""
     docs = [(64 * kind + i + 1, t, "en", "web", len(t or "")) for kind in range(5) for i, t in enumerate(["", "A", "A.", "Re.", None])]
