@@ -84,6 +84,10 @@ def test_shapes_of_empty_texts(spark, tmp_path, name):
     assert len(empty_texts(spark, tmp_path, name)) == {"p11_schema_catalog": 4, "p13_shape_count": 6, "k4_first_per_shape": 6}[name]
 
 
+def test_schema_groups_of_empty_texts(spark, tmp_path):
+    assert {(None, "web", 1), (None, "bare", 1), ("text", "web", 2)} <= set(empty_texts(spark, tmp_path, "p12_schema_groups"))
+
+
 def test_images_around_short_texts(spark, tmp_path):
     """Texts of 0 to 3 bytes, and none, in each of the five images."""
     docs = [(64 * kind + i + 1, t, "en", "web", len(t or "")) for kind in range(5) for i, t in enumerate(["", "A", "A.", "Re.", None])]
