@@ -88,6 +88,10 @@ def test_schema_groups_of_empty_texts(spark, tmp_path):
     assert {(None, "web", 1), (None, "bare", 1), ("text", "web", 2)} <= set(empty_texts(spark, tmp_path, "p12_schema_groups"))
 
 
+def test_rules_on_empty_texts(spark, tmp_path):
+    assert [(*r[:2], float(r[2])) for r in empty_texts(spark, tmp_path, "q1_q4_rules")] == [("coverage", "pass", 9.0), ("format", "pass", 9.0)]
+
+
 def test_images_around_short_texts(spark, tmp_path):
     """Texts of 0 to 3 bytes, and none, in each of the five images."""
     docs = [(64 * kind + i + 1, t, "en", "web", len(t or "")) for kind in range(5) for i, t in enumerate(["", "A", "A.", "Re.", None])]
